@@ -49,7 +49,7 @@ BASE_ERROR_CODES = [
     ("probe not loaded", "PROBE_NOT_LOADED"),
     ("probe is not started", "RUNTIME_FAILURE"),
     ("invalid filter value", "INVALID_ARGUMENT"),
-    ("negative value not allowed", "INVALID_ARGUMENT"),
+    ("negative value", "INVALID_ARGUMENT"),
     ("unsupported type", "INVALID_ARGUMENT"),
     ("database is nil", "DB_CONNECTION_FAILED"),
     ("db opener not configured", "DB_CONNECTION_FAILED"),
@@ -149,7 +149,8 @@ def map_error(df: DataFrame, chain_col: str = "errors") -> DataFrame:
     chain = F.col(chain_col)
     coded = F.filter(chain, lambda e: e["code"].isNotNull())
     known = F.filter(F.transform(chain, lambda e: base[e["message"]]), lambda c: c.isNotNull())
-    code = F.coalesce(F.element_at(coded, 1)["code"], F.element_at(known, 1), F.lit("RUNTIME_FAILURE"))
+    code = F.coalesce(F.try_element_at(coded, F.lit(1))["code"], F.try_element_at(known, F.lit(1)),
+                      F.lit("RUNTIME_FAILURE"))
     return df.withColumn("code", F.when(F.size(chain) > 0, code))
 
 

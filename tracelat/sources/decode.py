@@ -56,9 +56,10 @@ def _field(b: Column, off: int, kind: str, width: int, dtype) -> Column:
     if kind == "c":
         return F.substring_index(F.substring(b, off + 1, width).cast("string"), "\u0000", 1)
     u = _uint(b, off, width)
+    if width == 8 and dtype.typeName() == "long":
+        # 64-bit field stored as bigint: keep the bits (two's complement)
+        return as_s64(u)
     if kind == "s":
-        if width == 8:
-            return as_s64(u).cast(dtype)
         return F.when(u >= F.lit(2 ** (8 * width - 1)), u - F.lit(2 ** (8 * width))).otherwise(u).cast(dtype)
     return u.cast(dtype)
 
