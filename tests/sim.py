@@ -59,7 +59,8 @@ def simulate_pairing(events, spec, params=None, effect="reference"):
         v = params.get("filter_pid")
         if not v:
             return True
-        target = (e["pid_tgid"] >> 32) if spec.pid_mode == "process" else e["pid_tgid"]
+        # only the nfsd probes compare the packed id; all others the process id
+        target = e["pid_tgid"] if spec.probe.startswith("nfsd4_") else (e["pid_tgid"] >> 32)
         return target == v
 
     def comm_ok(e):

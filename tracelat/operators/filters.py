@@ -36,7 +36,7 @@ def and_all(preds) -> Column | None:
 def pid_predicate(s: TraceSpec, pid_tgid, value, mode: str | None = None) -> Column | None:
     """``filter_pid``: process id for most probes, the packed id for nfsd
     probes (``mode='process'`` forces the evident intent there)."""
-    mode = mode or s.pid_mode
+    mode = mode or s.pid_filter
     target = pid_of(_col(pid_tgid)) if mode == "process" else _col(pid_tgid)
     if isinstance(value, Column):
         return value.isNull() | (value == 0) | (target == value)
@@ -81,6 +81,24 @@ def file_predicate(s: TraceSpec, file, value) -> Column | None:
     return name == byte_cap(F.lit(value), s.file_len)
 
 
+def pushable_hint(s: TraceSpec, name: str, value) -> Column | None:
+    """A plain column predicate *implied* by a literal setting, added next to
+    the exact one so the Parquet scan can skip row groups (the exact
+    predicate cuts C strings and shifts bits, which no source can push)."""
+    if isinstance(value, Column) or _off_literal(value):
+        return None
+    if name == "filter_pid":
+        p = int(value)
+        if s.pid_filter == "process":
+            if not 0 <= p <= 0xFFFFFFFF:      # no process id can equal it
+                return F.lit(False)
+            return F.col("pid_tgid").between(F.lit(p << 32), F.lit((p << 32) | 0xFFFFFFFF))
+        return F.col("pid_tgid") == F.lit(p)
+    if name == "filter_comm":
+        return F.col("comm").startswith(value.encode("utf-8")[:s.comm_len].decode("utf-8", "ignore"))
+    return None
+
+
 def param_predicate(s: TraceSpec, name: str, value, row) -> Column | None:
     """Predicate of one parameter over raw-event columns ``row(attr)``."""
     if name == "filter_pid":

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import as_u64, cstr, ntohl, pid_of, to_u32
 from ..specs import TraceSpec, spec as get_spec
 from .carry import carry_last, chunk_of
-from .filters import and_all, param_predicate
+from .filters import and_all, param_predicate, pushable_hint
 
 MASK32 = 0xFFFFFFFF
 
@@ -100,7 +100,7 @@ def prepare(raw: DataFrame, s: TraceSpec, params: dict | None = None,
         if c not in present:
             ev = ev.withColumn(c, F.lit(None).cast("string" if c in ("comm", "file", "proc_name") else "long"))
 
-    entry_p, both_p, post_p, strict_p = [], [], [], []
+    entry_p, both_p, post_p, strict_p, entry_h, both_h = [], [], [], [], [], []
     for name, where in s.filters.items():
         if name not in params:
             continue
@@ -108,14 +108,18 @@ def prepare(raw: DataFrame, s: TraceSpec, params: dict | None = None,
         if p is None:
             continue
         {"entry": entry_p, "both": both_p, "exit_post": post_p}[where].append(p)
+        h = pushable_hint(s, name, params[name])
+        if h is not None and where in ("entry", "both"):
+            (entry_h if where == "entry" else both_h).append(h)
         if where == "entry" and s.orphan == "zero":
             strict_p.append(p)
-    is_entry = F.col("kind") == "entry"
-    entry_keep = and_all(entry_p + both_p)
-    exit_keep = and_all(both_p)
-    if entry_keep is not None or exit_keep is not None:
-        ev = ev.where(F.when(is_entry, entry_keep if entry_keep is not None else F.lit(True))
-                      .otherwise(exit_keep if exit_keep is not None else F.lit(True)))
+    # exact rules, written as plain AND/OR so that the implied hints reach the scan
+    not_entry = F.col("kind") != "entry"
+    keep = and_all(both_p + both_h
+                   + ([not_entry | and_all(entry_p)] if entry_p else [])
+                   + ([not_entry | and_all(entry_h)] if entry_h else []))
+    if keep is not None:
+        ev = ev.where(keep)
     post = and_all(post_p + (strict_p if effect == "strict" else []))
     prev_fields = ["kind", "ts_ns"] + (["pid_tgid"] if s.pid_from == "entry" else [])
     return ev, post, prev_fields

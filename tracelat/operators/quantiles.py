@@ -10,13 +10,14 @@ selection* instead:
    interval ``[lo, hi]`` and the number of rows below it.  A pass splits every
    active interval into at most ``NBUCKETS`` equal buckets and counts rows per
    bucket (a map-side combined ``groupBy``; at most ``NBUCKETS`` rows per
-   interval reach the driver), then narrows each interval to the bucket that
-   holds its rank.  When a bucket is one value wide the value is found.
+   interval reach the driver, as one Arrow batch), then narrows each interval
+   to the bucket that holds its rank.  When a bucket is one value wide the value is found.
 
-Integral columns need ``ceil(log_NBUCKETS(max - min + 1))`` passes over the
-(persisted) column: 2 for ranges up to 4e9, 4 for the whole 64-bit range.
-Memory per task and on the driver is bounded by ``NBUCKETS`` regardless of
-the data size or of how skewed the values are.  The result is
+Integral columns need ``ceil(log_B(max - min + 1))`` passes over the
+(persisted) column, with ``B`` between 4096 and 65536 buckets chosen from the
+row count: with 65536, 2 passes for ranges up to 4e9 and 4 for the whole
+64-bit range.  Memory per task and on the driver is bounded by ``B``
+regardless of the data size or of how skewed the values are.  The result is
 ``v[lo] + (h - lo) * (v[hi] - v[lo])`` with ``h = (n-1)*q``, the definition
 used by SQL ``quantile_cont`` / ``percentile``.
 """
@@ -25,12 +26,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NBUCKETS = 1 << 16
+NBUCKETS = 1 << 16          # upper bound of buckets per interval and pass
+MIN_BUCKETS = 1 << 12
+
+
+def buckets_for(n: int) -> int:
+    """Histogram width: ~n/100 rounded to a power of two, in [4096, 65536].
+    Small inputs get cheap passes, large ones fewer passes over the data."""
+    want = max(MIN_BUCKETS, min(NBUCKETS, n // 100))
+    return 1 << (want - 1).bit_length()
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -45,56 +55,60 @@ def _targets(n: int, qs):
     return out
 
 
-def _select_ranks(vals: DataFrame, ranks: set[int], vmin: int, vmax: int) -> dict[int, int]:
+def _select_ranks(vals: DataFrame, ranks: set[int], vmin: int, vmax: int,
+                  nbuckets: int = NBUCKETS) -> dict[int, int]:
     """Exact values at 0-based ``ranks`` of the integral column ``v``."""
+    NB = nbuckets
     state = {r: (vmin, vmax, 0) for r in ranks}   # rank -> (lo, hi, rows below lo)
     found: dict[int, int] = {}
     v = F.col("v")
     while len(found) < len(ranks):
         intervals = sorted({(lo, hi) for r, (lo, hi, _) in state.items() if r not in found})
-        exprs, preds = [], []
+        exprs, preds, tgt_rows = [], [], []
         widths = {}
         for i, (lo, hi) in enumerate(intervals):
-            width = -(-(hi - lo + 1) // NBUCKETS)
-            widths[(lo, hi)] = width
+            width = -(-(hi - lo + 1) // NB)
+            widths[i] = width
             inside = v.between(F.lit(lo), F.lit(hi))
             preds.append(inside)
             # integer division: exact for the whole 64-bit range
             bucket = F.expr(f"(v - ({lo})) div {width}") if width > 1 else (v - F.lit(lo))
-            exprs.append(F.when(inside, F.lit(i).cast("long") * NBUCKETS + bucket))
+            exprs.append(F.when(inside, F.lit(i).cast("long") * NB + bucket))
+            for r, (rlo, rhi, below) in state.items():
+                if r not in found and (rlo, rhi) == (lo, hi):
+                    tgt_rows.append((i, r, below))
         pred = preds[0]
         for p in preds[1:]:
             pred = pred | p
-        keyed = vals.where(pred).select(F.explode(F.array_compact(F.array(*exprs))).alias("k"))
-        rows = keyed.groupBy("k").count().collect()   # <= NBUCKETS rows per interval
-        hist: dict[int, list] = {}
-        for row in rows:
-            hist.setdefault(row["k"] // NBUCKETS, []).append((row["k"] % NBUCKETS, row["count"]))
-        for i, (lo, hi) in enumerate(intervals):
-            width = widths[(lo, hi)]
-            buckets = sorted(hist.get(i, []))
-            for r, (rlo, rhi, below) in list(state.items()):
-                if r in found or (rlo, rhi) != (lo, hi):
-                    continue
-                acc = below
-                for b, c in buckets:
-                    if acc + c > r:
-                        nlo = lo + b * width
-                        nhi = min(hi, nlo + width - 1)
-                        if nlo == nhi:
-                            found[r] = nlo
-                        state[r] = (nlo, nhi, acc)
-                        break
-                    acc += c
-                else:   # cannot happen when counts are consistent
-                    raise RuntimeError("rank outside the column's value range")
+        hist = (vals.where(pred).select(F.explode(F.array_compact(F.array(*exprs))).alias("k"))
+                .groupBy("k").count())                       # <= NB rows per interval
+        # the bounded histogram comes back as one Arrow batch
+        h = hist.toPandas()
+        k = h["k"].to_numpy(dtype=np.int64)
+        cnt = h["count"].to_numpy(dtype=np.int64)
+        for i, r, below in tgt_rows:
+            sel = (k // NB) == i
+            b = np.sort(k[sel] % NB)
+            c = cnt[sel][np.argsort(k[sel] % NB)]
+            cum = below + np.cumsum(c)
+            j = int(np.searchsorted(cum, r, side="right"))
+            if j >= len(b):     # cannot happen when counts are consistent
+                raise RuntimeError("rank outside the column's value range")
+            lo, hi = intervals[i]
+            width = widths[i]
+            nlo = lo + int(b[j]) * width
+            nhi = min(hi, nlo + width - 1)
+            if nlo == nhi:
+                found[r] = nlo
+            state[r] = (nlo, nhi, int(cum[j] - c[j]))
     return found
 
 
-def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True):
+def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: dict | None = None):
     """Exact ``quantile_cont`` values of ``col`` (nulls ignored), plus n.
 
     Returns ``(n, [value per q])``; values are None when ``n == 0``.
+    ``stats`` (a dict) receives ``n, min, max, sum`` of the same pass.
     Non-integral columns fall back to ``percentile`` (one pass).
     """
     qs = list(qs)
@@ -107,13 +121,16 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True):
     if persist:
         vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = vals.agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx")).first()
+        st = vals.agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+                      F.sum(F.col("v").cast("decimal(38,0)")).alias("sm")).first()
         n = st["n"]
+        if stats is not None:
+            stats.update(n=n, min=st["mn"], max=st["mx"], sum=st["sm"])
         if n == 0:
             return 0, [None] * len(qs)
         tg = _targets(n, qs)
         ranks = {lo for _, lo, _ in tg} | {hi for _, _, hi in tg}
-        vals_at = _select_ranks(vals, ranks, st["mn"], st["mx"])
+        vals_at = _select_ranks(vals, ranks, st["mn"], st["mx"], buckets_for(n))
     finally:
         if persist:
             vals.unpersist()

@@ -9,12 +9,14 @@ global sort.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pid_of
 from .catalog import require_column
-from .quantiles import exact_quantiles
+from .quantiles import _INTEGRAL, exact_quantiles
 
 QUANTILES = (0.50, 0.90, 0.95, 0.99)
 QNAMES = ("p50_latency", "p90_latency", "p95_latency", "p99_latency")
@@ -38,10 +40,20 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> D
     base = [F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),
             F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
             F.round(_avg_exact(c), 3).alias("avg_latency")]
+    if method == "exact" and isinstance(df.schema[latency_col].dataType, _INTEGRAL):
+        # every number comes from the passes over the persisted column; the
+        # result is their one-row answer (the input is not scanned again)
+        st: dict = {}
+        n, vals = exact_quantiles(nn, latency_col, QUANTILES, stats=st)
+        t = df.schema[latency_col].dataType
+        avg = float(st["sum"]) / n if n else None
+        cols = [F.lit(n).cast("long").alias("total_rows"), F.lit(n).cast("long").alias("non_null_latency_rows"),
+                F.lit(st.get("min")).cast(t).alias("min_latency"), F.lit(st.get("max")).cast(t).alias("max_latency"),
+                F.round(F.lit(avg).cast("double"), 3).alias("avg_latency")]
+        cols += [F.round(F.lit(v).cast("double"), 3).alias(q) for v, q in zip(vals, QNAMES)]
+        return df.sparkSession.range(1).select(*cols)
     if method == "exact":
-        _, vals = exact_quantiles(nn, latency_col, QUANTILES)
-        qcols = [F.round(F.lit(v).cast("double"), 3).alias(n) for v, n in zip(vals, QNAMES)]
-        return nn.agg(*base).select("*", *qcols)
+        method = "percentile"
     if method == "percentile":
         p = F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES]))
     elif method == "approx":
@@ -90,7 +102,13 @@ def p99_row(df: DataFrame, latency_col: str, q: float = 0.99, tie_cols=None) ->
     ties = list(tie_cols) if tie_cols is not None else [x for x in df.columns if x != latency_col]
     if v is None:
         return df.limit(0)
-    return df.where(c.isNotNull() & (c.cast("double") >= F.lit(v))).orderBy(c, *ties).limit(1)
+    if isinstance(df.schema[latency_col].dataType, _INTEGRAL):
+        # for integers, lat >= v  <=>  lat >= ceil(v): a plain literal bound
+        # that Parquet can use (row-group statistics, pushed filter)
+        cond = c >= F.lit(math.ceil(v))
+    else:
+        cond = c >= F.lit(v)
+    return df.where(c.isNotNull() & cond).orderBy(c, *ties).limit(1)
 
 
 def top_keys(df: DataFrame, key: str = "syscall_id", k: int = 10, count_name: str = "cnt") -> DataFrame:

@@ -239,6 +239,16 @@ def oracle_sql() -> dict[str, str]:
     q["pair_syscall_filtered"] = with_ctes(
         "WITH filtered AS (SELECT * FROM raw_calls WHERE syscall_id = 2 AND comm = 'proc2'), "
         f"{lagged('filtered', 'pid_tgid')} SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit'", "raw_calls")
+    q["pair_syscall_pid_filter"] = with_ctes(
+        "WITH filtered AS (SELECT * FROM raw_calls WHERE (pid_tgid >> 32) = 8), "
+        f"{lagged('filtered', 'pid_tgid')} SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit'", "raw_calls")
+    q["pair_nfsd_pid_filter"] = with_ctes(
+        f"WITH filtered AS (SELECT * FROM raw_calls WHERE kind = 'exit' OR pid_tgid = {(8 << 32) | 8}), "
+        f"{lagged('filtered', 'pid_tgid')} SELECT {NFSD_RW_COLS} FROM lagged WHERE kind = 'exit'", "raw_calls")
+    q["filter_leak_syscall"] = with_ctes(
+        f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
+        "SELECT count_if((pid >> 32) = 8) AS target_rows, count_if((pid >> 32) <> 8) AS other_rows, "
+        "count_if((pid >> 32) <> 8) > 10 * count_if((pid >> 32) = 8) AS leak FROM t", "raw_calls")
     q["row_validity"] = with_ctes(
         f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
         "SELECT count(*) AS rows, count_if(pid = 0) AS zero_pid, count_if(coalesce(comm, '') = '') AS empty_comm, "

@@ -30,7 +30,7 @@ class TraceSpec:
     ts_col: str
     ts_is_end: bool           # stamp is the exit time (else the entry time)
     key_cols: tuple           # pairing key in the raw event stream
-    pid_mode: str | None      # 'process' (pid_tgid >> 32), 'packed', or None
+    pid_mode: str | None      # stored pid column: 'process' (pid_tgid >> 32), 'packed', or None
     pid_from: str = "exit"    # which event the pid column is taken from
     orphan: str = "drop"      # 'zero' keeps orphan exits with latency 0
     comm_len: int = 32        # comm buffer size in bytes
@@ -39,6 +39,7 @@ class TraceSpec:
     filters: dict = field(default_factory=dict)
     file_match: str | None = None   # 'wildcard' | 'exact'
     xid_swap: bool = False    # byte-swap the raw xid to host order
+    pid_filter: str = "process"   # what filter_pid is compared with: 'process' or 'packed'
 
     @property
     def schema(self) -> T.StructType:
@@ -68,7 +69,7 @@ def _rw(name):
 
 def _nfsd(name, cols):
     return TraceSpec(name, cols, "lat", "time_stamp", True, ("pid_tgid",), "packed",
-                     orphan="zero", comm_len=32, filters={"filter_pid": "entry"})
+                     orphan="zero", comm_len=32, filters={"filter_pid": "entry"}, pid_filter="packed")
 
 
 SPECS: dict[str, TraceSpec] = {s.probe: s for s in [
