@@ -187,3 +187,20 @@ def test_summary_methods_agree(spark):
     assert row.lat >= a["p99_latency"]
     with pytest.raises(ValueError, match="latency column not found"):
         latency_summary(df, "nope")
+
+
+def test_grouped_exact_quantiles_with_hot_group(spark):
+    rng = random.Random(21)
+    rows = [("hot", rng.randint(0, 10 ** 9)) for _ in range(3000)]          # a third of the rows
+    rows += [("hot", 777)] * 500                                             # ties inside it
+    rows += [(f"g{rng.randint(0, 40)}", rng.randint(-10 ** 6, 10 ** 12)) for _ in range(6000)]
+    rows += [("single", 5)]
+    df = spark.createDataFrame(rows + [("hot", None)], "k string, lat long")
+    from tracelat.operators.stats import latency_summary_by
+    a = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="exact").collect()}
+    b = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="percentile").collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        for c, v in a[k].items():
+            w = b[k][c]
+            assert (v == w) or abs(v - w) <= 1e-6 * max(1.0, abs(w)), (k, c, v, w)

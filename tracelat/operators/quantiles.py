@@ -28,7 +28,7 @@ import math
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,3 +139,89 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: di
         a, b = vals_at[lo], vals_at[hi]
         out.append(float(a) if lo == hi else float(a) + (h - lo) * (float(b) - float(a)))
     return n, out
+
+
+# --- grouped -------------------------------------------------------------------
+
+SMALL_STATE_ROWS = 200_000
+
+
+def _cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise per-pass state in the shared checkpoint folder named by
+    ``spark.checkpoint.dir`` (reliable ``checkpoint()``, survives executor
+    loss; never a machine-local folder on a cluster)."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None = None) -> DataFrame:
+    """Exact ``quantile_cont`` per group, by radix selection per group.
+
+    Returns one row per group: ``keys, n, min, max, sum`` and one ``q<i>``
+    column per quantile.  Each pass counts rows per ``(group, interval,
+    bucket)`` (map-side combined, so a hot group is spread over many hash
+    partitions), finds the bucket of every target rank with a running count
+    over that group's histogram (at most ``B`` rows), and narrows the
+    interval.  The number of passes is fixed up front from the widest group
+    range; the per-group state (at most 2 ranks per quantile) is
+    checkpointed after each pass so the plan does not grow.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    qs = list(qs)
+    vals = df.select(*keys, F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull()) \
+             .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = _cut_lineage(vals.groupBy(*keys).agg(
+            F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
+            F.sum(F.col("v").cast("decimal(38,0)")).alias("sm")))
+        g = st.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"),
+                   F.max(F.col("mx").cast("decimal(20,0)") - F.col("mn")).alias("r")).first()
+        if not g["g"]:
+            return st.select(*keys, "n", F.col("mn").alias("min"), F.col("mx").alias("max"),
+                             F.col("sm").alias("sum"), *[F.lit(None).cast("double").alias(f"q{i}")
+                                                         for i in range(len(qs))])
+        nb = nbuckets or buckets_for(g["t"])
+        passes, span = 0, int(g["r"]) + 1
+        while span > 1:
+            span = -(-span // nb)
+            passes += 1
+        hs = F.array(*[(F.col("n") - 1).cast("double") * F.lit(q) for q in qs])
+        state = st.select(*keys, F.col("mn").alias("lo"), F.col("mx").alias("hi"), F.explode(F.array_distinct(
+            F.flatten(F.transform(hs, lambda h: F.array(F.floor(h).cast("long"), F.ceil(h).cast("long"))))))
+            .alias("r")).withColumn("below", F.lit(0).cast("long"))
+        small = g["g"] * 2 * len(qs) <= SMALL_STATE_ROWS
+        for _ in range(passes):
+            active = state.where(F.col("lo") < F.col("hi"))
+            intervals = (active.select(*keys, "lo", "hi").distinct()
+                         .withColumn("w", F.expr(f"((hi - lo) div {nb}) + 1")))
+            side = F.broadcast(intervals) if small else intervals
+            hist = (vals.join(side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+                    .select(*keys, "lo", "hi", "w", F.expr("(v - lo) div w").alias("b"))
+                    .groupBy(*keys, "lo", "hi", "w", "b").count())
+            wcum = Window.partitionBy(*keys, "lo", "hi").orderBy("b") \
+                         .rowsBetween(Window.unboundedPreceding, 0)
+            cum = hist.withColumn("cum", F.sum("count").over(wcum))
+            moved = (active.join(cum, keys + ["lo", "hi"])
+                     .where((F.col("below") + F.col("cum") - F.col("count") <= F.col("r"))
+                            & (F.col("r") < F.col("below") + F.col("cum")))
+                     .select(*keys, "r",
+                             (F.col("lo") + F.col("b") * F.col("w")).alias("lo"),
+                             F.least(F.col("hi"), F.col("lo") + F.col("b") * F.col("w") + F.col("w") - 1)
+                              .alias("hi"),
+                             (F.col("below") + F.col("cum") - F.col("count")).alias("below")))
+            done = state.where(F.col("lo") >= F.col("hi"))
+            state = _cut_lineage(done.unionByName(moved))
+        vals_at = state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "lo"))).alias("m"))
+        out = st.join(vals_at, keys, "left")
+        cols = []
+        for i, q in enumerate(qs):
+            h = (F.col("n") - 1).cast("double") * F.lit(q)
+            lo_r, hi_r = F.floor(h).cast("long"), F.ceil(h).cast("long")
+            a = F.element_at("m", lo_r).cast("double")
+            b = F.element_at("m", hi_r).cast("double")
+            cols.append(F.when(lo_r == hi_r, a).otherwise(a + (h - lo_r) * (b - a)).alias(f"q{i}"))
+        return _cut_lineage(out.select(*keys, "n", F.col("mn").alias("min"), F.col("mx").alias("max"),
+                                       F.col("sm").alias("sum"), *cols))
+    finally:
+        vals.unpersist()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pid_of
 from .catalog import require_column
-from .quantiles import _INTEGRAL, exact_quantiles
+from .quantiles import _INTEGRAL, exact_quantiles, exact_quantiles_by
 
 QUANTILES = (0.50, 0.90, 0.95, 0.99)
 QNAMES = ("p50_latency", "p90_latency", "p95_latency", "p99_latency")
@@ -66,14 +66,40 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> D
                       *[F.round(F.col("_p")[i], 3).alias(n) for i, n in enumerate(QNAMES)])
 
 
-def latency_summary_by(df: DataFrame, latency_col: str, keys, approx: bool = False) -> DataFrame:
-    """:func:`latency_summary` per group (one shuffle on the group keys,
-    partial aggregation map-side)."""
+PERCENTILE_MAX_GROUP = 1_000_000
+
+
+def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "auto") -> DataFrame:
+    """:func:`latency_summary` per group.
+
+    ``'exact'`` runs the grouped radix selection of
+    :func:`exact_quantiles_by`: memory per task is bounded by the histogram
+    width however large one group is.  ``'percentile'`` is Spark's exact
+    aggregate (a value map per group, merged on one reducer); ``'approx'``
+    is ``percentile_approx``.  ``'auto'`` (default) counts the largest
+    group first and uses ``percentile`` only when no group exceeds
+    :data:`PERCENTILE_MAX_GROUP` rows, the radix path otherwise.
+    """
     require_column(df, latency_col)
     keys = [keys] if isinstance(keys, str) else list(keys)
     c = F.col(latency_col)
+    integral = isinstance(df.schema[latency_col].dataType, _INTEGRAL)
+    if method == "auto":
+        method = "percentile"
+        if integral:
+            biggest = (df.where(c.isNotNull()).groupBy(*keys).count()
+                       .agg(F.max("count")).first()[0] or 0)
+            if biggest > PERCENTILE_MAX_GROUP:
+                method = "exact"
+    if method == "exact" and integral:
+        r = exact_quantiles_by(df, keys, latency_col, QUANTILES)
+        t = df.schema[latency_col].dataType
+        return r.select(*keys, F.col("n").alias("total_rows"), F.col("n").alias("non_null_latency_rows"),
+                        F.col("min").cast(t).alias("min_latency"), F.col("max").cast(t).alias("max_latency"),
+                        F.round(F.col("sum").cast("double") / F.col("n").cast("double"), 3).alias("avg_latency"),
+                        *[F.round(F.col(f"q{i}"), 3).alias(n) for i, n in enumerate(QNAMES)])
     qs = F.array(*[F.lit(q) for q in QUANTILES])
-    p = (F.percentile_approx(c, qs, 10000).cast("array<double>") if approx
+    p = (F.percentile_approx(c, qs, 10000).cast("array<double>") if method == "approx"
          else F.percentile(c, qs))
     agg = (df.where(c.isNotNull()).groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),

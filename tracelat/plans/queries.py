@@ -92,6 +92,9 @@ def queries() -> dict:
     q = {
         "latency_summary": lambda s, d: stats.latency_summary(_calls(s, d), "lat"),
         "latency_summary_by_comm": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm"),
+        # the hot-group-safe path, forced (every group goes through radix selection)
+        "latency_summary_by_comm_radix": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm",
+                                                                               method="exact"),
         "p99_row": lambda s, d: stats.p99_row(_calls(s, d), "lat", 0.99, CALL_TIES),
         "top_keys": lambda s, d: stats.top_keys(_calls(s, d), "pid", 10),
         "latest_rows": lambda s, d: stats.latest(_calls(s, d), 5, "time_stamp", ("comm", "pid")),

@@ -297,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT probe AS name FROM control_log UNION SELECT unnest([{impl}]) AS name", "control_log")
     q["decode_samples"] = q["pair_rw"]
     q["decode_samples_syscall"] = q["pair_syscall"]
+    q["latency_summary_by_comm_radix"] = q["latency_summary_by_comm"]
     q["pair_rw_chunked"] = q["pair_rw"]
     q["pair_block_io_chunked"] = q["pair_block_io"]
     q["replay_control_chunked"] = q["replay_control"]
