@@ -99,7 +99,7 @@ def test_pairing_matches_simulation(spark, raw_events, probe):
     frames, want = [], []
     for i, case in enumerate(PARAM_CASES):
         params = {k: v for k, v in case.items() if k in s.filters}
-        for j, (effect, chunk) in enumerate((("reference", None), ("strict", None), ("reference", 7000))):
+        for j, (effect, chunk) in enumerate((("reference", None), ("strict", "auto"), ("reference", 7000))):
             tag = i * 10 + j
             frames.append(pair(raw, probe, params, effect=effect, chunk_ns=chunk)
                           .withColumn("_case", F.lit(tag)))
@@ -142,3 +142,15 @@ def test_replay_matches_sequential_controller(spark):
         got = {r["seq"]: (r["code"], r["state"], r["last_error"], r["attached_before"])
                for r in replay_control(df, chunk_rows=chunk).collect()}
         assert got == want
+
+
+def test_auto_chunking_kicks_in_for_large_inputs(spark, raw_events, monkeypatch):
+    """With a tiny row budget the automatic width chunks the scan; same rows."""
+    import tracelat.operators.carry as carry
+    ev, raw = raw_events
+    monkeypatch.setattr(carry, "AUTO_CHUNK_ROWS", 50)
+    assert carry.auto_chunk_width(raw, "ts_ns", 50) is not None
+    monkeypatch.setattr(carry.auto_chunk_width, "__defaults__", (50,))
+    s = SPECS["nfs_file_read"]
+    got = _spark_rows(pair(raw, "nfs_file_read"))
+    assert _sorted(got) == _sorted(simulate_pairing(ev, s))

@@ -82,3 +82,22 @@ def chunk_of(col: str, width: int | None) -> Column | None:
     if not width:
         return None
     return F.expr(f"`{col}` div {int(width)}")
+
+
+AUTO_CHUNK_ROWS = 2_000_000
+
+
+def auto_chunk_width(df: DataFrame, col: str, rows_per_chunk: int = AUTO_CHUNK_ROWS) -> int | None:
+    """Chunk width for :func:`carry_last` from one count/min/max pass.
+
+    ``None`` (a single window level) when the whole input has at most
+    ``rows_per_chunk`` rows; otherwise the width that cuts the order
+    column's span into ``count / rows_per_chunk`` chunks, so that even a key
+    holding every row is split into tasks of about ``rows_per_chunk`` rows
+    (for events spread over time)."""
+    st = df.agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("mn"), F.max(col).alias("mx")).first()
+    n = st["n"]
+    if not n or n <= rows_per_chunk or st["mn"] is None:
+        return None
+    span = int(st["mx"]) - int(st["mn"]) + 1
+    return max(1, span * rows_per_chunk // n)

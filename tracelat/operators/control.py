@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_bytes, to_fixed_string, to_u32, to_uint64
 from ..specs import PROBES, SPECS
-from .carry import carry_last, chunk_of
+from .carry import auto_chunk_width, carry_last, chunk_of
 from .catalog import maybe_broadcast
 
 # Error codes and their log levels.
@@ -68,13 +68,15 @@ def _names_df(spark: SparkSession, names, col="probe") -> DataFrame:
 
 
 def replay_control(log: DataFrame, catalog: DataFrame | None = None,
-                   implemented=None, chunk_rows: int | None = None) -> DataFrame:
+                   implemented=None, chunk_rows: int | str | None = "auto") -> DataFrame:
     """CTL-1/CTL-4: per command, the answer code and the state after it.
 
     Output: ``seq, probe, op, outcome, dry_run, attached_before, code,
     state, last_error, loaded, reply_loaded``.  ``state`` is null for
     unknown probes.  ``catalog`` (``type`` column) adds described-only
     probes; ``implemented`` defaults to the library's twelve specs.
+    ``chunk_rows='auto'`` splits busy probes by ``seq`` ranges when the log
+    is large (see :func:`auto_chunk_width`).
     """
     spark = log.sparkSession
     impl = _names_df(spark, sorted(implemented or SPECS), "_impl")
@@ -88,6 +90,8 @@ def replay_control(log: DataFrame, catalog: DataFrame | None = None,
     dry = F.coalesce(F.col("dry_run"), F.lit(False)) & (op == "update")
     flag = (F.when(has_impl & (op == "load") & ok, F.lit(True))
             .when(known & (op == "unload") & ok, F.lit(False)))
+    if chunk_rows == "auto":
+        chunk_rows = auto_chunk_width(log, "seq")
     chunk = chunk_of("seq", chunk_rows)
     x = carry_last(x, ["probe"], ["seq"], {"_att": flag}, chunk=chunk, inclusive=False)
     att = F.coalesce(F.col("_att"), F.lit(False))

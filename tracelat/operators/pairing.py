@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import as_u64, cstr, ntohl, pid_of, to_u32
 from ..specs import TraceSpec, spec as get_spec
-from .carry import carry_last, chunk_of
+from .carry import auto_chunk_width, carry_last, chunk_of
 from .filters import and_all, param_predicate, pushable_hint
 
 MASK32 = 0xFFFFFFFF
@@ -139,7 +139,7 @@ def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = ()) -> DataFram
 
 def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
          effect: str = "reference", extra_cols: tuple = (),
-         chunk_ns: int | None = None) -> DataFrame:
+         chunk_ns: int | str | None = "auto") -> DataFrame:
     """Pair raw entry/exit events of one probe into its trace table.
 
     ``raw`` follows :data:`tracelat.specs.RAW_SCHEMA` (unused attributes may
@@ -150,12 +150,16 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     ``chunk_ns`` switches to the two-level scan of
     :func:`tracelat.operators.carry.carry_last`: events of one key are cut
     into ``ts_ns div chunk_ns`` chunks that pair in parallel, so a single hot
-    thread or device no longer lands in one task.  Same result.
+    thread or device no longer lands in one task.  Same result.  ``'auto'``
+    (default) sizes the chunks from one count/min/max pass
+    (:func:`auto_chunk_width`); ``None`` forces the single window.
     """
     s = get_spec(probe) if isinstance(probe, str) else probe
     ev, post, prev_fields = prepare(raw, s, params, effect, extra_cols)
     prev_struct = F.struct(*[F.col(c) for c in prev_fields])
     is_exit = F.col("kind") == "exit"
+    if chunk_ns == "auto":
+        chunk_ns = auto_chunk_width(ev, "ts_ns")
     if chunk_ns:
         x = carry_last(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct},
                        chunk=chunk_of("ts_ns", chunk_ns), keep=is_exit)

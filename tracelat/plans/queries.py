@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_u64, ntohl, pid_of, tid_of
+from ..functions.scalars import as_u64, ntohl, outcome, pid_of, tid_of
 from ..operators import control as ctl
 from ..operators import stats
 from ..operators.asof import apply_config_asof, asof_join
@@ -88,6 +88,25 @@ def q_decode(spark, d, probe):
     return decode_samples(encode_rows(rows, probe), probe)
 
 
+def q_param_updates(spark, d):
+    configure(spark)
+    return ctl.param_updates(fx.param_log(spark, d), "nfs_file_read").select(
+        "seq", "filter_pid", "filter_file", "filter_comm", "error", "error_detail")
+
+
+def q_param_history(spark, d):
+    configure(spark)
+    ups = ctl.param_updates(fx.param_log(spark, d), "nfs_file_read")
+    return ctl.param_history(ups, ["probe"], "seq", ["filter_pid", "filter_file", "filter_comm"],
+                             chunk_rows=1 << 16).select("seq", "filter_pid", "filter_file", "filter_comm")
+
+
+def q_status_report(spark, d):
+    from ..functions.scalars import json_report
+    st = ctl.latest_status(q_replay(spark, d))
+    return st.select("probe", json_report("state", "loaded", "last_error").alias("report"))
+
+
 def queries() -> dict:
     q = {
         "latency_summary": lambda s, d: stats.latency_summary(_calls(s, d), "lat"),
@@ -136,6 +155,13 @@ def queries() -> dict:
         "row_validity": lambda s, d: stats.row_validity(pair(_raw(s, d), "sys_call_trace")),
         "top_syscalls": lambda s, d: stats.top_keys(pair(_raw(s, d), "sys_call_trace"), "syscall_id", 10),
         "trigger_vs_written": q_trigger_vs_written,
+        "outcome_counts": lambda s, d: pair(_raw(s, d), "sys_call_trace")
+            .groupBy(outcome("ret").alias("outcome")).agg(F.count(F.lit(1)).alias("cnt")),
+        "sample_rows": lambda s, d: stats.sample_rows(pair(_raw(s, d), "sys_call_trace"), 5),
+        "param_updates": q_param_updates,
+        "param_history": q_param_history,
+        "status_report": q_status_report,
+        "command_validity": lambda s, d: ctl.command_validity(fx.tool_calls(s, d)).select("seq", "tool", "error"),
         "config_asof": q_config_asof,
         "pair_rw_asof": q_pair_rw_asof,
         "replay_control": q_replay,
@@ -150,6 +176,7 @@ def queries() -> dict:
         "decode_samples": lambda s, d: q_decode(s, d, "nfs_file_read"),
         "decode_samples_syscall": lambda s, d: q_decode(s, d, "sys_call_trace"),
         # Skew-safe variants: same answers through the chunked two-level scans.
+        "pair_rw_single_window": lambda s, d: pair(_raw(s, d), "nfs_file_read", chunk_ns=None),
         "pair_rw_chunked": lambda s, d: pair(_raw(s, d), "nfs_file_read", chunk_ns=CHUNK_NS),
         "pair_block_io_chunked": lambda s, d: pair(_raw(s, d), "block_io_latency", chunk_ns=CHUNK_NS),
         "replay_control_chunked": lambda s, d: q_replay(s, d, chunk_rows=4096),

@@ -42,7 +42,47 @@ CTE = {
   SELECT ts_ns AS from_ns, CAST(CASE WHEN k % 3 = 0 THEN 0 ELSE (k % 150) + 1 END AS BIGINT) AS filter_pid
   FROM raw_calls WHERE event_type = 'signup')""",
 }
-DEPS = {"config_log": ["raw_calls"]}
+CTE["param_log"] = """param_log AS (
+  SELECT seq, 'nfs_file_read' AS probe,
+         concat('{"filter_pid": ',
+                CASE WHEN k % 5 = 0 THEN '"invalid"' WHEN k % 5 = 1 THEN concat('-', CAST(k AS VARCHAR))
+                     WHEN k % 5 = 2 THEN concat(CAST(k AS VARCHAR), '.7') ELSE CAST(k AS VARCHAR) END,
+                ', "filter_file": ',
+                CASE WHEN k % 4 = 0 THEN '3' ELSE concat('"*.', CAST(k % 3 AS VARCHAR), '"') END,
+                ', "filter_comm": ',
+                CASE WHEN k % 7 = 0 THEN '7' ELSE concat('"proc', CAST(k % 8 AS VARCHAR), '"') END,
+                '}') AS params
+  FROM raw_calls WHERE event_type = 'signup')"""
+CTE["tool_calls"] = """tool_calls AS (
+  SELECT c.seq,
+         CASE WHEN c.seq % 3 = 0 THEN 'customize' ELSE 'control' END AS tool,
+         CASE WHEN o.o_custkey % 17 = 0 THEN '' ELSE c.probe END AS name,
+         CASE WHEN c.seq % 5 = 4 THEN 'restart' WHEN c.seq % 3 = 0 THEN NULL ELSE c.op END AS operation,
+         CASE WHEN c.seq % 3 <> 0 THEN NULL WHEN c.seq % 7 = 0 THEN '[1]' WHEN c.seq % 7 = 1 THEN NULL
+              ELSE concat('{"filter_pid": ', CAST(o.o_custkey AS VARCHAR), '}') END AS params,
+         c.seq % 13 <> 0 AS args_present
+  FROM control_log c JOIN orders o ON o.o_orderkey = c.seq)"""
+DEPS = {"config_log": ["raw_calls"], "param_log": ["raw_calls"], "tool_calls": ["control_log"]}
+
+PARAM_COERCE = """coerced AS (
+  SELECT seq, probe,
+    json_type(params, '$.filter_pid') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+      AND TRY_CAST(json_extract(params, '$.filter_pid') AS DOUBLE) >= 0 AS pid_ok,
+    CAST(CAST(floor(TRY_CAST(json_extract(params, '$.filter_pid') AS DOUBLE)) AS BIGINT) AS VARCHAR) AS pid_v,
+    json_type(params, '$.filter_file') = 'VARCHAR' AS file_ok,
+    left(json_extract_string(params, '$.filter_file'), 16) AS file_v,
+    json_type(params, '$.filter_comm') = 'VARCHAR' AS comm_ok,
+    left(json_extract_string(params, '$.filter_comm'), 32) AS comm_v
+  FROM param_log),
+applied AS (
+  SELECT seq, probe,
+    CASE WHEN pid_ok THEN pid_v END AS filter_pid,
+    CASE WHEN pid_ok AND file_ok THEN file_v END AS filter_file,
+    CASE WHEN pid_ok AND file_ok AND comm_ok THEN comm_v END AS filter_comm,
+    CASE WHEN NOT (pid_ok AND file_ok AND comm_ok) THEN 'INVALID_ARGUMENT' END AS error,
+    CASE WHEN NOT pid_ok THEN 'invalid filter_pid' WHEN NOT file_ok THEN 'invalid filter_file'
+         WHEN NOT comm_ok THEN 'invalid filter_comm' END AS error_detail
+  FROM coerced)"""
 
 
 def with_ctes(sql: str, *names: str) -> str:
@@ -298,7 +338,36 @@ def oracle_sql() -> dict[str, str]:
     q["decode_samples"] = q["pair_rw"]
     q["decode_samples_syscall"] = q["pair_syscall"]
     q["latency_summary_by_comm_radix"] = q["latency_summary_by_comm"]
+    q["outcome_counts"] = with_ctes(
+        f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
+        "SELECT CASE WHEN ret < 0 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS cnt FROM t GROUP BY 1",
+        "raw_calls")
+    q["param_updates"] = with_ctes(
+        f"WITH {PARAM_COERCE} SELECT seq, filter_pid, filter_file, filter_comm, error, error_detail FROM applied",
+        "param_log")
+    q["param_history"] = with_ctes(
+        f"WITH {PARAM_COERCE} SELECT seq, "
+        + ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY probe ORDER BY seq ROWS BETWEEN "
+                    f"UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in ("filter_pid", "filter_file", "filter_comm"))
+        + " FROM applied", "param_log")
+    q["status_report"] = (
+        _latest_status_sql()
+        + " SELECT probe, CASE WHEN last_error IS NULL "
+        "THEN json_object('state', state, 'loaded', state = 'loaded') "
+        "ELSE json_object('state', state, 'loaded', state = 'loaded', 'last_error', last_error) END::VARCHAR "
+        "AS report FROM latest")
+    q["command_validity"] = with_ctes(
+        "SELECT seq, tool, CASE WHEN tool = 'control' THEN "
+        "CASE WHEN NOT args_present THEN 'arguments are required' "
+        "WHEN coalesce(name, '') = '' THEN 'probeName must be a non-empty string' "
+        "WHEN operation IS NULL THEN 'operation must be a string' "
+        "WHEN operation NOT IN ('load', 'unload', 'status') THEN 'operation must be one of load|unload|status' END "
+        "ELSE CASE WHEN NOT args_present THEN 'arguments are required' "
+        "WHEN coalesce(name, '') = '' THEN 'name must be a non-empty string' "
+        "WHEN coalesce(json_type(params) = 'OBJECT', false) = false THEN 'params must be an object' END END AS error "
+        "FROM tool_calls", "tool_calls")
     q["pair_rw_chunked"] = q["pair_rw"]
+    q["pair_rw_single_window"] = q["pair_rw"]
     q["pair_block_io_chunked"] = q["pair_block_io"]
     q["replay_control_chunked"] = q["replay_control"]
     q["pair_rw_asof_large_config"] = q["pair_rw_asof"]

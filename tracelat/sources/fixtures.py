@@ -102,3 +102,37 @@ def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts_ns").alias("from_ns"),
         F.when(F.col("k") % 3 == 0, F.lit(0)).otherwise(F.col("k") % 150 + 1).cast("long").alias("filter_pid"),
     )
+
+
+def param_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameter updates (JSON objects, some with wrong types or negative
+    values) derived from the ``signup`` events."""
+    r = raw_calls(spark, sf_dir).where(F.col("event_type") == "signup")
+    k = F.col("k")
+    pid = (F.when(k % 5 == 0, F.lit('"invalid"'))
+           .when(k % 5 == 1, F.concat(F.lit("-"), k.cast("string")))
+           .when(k % 5 == 2, F.concat(k.cast("string"), F.lit(".7")))
+           .otherwise(k.cast("string")))
+    file = F.when(k % 4 == 0, F.lit("3")).otherwise(F.concat(F.lit('"*.'), (k % 3).cast("string"), F.lit('"')))
+    comm = F.when(k % 7 == 0, F.lit("7")).otherwise(F.concat(F.lit('"proc'), (k % 8).cast("string"), F.lit('"')))
+    params = F.concat(F.lit('{"filter_pid": '), pid, F.lit(', "filter_file": '), file,
+                      F.lit(', "filter_comm": '), comm, F.lit("}"))
+    return r.select("seq", F.lit("nfs_file_read").alias("probe"), params.alias("params"))
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls (some malformed) derived from ``orders`` via the control log."""
+    c = control_log(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), "o_custkey"), "seq")
+    seq = F.col("seq")
+    return c.select(
+        "seq",
+        F.when(seq % 3 == 0, "customize").otherwise("control").alias("tool"),
+        F.when(F.col("o_custkey") % 17 == 0, F.lit("")).otherwise(F.col("probe")).alias("name"),
+        F.when(seq % 5 == 4, F.lit("restart")).when(seq % 3 == 0, F.lit(None)).otherwise(F.col("op"))
+         .alias("operation"),
+        F.when(seq % 3 != 0, F.lit(None)).when(seq % 7 == 0, F.lit("[1]")).when(seq % 7 == 1, F.lit(None))
+         .otherwise(F.concat(F.lit('{"filter_pid": '), F.col("o_custkey").cast("string"), F.lit("}")))
+         .alias("params"),
+        (seq % 13 != 0).alias("args_present"),
+    )
