@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import pid_of
 from .catalog import require_column
-from .quantiles import _INTEGRAL, exact_quantiles, exact_quantiles_by
+from pyspark import StorageLevel
+
+from .quantiles import _INTEGRAL, _cut_lineage, exact_quantiles, exact_quantiles_by
 
 QUANTILES = (0.50, 0.90, 0.95, 0.99)
 QNAMES = ("p50_latency", "p90_latency", "p95_latency", "p99_latency")
@@ -85,12 +87,18 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
     c = F.col(latency_col)
     integral = isinstance(df.schema[latency_col].dataType, _INTEGRAL)
     if method == "auto":
-        method = "percentile"
-        if integral:
-            biggest = (df.where(c.isNotNull()).groupBy(*keys).count()
-                       .agg(F.max("count")).first()[0] or 0)
-            if biggest > PERCENTILE_MAX_GROUP:
-                method = "exact"
+        if not integral:
+            method = "percentile"
+        else:
+            # one persisted projection serves the size check and the aggregate
+            vals = df.select(*keys, latency_col).where(c.isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                biggest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+                if biggest > PERCENTILE_MAX_GROUP:
+                    return latency_summary_by(vals, latency_col, keys, method="exact")
+                return _cut_lineage(latency_summary_by(vals, latency_col, keys, method="percentile"))
+            finally:
+                vals.unpersist()
     if method == "exact" and integral:
         r = exact_quantiles_by(df, keys, latency_col, QUANTILES)
         t = df.schema[latency_col].dataType
