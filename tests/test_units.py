@@ -204,3 +204,24 @@ def test_grouped_exact_quantiles_with_hot_group(spark):
         for c, v in a[k].items():
             w = b[k][c]
             assert (v == w) or abs(v - w) <= 1e-6 * max(1.0, abs(w)), (k, c, v, w)
+
+
+def test_approx_summary_close_to_exact(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(rng.randint(0, 10 ** 6),) for _ in range(5000)], "lat long")
+    a = latency_summary(df, "lat", "approx").first().asDict()
+    e = latency_summary(df, "lat", "exact").first().asDict()
+    for k in ("p50_latency", "p90_latency", "p95_latency", "p99_latency"):
+        assert abs(a[k] - e[k]) <= 0.002 * 10 ** 6, k
+
+
+def test_table_exists_and_status_precedence(spark):
+    from tracelat.operators.catalog import status_precedence, table_exists
+    d = tempfile.mkdtemp(prefix="tracelat-exists-")
+    assert table_exists(spark, d) and not table_exists(spark, os.path.join(d, "missing"))
+    rem = spark.createDataFrame([("a", "error", False, "PROBE_STOP_FAILED"), ("b", "unloaded", False, None)],
+                                "probe string, state string, loaded boolean, last_error string")
+    live = spark.createDataFrame([("a", "loaded", True, None)],
+                                 "probe string, state string, loaded boolean, last_error string")
+    got = {r.probe: (r.state, r.loaded, r.last_error) for r in status_precedence(rem, live).collect()}
+    assert got == {"a": ("loaded", True, None), "b": ("unloaded", False, None)}

@@ -21,7 +21,7 @@ def require_column(df: DataFrame, col: str) -> None:
 
 def table_exists(spark: SparkSession, path_or_name: str) -> bool:
     """CAT-1: a catalog table or a readable path."""
-    if spark.catalog.tableExists(path_or_name):
+    if "/" not in path_or_name and spark.catalog.tableExists(path_or_name):
         return True
     jvm = spark.sparkContext._jvm
     jsc = spark.sparkContext._jsc
@@ -97,15 +97,31 @@ def missing_implementation(cat: DataFrame, implemented: DataFrame, col: str = "n
     return cat.select("type").join(implemented, F.col("type") == implemented[col], "left_anti")
 
 
-def catalog_status(cat: DataFrame, status: DataFrame, probe: str | None = None) -> DataFrame:
+def status_precedence(remembered: DataFrame, live: DataFrame | None = None) -> DataFrame:
+    """JOIN-3: per probe, the live status (attached probes) beats the
+    remembered one; probes in neither get the default later."""
+    cols = ["probe", "state", "loaded", "last_error"]
+    if live is None:
+        return remembered.select(*cols)
+    lv = live.select(*[F.col(c).alias(f"_l_{c}") for c in cols])
+    j = remembered.select(*cols).join(lv, F.col("probe") == F.col("_l_probe"), "full")
+    has_live = F.col("_l_probe").isNotNull()
+    return j.select(F.coalesce("_l_probe", "probe").alias("probe"),
+                    *[F.when(has_live, F.col(f"_l_{c}")).otherwise(F.col(c)).alias(c) for c in cols[1:]])
+
+
+def catalog_status(cat: DataFrame, status: DataFrame, probe: str | None = None,
+                   live: DataFrame | None = None) -> DataFrame:
     """JOIN-2/3: every catalogued probe with its status when known, else
     ``unloaded`` / not loaded; sorted by type, with the total count.
 
     ``status`` has ``probe, state, loaded, last_error`` (e.g. from
-    :func:`tracelat.operators.control.latest_status`).  With ``probe`` only
-    that probe is returned (an empty result means "not found").
+    :func:`tracelat.operators.control.latest_status`); ``live`` (same
+    columns) takes precedence over it.  With ``probe`` only that probe is
+    returned (an empty result means "not found").
     """
     c = cat if probe is None else cat.where(F.col("type") == probe)
+    status = status_precedence(status, live)
     st = status.select(F.col("probe").alias("type"), "state", "loaded", "last_error")
     total = c.agg(F.count(F.lit(1)).alias("count"))     # one row
     out = (c.join(st, "type", "left")

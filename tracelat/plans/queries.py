@@ -110,6 +110,7 @@ def q_status_report(spark, d):
 def queries() -> dict:
     q = {
         "latency_summary": lambda s, d: stats.latency_summary(_calls(s, d), "lat"),
+        "latency_summary_approx": lambda s, d: stats.latency_summary(_calls(s, d), "lat", method="approx"),
         "latency_summary_by_comm": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm"),
         # the hot-group-safe path, forced (every group goes through radix selection)
         "latency_summary_by_comm_radix": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm",

@@ -42,6 +42,23 @@ def stop_ingest(query: StreamingQuery) -> dict:
     return drain(query)
 
 
+def flush(query: StreamingQuery) -> None:
+    """SNK-3: write everything that has arrived, keep the query running."""
+    query.processAllAvailable()
+
+
+def flush_all(queries) -> dict:
+    """SNK-3: flush every running ingest query; returns the first error per
+    query name (the others still get flushed)."""
+    errors = {}
+    for q in queries:
+        try:
+            q.processAllAvailable()
+        except Exception as e:  # report per query, go on with the rest
+            errors[q.name] = str(e)
+    return errors
+
+
 def ingest_progress(query: StreamingQuery) -> dict:
     """Rows in / rows written over the query's recent progress, last error."""
     prog = query.recentProgress or []
