@@ -63,8 +63,10 @@ BASE_ERROR_CODES = [
 VALID_OPS = ("load", "unload", "update", "status")
 
 
-def _names_df(spark: SparkSession, names, col="probe") -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], f"{col} string")
+def names_frame(spark: SparkSession, names, col: str = "name") -> DataFrame:
+    """A one-column table of fixed names, built JVM-side."""
+    arr = F.array(*[F.lit(n) for n in names])
+    return spark.range(len(names)).select(F.element_at(arr, (F.col("id") + 1).cast("int")).alias(col))
 
 
 def replay_control(log: DataFrame, catalog: DataFrame | None = None,
@@ -78,14 +80,16 @@ def replay_control(log: DataFrame, catalog: DataFrame | None = None,
     ``chunk_rows='auto'`` splits busy probes by ``seq`` ranges when the log
     is large (see :func:`auto_chunk_width`).
     """
-    spark = log.sparkSession
-    impl = _names_df(spark, sorted(implemented or SPECS), "_impl")
-    described = (catalog.select(F.col("type").alias("_desc")).distinct() if catalog is not None
-                 else _names_df(spark, PROBES, "_desc"))
-    x = (log.join(maybe_broadcast(impl), F.col("probe") == F.col("_impl"), "left")
-         .join(maybe_broadcast(described), F.col("probe") == F.col("_desc"), "left"))
-    has_impl = F.col("_impl").isNotNull()
-    known = has_impl | F.col("_desc").isNotNull()
+    impl_names = sorted(implemented or SPECS)
+    has_impl = F.col("probe").isin(*impl_names)          # a fixed literal set, no join
+    x = log
+    if catalog is not None:
+        # described probes come from data: a size-checked broadcast join
+        described = catalog.select(F.col("type").alias("_desc")).distinct()
+        x = x.join(maybe_broadcast(described), F.col("probe") == F.col("_desc"), "left")
+        known = has_impl | F.col("_desc").isNotNull()
+    else:
+        known = has_impl | F.col("probe").isin(*PROBES)
     op, ok = F.col("op"), F.col("outcome") == "ok"
     dry = F.coalesce(F.col("dry_run"), F.lit(False)) & (op == "update")
     flag = (F.when(has_impl & (op == "load") & ok, F.lit(True))

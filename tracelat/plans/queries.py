@@ -41,7 +41,7 @@ def _ctl(spark, d):
 
 
 def _implemented(spark) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PROBES], "name string")
+    return ctl.names_frame(spark, PROBES, "name")
 
 
 def _catalog_frame(spark) -> DataFrame:
