@@ -123,11 +123,10 @@ def catalog_status(cat: DataFrame, status: DataFrame, probe: str | None = None,
     c = cat if probe is None else cat.where(F.col("type") == probe)
     status = status_precedence(status, live)
     st = status.select(F.col("probe").alias("type"), "state", "loaded", "last_error")
-    total = c.agg(F.count(F.lit(1)).alias("count"))     # one row
+    total = c.count()      # the catalogue is metadata: one number, attached as a literal
     out = (c.join(st, "type", "left")
            .select("type", "title", "layer", "level",
                    F.coalesce("state", F.lit("unloaded")).alias("state"),
                    F.coalesce("loaded", F.lit(False)).alias("loaded"),
-                   F.col("last_error"))
-           .crossJoin(F.broadcast(total)))
+                   F.col("last_error"), F.lit(total).cast("long").alias("count")))
     return out.orderBy("type")
