@@ -104,12 +104,20 @@ def _select_ranks(vals: DataFrame, ranks: set[int], vmin: int, vmax: int,
     return found
 
 
-def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: dict | None = None):
+SMALL_EXACT_ROWS = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: dict | None = None,
+                    small_rows: int = SMALL_EXACT_ROWS):
     """Exact ``quantile_cont`` values of ``col`` (nulls ignored), plus n.
 
     Returns ``(n, [value per q])``; values are None when ``n == 0``.
     ``stats`` (a dict) receives ``n, min, max, sum`` of the same pass.
-    Non-integral columns fall back to ``percentile`` (one pass).
+    When the first pass finds at most ``small_rows`` values, the order
+    statistics are read from one sorted list of the persisted column (one
+    bounded aggregate); above that, radix selection.  ``small_rows=0``
+    forces radix.  Both share the interpolation below.
+    Non-integral columns use ``percentile``.
     """
     qs = list(qs)
     dtype = df.schema[col].dataType
@@ -130,7 +138,13 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: di
             return 0, [None] * len(qs)
         tg = _targets(n, qs)
         ranks = {lo for _, lo, _ in tg} | {hi for _, _, hi in tg}
-        vals_at = _select_ranks(vals, ranks, st["mn"], st["mx"], buckets_for(n))
+        if n <= small_rows:
+            srt = F.sort_array(F.collect_list("v"))
+            row = vals.agg(srt.alias("a")).select(
+                *[F.element_at("a", r + 1).alias(f"r{r}") for r in sorted(ranks)]).first()
+            vals_at = {r: row[f"r{r}"] for r in ranks}
+        else:
+            vals_at = _select_ranks(vals, ranks, st["mn"], st["mx"], buckets_for(n))
     finally:
         if persist:
             vals.unpersist()

@@ -29,12 +29,14 @@ def _avg_exact(c: Column) -> Column:
     return F.sum(c.cast("decimal(38,0)")).cast("double") / F.count(c).cast("double")
 
 
-def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> DataFrame:
+def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> DataFrame:
     """Count, min, max, avg (3 decimals) and p50/p90/p95/p99 of one column.
 
-    Only non-null rows take part.  ``method``: ``'exact'`` (radix selection,
-    bounded memory), ``'percentile'`` (Spark's exact aggregate, one pass,
-    value map on one reducer) or ``'approx'`` (``percentile_approx``).
+    Only non-null rows take part.  ``method``: ``'auto'`` (radix selection,
+    or Spark's ``percentile`` when the first pass finds at most 1M values),
+    ``'exact'`` (always radix selection, bounded memory), ``'percentile'``
+    (Spark's exact aggregate, value map on one reducer) or ``'approx'``
+    (``percentile_approx``).
     """
     require_column(df, latency_col)
     c = F.col(latency_col)
@@ -42,11 +44,12 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> D
     base = [F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),
             F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
             F.round(_avg_exact(c), 3).alias("avg_latency")]
-    if method == "exact" and isinstance(df.schema[latency_col].dataType, _INTEGRAL):
+    if method in ("auto", "exact") and isinstance(df.schema[latency_col].dataType, _INTEGRAL):
         # every number comes from the passes over the persisted column; the
         # result is their one-row answer (the input is not scanned again)
         st: dict = {}
-        n, vals = exact_quantiles(nn, latency_col, QUANTILES, stats=st)
+        n, vals = exact_quantiles(nn, latency_col, QUANTILES, stats=st,
+                                  **({} if method == "auto" else {"small_rows": 0}))
         t = df.schema[latency_col].dataType
         avg = float(st["sum"]) / n if n else None
         cols = [F.lit(n).cast("long").alias("total_rows"), F.lit(n).cast("long").alias("non_null_latency_rows"),
@@ -54,7 +57,7 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> D
                 F.round(F.lit(avg).cast("double"), 3).alias("avg_latency")]
         cols += [F.round(F.lit(v).cast("double"), 3).alias(q) for v, q in zip(vals, QNAMES)]
         return df.sparkSession.range(1).select(*cols)
-    if method == "exact":
+    if method in ("auto", "exact"):
         method = "percentile"
     if method == "percentile":
         p = F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES]))
@@ -71,6 +74,25 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "exact") -> D
 PERCENTILE_MAX_GROUP = 1_000_000
 
 
+def _summary_by_sorted_lists(df: DataFrame, latency_col: str, keys) -> DataFrame:
+    """Per-group summary from one sorted list per group (only used after a
+    check that no group exceeds :data:`PERCENTILE_MAX_GROUP` values); the
+    interpolation is the same as the radix path's."""
+    c = F.col(latency_col)
+    g = df.where(c.isNotNull()).groupBy(*keys).agg(
+        F.count(c).alias("n"), F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
+        F.round(_avg_exact(c), 3).alias("avg_latency"), F.sort_array(F.collect_list(c)).alias("_a"))
+    cols = []
+    for q, name in zip(QUANTILES, QNAMES):
+        h = (F.col("n") - 1).cast("double") * F.lit(q)
+        lo, hi = F.floor(h).cast("long"), F.ceil(h).cast("long")
+        a = F.element_at("_a", (lo + 1).cast("int")).cast("double")
+        b = F.element_at("_a", (hi + 1).cast("int")).cast("double")
+        cols.append(F.round(F.when(lo == hi, a).otherwise(a + (h - lo) * (b - a)), 3).alias(name))
+    return g.select(*keys, F.col("n").alias("total_rows"), F.col("n").alias("non_null_latency_rows"),
+                    "min_latency", "max_latency", "avg_latency", *cols)
+
+
 def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "auto") -> DataFrame:
     """:func:`latency_summary` per group.
 
@@ -96,7 +118,7 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
                 biggest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
                 if biggest > PERCENTILE_MAX_GROUP:
                     return latency_summary_by(vals, latency_col, keys, method="exact")
-                return _cut_lineage(latency_summary_by(vals, latency_col, keys, method="percentile"))
+                return _cut_lineage(_summary_by_sorted_lists(vals, latency_col, keys))
             finally:
                 vals.unpersist()
     if method == "exact" and integral:
@@ -117,8 +139,9 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
                       "avg_latency", *[F.round(F.col("_p")[i], 3).alias(n) for i, n in enumerate(QNAMES)])
 
 
-def quantile_value(df: DataFrame, latency_col: str, q: float = 0.99) -> float | None:
-    _, (v,) = exact_quantiles(df, latency_col, [q])
+def quantile_value(df: DataFrame, latency_col: str, q: float = 0.99, small_rows: int | None = None) -> float | None:
+    kw = {} if small_rows is None else {"small_rows": small_rows}
+    _, (v,) = exact_quantiles(df, latency_col, [q], **kw)
     return v
 
 

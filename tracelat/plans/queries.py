@@ -110,6 +110,13 @@ def q_status_report(spark, d):
 def queries() -> dict:
     q = {
         "latency_summary": lambda s, d: stats.latency_summary(_calls(s, d), "lat"),
+        "latency_summary_radix": lambda s, d: stats.latency_summary(_calls(s, d), "lat", method="exact"),
+        "syscall_duration_summary": lambda s, d: stats.latency_summary(pair(_raw(s, d), "sys_call_trace"),
+                                                                       "duration"),
+        # ns latencies summarised in ms: at ~1e14 ns the engines' interpolations differ in the last ulp
+        "block_io_summary_ms_by_comm": lambda s, d: stats.latency_summary_by(
+            pair(_raw(s, d), "block_io_latency").withColumn("latency_ms", F.expr("latency div 1000000")),
+            "latency_ms", "comm", method="exact"),
         "latency_summary_approx": lambda s, d: stats.latency_summary(_calls(s, d), "lat", method="approx"),
         "latency_summary_by_comm": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm"),
         # the hot-group-safe path, forced (every group goes through radix selection)

@@ -124,10 +124,10 @@ SYSCALL_COLS = (f"pid_tgid AS pid, syscall_id & 4294967295 AS syscall_id, ret, {
 QS = [(0.50, "p50_latency"), (0.90, "p90_latency"), (0.95, "p95_latency"), (0.99, "p99_latency")]
 
 
-def _summary_cols() -> str:
-    return ("count(*) AS total_rows, count(lat) AS non_null_latency_rows, min(lat) AS min_latency, "
-            "max(lat) AS max_latency, round(CAST(sum(lat) AS DOUBLE) / count(lat), 3) AS avg_latency, "
-            + ", ".join(f"round(quantile_cont(lat, {q}), 3) AS {n}" for q, n in QS))
+def _summary_cols(c: str = "lat") -> str:
+    return (f"count(*) AS total_rows, count({c}) AS non_null_latency_rows, min({c}) AS min_latency, "
+            f"max({c}) AS max_latency, round(CAST(sum({c}) AS DOUBLE) / count({c}), 3) AS avg_latency, "
+            + ", ".join(f"round(quantile_cont({c}, {q}), 3) AS {n}" for q, n in QS))
 
 
 def _pair(src: str, key: str, cols: str, where: str = "", extra_lag: str = "") -> str:
@@ -338,6 +338,16 @@ def oracle_sql() -> dict[str, str]:
     q["decode_samples"] = q["pair_rw"]
     q["decode_samples_syscall"] = q["pair_syscall"]
     q["latency_summary_by_comm_radix"] = q["latency_summary_by_comm"]
+    q["latency_summary_radix"] = q["latency_summary"]
+    q["syscall_duration_summary"] = with_ctes(
+        f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
+        f"SELECT {_summary_cols('duration')} "
+        "FROM t WHERE duration IS NOT NULL", "raw_calls")
+    q["block_io_summary_ms_by_comm"] = with_ctes(
+        f"WITH {lagged('raw_calls', 'dev, sector')}, t AS (SELECT ({LAT}) // 1000000 AS latency_ms, comm "
+        "FROM lagged WHERE kind = 'exit' AND pk = 'entry') "
+        f"SELECT comm, {_summary_cols('latency_ms')} "
+        "FROM t WHERE latency_ms IS NOT NULL GROUP BY comm", "raw_calls")
     q["outcome_counts"] = with_ctes(
         f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
         "SELECT CASE WHEN ret < 0 THEN 'error' ELSE 'ok' END AS outcome, count(*) AS cnt FROM t GROUP BY 1",
