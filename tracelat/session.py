@@ -22,7 +22,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # transformWithState (streaming pairing) needs the RocksDB provider.
     "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",  # see ROCKSDB
 }
 
 
@@ -48,6 +48,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def ensure_stateful_streaming(spark: SparkSession) -> None:
+    """``transformWithState`` keeps several state variables per operator,
+    which only the RocksDB state store supports; select it unless the
+    session already names a provider other than the default one."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    cur = spark.conf.get(key, None)
+    if not cur or cur.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(key, ROCKSDB)
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.pairing import finish, prepare
+from ..session import ensure_stateful_streaming
 from ..specs import spec as get_spec
 
 PENDING = T.StructType([T.StructField("ts_ns", T.LongType()), T.StructField("pid_tgid", T.LongType())])
@@ -73,6 +74,7 @@ def pair_stream(raw_stream: DataFrame, probe: str, params: dict | None = None,
                 effect: str = "reference", ttl_ms: int | None = None) -> DataFrame:
     """Streaming twin of :func:`tracelat.operators.pairing.pair`."""
     s = get_spec(probe)
+    ensure_stateful_streaming(raw_stream.sparkSession)
     ev, post, _ = prepare(raw_stream, s, params, effect)
     out_schema = T.StructType(list(ev.schema.fields) + [
         T.StructField("_prev_kind", T.StringType()),
