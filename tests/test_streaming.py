@@ -39,3 +39,33 @@ def test_pairing_across_micro_batches(spark, sf_dir):
         want = pair(raw, probe, {"filter_comm": "proc3"})
         assert got.count() == want.count()
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_hot_settings_stream_equals_batch_asof(spark, sf_dir):
+    from tracelat.operators.asof import apply_config_asof
+    from tracelat.streaming.hot_config import start_ingest_hot
+    raw = fx.raw_calls(spark, sf_dir)
+    ev = raw.where(F.col("event_type") != "signup").select(*[f.name for f in RAW_SCHEMA.fields])
+    cfg_dir = tempfile.mkdtemp(prefix="tracelat-cfg-")
+    fx.config_log(spark, sf_dir).write.mode("overwrite").parquet(os.path.join(cfg_dir, "cfg"))
+    src = tempfile.mkdtemp(prefix="tracelat-hsrc-")
+    b = ev.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    step = (b[1] + 1 - b[0]) // 4 + 1
+    for i in range(4):
+        part = ev.where((F.col("ts_ns") >= b[0] + i * step) & (F.col("ts_ns") < b[0] + (i + 1) * step))
+        part.coalesce(1).write.parquet(os.path.join(src, f"d{i}"))
+    flat = tempfile.mkdtemp(prefix="tracelat-hflat-")
+    files = sorted(os.path.join(dp, f) for dp, _, fs in os.walk(src) for f in fs if f.endswith(".parquet"))
+    for i, f in enumerate(files):
+        os.link(f, os.path.join(flat, f"{i:03d}.parquet"))
+    wd = tempfile.mkdtemp(prefix="tracelat-hot-")
+    stream = stream_trace(spark, flat, RAW_SCHEMA, max_files_per_trigger=1)
+    q = start_ingest_hot(stream, "nfs_file_read", os.path.join(wd, "t"), os.path.join(wd, "ck"),
+                         "20260101-000000", config_path=os.path.join(cfg_dir, "cfg"),
+                         params=["filter_pid"], available_now=True)
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(os.path.join(wd, "t", "probe=nfs_file_read")).drop("run_id", "batch_id")
+    want = apply_config_asof(ev, fx.config_log(spark, sf_dir), "nfs_file_read", ["filter_pid"])
+    assert got.count() == want.count()
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -80,12 +80,29 @@ def q_append_compact(spark: SparkSession, sf_dir: str):
     return scan_trace(spark, root, "nfs_file_read", "20260101-000000").drop("probe", "run_id")
 
 
+def q_hot_settings_stream(spark: SparkSession, sf_dir: str):
+    """Settings that change while the stream runs: the config log (derived
+    from the data) is a table re-read at every micro-batch."""
+    from .hot_config import start_ingest_hot
+    configure(spark)
+    wd = _workdir(spark, "hot")
+    cfg_path = os.path.join(wd, "config")
+    fx.config_log(spark, sf_dir).write.mode("overwrite").parquet(cfg_path)
+    raw = fx.raw_calls_from(fx.events_stream(spark, sf_dir)).where(F.col("event_type") != "signup")
+    q = start_ingest_hot(raw, "nfs_file_read", os.path.join(wd, "tables"), os.path.join(wd, "ckpt"),
+                         "20260101-000000", config_path=cfg_path, params=["filter_pid"], available_now=True)
+    stop_ingest(q)
+    return (spark.read.parquet(os.path.join(wd, "tables", "probe=nfs_file_read"))
+            .drop("run_id", "batch_id"))
+
+
 def streaming_queries() -> dict:
     return {
         "pair_stream": q_pair_stream,
         "start_ingest": q_start_ingest,
         "ingest_progress": q_ingest_progress,
         "append_compact_scan": q_append_compact,
+        "hot_settings_stream": q_hot_settings_stream,
     }
 
 
@@ -93,4 +110,4 @@ def streaming_oracle_sql() -> dict:
     from ..plans.sql import oracle_sql
     o = oracle_sql()
     return {"pair_stream": o["pair_rw"], "start_ingest": o["pair_syscall"],
-            "append_compact_scan": o["pair_rw"]}
+            "append_compact_scan": o["pair_rw"], "hot_settings_stream": o["pair_rw_asof"]}
