@@ -86,10 +86,26 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
             F.max_by(F.struct(*[F.col(c) for c in need]), F.struct("ts_ns", "seq")).alias("e"))
         pend = last.select("e.*").where(F.col("kind") == "entry")
         pend.write.mode("overwrite").parquet(f"{pending_base}/batch_id={batch_id}")
+        _drop_versions_before(spark, pending_base, prev)
     finally:
         ev.unpersist()
 
 
+def _drop_versions_before(spark: SparkSession, base: str, keep: str | None) -> None:
+    """Remove pending versions older than ``keep`` (the one this batch read):
+    a re-run of this batch needs ``keep``, nothing needs the older ones."""
+    if keep is None:
+        return
+    keep_id = int(keep.rsplit("=", 1)[1])
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(base)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("batch_id=") and int(name.split("=", 1)[1]) < keep_id:
+            fs.delete(st.getPath(), True)
+
+
 def start_ingest_hot(raw_stream: DataFrame, probe: str, root: str, checkpoint_root: str, run_id: str,
                      config_path: str | None = None, config_schema=None, params=None,
                      trigger_seconds: float | None = None, available_now: bool = False) -> StreamingQuery:
