@@ -111,8 +111,10 @@ def queries() -> dict:
     q = {
         "latency_summary": lambda s, d: stats.latency_summary(_calls(s, d), "lat"),
         "latency_summary_radix": lambda s, d: stats.latency_summary(_calls(s, d), "lat", method="exact"),
-        "syscall_duration_summary": lambda s, d: stats.latency_summary(pair(_raw(s, d), "sys_call_trace"),
-                                                                       "duration"),
+        # ns durations summarised in ms (see block_io_summary_ms_by_comm)
+        "syscall_duration_ms_summary": lambda s, d: stats.latency_summary(
+            pair(_raw(s, d), "sys_call_trace").withColumn("duration_ms", F.expr("duration div 1000000")),
+            "duration_ms"),
         # ns latencies summarised in ms: at ~1e14 ns the engines' interpolations differ in the last ulp
         "block_io_summary_ms_by_comm": lambda s, d: stats.latency_summary_by(
             pair(_raw(s, d), "block_io_latency").withColumn("latency_ms", F.expr("latency div 1000000")),

@@ -339,10 +339,11 @@ def oracle_sql() -> dict[str, str]:
     q["decode_samples_syscall"] = q["pair_syscall"]
     q["latency_summary_by_comm_radix"] = q["latency_summary_by_comm"]
     q["latency_summary_radix"] = q["latency_summary"]
-    q["syscall_duration_summary"] = with_ctes(
-        f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "
-        f"SELECT {_summary_cols('duration')} "
-        "FROM t WHERE duration IS NOT NULL", "raw_calls")
+    q["syscall_duration_ms_summary"] = with_ctes(
+        f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT ({LAT}) // 1000000 AS duration_ms "
+        "FROM lagged WHERE kind = 'exit') "
+        f"SELECT {_summary_cols('duration_ms')} "
+        "FROM t WHERE duration_ms IS NOT NULL", "raw_calls")
     q["block_io_summary_ms_by_comm"] = with_ctes(
         f"WITH {lagged('raw_calls', 'dev, sector')}, t AS (SELECT ({LAT}) // 1000000 AS latency_ms, comm "
         "FROM lagged WHERE kind = 'exit' AND pk = 'entry') "
