@@ -154,3 +154,24 @@ def test_auto_chunking_kicks_in_for_large_inputs(spark, raw_events, monkeypatch)
     s = SPECS["nfs_file_read"]
     got = _spark_rows(pair(raw, "nfs_file_read"))
     assert _sorted(got) == _sorted(simulate_pairing(ev, s))
+
+
+def test_hot_key_is_split_and_exact(spark, monkeypatch):
+    """One thread holds half of all events: the automatic width cuts it into
+    many (key, chunk) groups and the result still equals the simulation."""
+    import tracelat.operators.carry as carry
+    rng = random.Random(17)
+    ev = _random_events(rng, 1200)
+    hot = (500 << 32) | 500
+    for e in ev[::2]:
+        e["pid_tgid"] = hot
+    raw = spark.createDataFrame([tuple(e[f.name] for f in RAW_SCHEMA.fields) for e in ev], RAW_SCHEMA)
+    monkeypatch.setattr(carry.auto_chunk_width, "__defaults__", (100,))
+    width = carry.auto_chunk_width(raw, "ts_ns")
+    assert width is not None
+    chunks = raw.where(F.col("pid_tgid") == hot).select(F.expr(f"ts_ns div {width}")).distinct().count()
+    assert chunks >= 5
+    for probe in ("nfs_file_read", "sys_call_trace"):
+        got = _spark_rows(pair(raw, probe, {"filter_pid": 500} if probe == "sys_call_trace" else {}))
+        want = simulate_pairing(ev, SPECS[probe], {"filter_pid": 500} if probe == "sys_call_trace" else {})
+        assert _sorted(got) == _sorted(want), probe
