@@ -225,3 +225,17 @@ def test_table_exists_and_status_precedence(spark):
                                  "probe string, state string, loaded boolean, last_error string")
     got = {r.probe: (r.state, r.loaded, r.last_error) for r in status_precedence(rem, live).collect()}
     assert got == {"a": ("loaded", True, None), "b": ("unloaded", False, None)}
+
+
+def test_encoders_agree_and_round_trip(spark):
+    from decimal import Decimal
+    from tracelat.sources.decode import encode_rows
+    rows = [(7, 100, 200, Decimal(2 ** 64 - 5), "cat", "a.log"),
+            (8, 0, 1, Decimal(0), "ünïcode-name-long-enough-to-cut-it", "ß" * 20),
+            (9, 5, 6, None, None, None)]
+    df = spark.createDataFrame(rows, SPECS["nfs_file_read"].schema)
+    a = [bytes(r.sample) for r in encode_rows(df, "nfs_file_read").collect()]
+    b = [bytes(r.sample) for r in encode_rows(df, "nfs_file_read", engine="sql").collect()]
+    assert a == b and all(len(x) == LAYOUTS["nfs_file_read"][1] for x in a)
+    back = decode_samples(encode_rows(df, "nfs_file_read"), "nfs_file_read").collect()
+    assert int(back[0]["size"]) == 2 ** 64 - 5 and back[0].comm == "cat" and back[0].file == "a.log"

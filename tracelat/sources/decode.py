@@ -99,8 +99,13 @@ def _cbytes(s: Column, width: int) -> Column:
     return F.substring(F.rpad(F.coalesce(s, F.lit("")).cast("binary"), width, F.unhex(F.lit("00"))), 1, width)
 
 
-def encode_rows(df: DataFrame, probe: str, col: str = "sample") -> DataFrame:
-    """Trace rows of ``probe`` -> binary records (inverse of decode)."""
+def encode_rows(df: DataFrame, probe: str, col: str = "sample", engine: str = "arrow") -> DataFrame:
+    """Trace rows of ``probe`` -> binary records (inverse of decode).
+
+    ``engine='arrow'``: numpy fills an ``(n, size)`` byte matrix per Arrow
+    batch; ``engine='sql'``: JVM expressions only."""
+    if engine == "arrow":
+        return _encode_arrow(df, probe, col)
     layout, size = LAYOUTS[probe]
     pieces = []
     pos = 0
@@ -112,7 +117,7 @@ def encode_rows(df: DataFrame, probe: str, col: str = "sample") -> DataFrame:
             pieces.append(_cbytes(c, w))
         else:
             v = as_s64(c) if str(df.schema[name].dataType).startswith("Decimal") else c.cast("long")
-            pieces.append(_le_bytes(v, w))
+            pieces.append(_le_bytes(F.coalesce(v, F.lit(0).cast("long")), w))   # null -> zero bytes
         pos = off + w
     if size > pos:
         pieces.append(F.unhex(F.lit("00" * (size - pos))))
@@ -164,3 +169,46 @@ def _decode_arrow(df: DataFrame, probe: str, col: str) -> DataFrame:
     layout, size = LAYOUTS[probe]
     types = {n: t.simpleString() for n, t in s.columns}
     return df.select(col).mapInArrow(_arrow_decoder(layout, size, s.names, types), s.schema)
+
+
+def _arrow_encoder(layout, size, col):
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            n = batch.num_rows
+            recs = np.zeros((n, size), dtype=np.uint8)
+            for name, off, kind, w in layout:
+                arr = batch.column(name)
+                if kind == "c":
+                    arr = arr.fill_null("")
+                    if n and pc.all(pc.string_is_ascii(arr)).as_py():
+                        # one byte per character: cut/pad to w bytes, view as (n, w)
+                        fixed = pc.utf8_rpad(pc.utf8_slice_codeunits(arr, 0, w), width=w, padding="\x00")
+                        buf = fixed.cast(pa.binary()).buffers()[2]
+                        recs[:, off:off + w] = np.frombuffer(buf, dtype=np.uint8)[:n * w].reshape(n, w)
+                    else:
+                        for i, v in enumerate(arr.to_pylist()):      # non-ASCII: byte-exact cut
+                            b = v.encode("utf-8")[:w]
+                            recs[i, off:off + len(b)] = np.frombuffer(b, dtype=np.uint8)
+                    continue
+                if pa.types.is_decimal(arr.type):
+                    ints = pc.cast(arr, pa.uint64(), safe=False).fill_null(0).to_numpy(zero_copy_only=False)
+                else:
+                    ints = arr.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                le = ints.astype("<u8").view(np.uint8).reshape(n, 8)
+                recs[:, off:off + w] = le[:, :w]
+            offsets = (np.arange(n + 1, dtype=np.int32) * size)
+            out = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(recs.tobytes())])
+            yield pa.RecordBatch.from_arrays([out], names=[col])
+    return run
+
+
+def _encode_arrow(df: DataFrame, probe: str, col: str) -> DataFrame:
+    from pyspark.sql import types as T
+    layout, size = LAYOUTS[probe]
+    names = [n for n, *_ in layout]
+    return df.select(*names).mapInArrow(_arrow_encoder(layout, size, col),
+                                        T.StructType([T.StructField(col, T.BinaryType())]))
