@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fixed_bytes, to_fixed_string, to_u32, to_uint64
+from ..functions.scalars import to_fixed_string, to_u32, to_uint64
 from ..specs import PROBES, SPECS
 from .carry import auto_chunk_width, carry_last, chunk_of
 from .catalog import maybe_broadcast
@@ -237,4 +237,4 @@ def param_history(applied: DataFrame, keys=("probe",), order="seq", params=None,
 
 
 __all__ = ["replay_control", "latest_status", "error_level", "map_error", "dry_run_answers",
-           "command_validity", "param_updates", "param_history", "fixed_bytes"]
+           "command_validity", "param_updates", "param_history", "names_frame"]
