@@ -10,30 +10,15 @@ TWO_64 = 1 << 64
 # --- file-name wildcard ------------------------------------------------------
 
 def c_wildcard(pattern: bytes, name: bytes) -> bool:
-    """Byte-level model of the read/write probes' file matcher."""
-    pat = pattern[:16]
-    P = pat + b"\0" * (16 - len(pat))
-    S = name[:15] + b"\0" * (16 - len(name[:15]))
-    if P[0:1] == b"*":
-        pat_len = P.find(b"\0") if b"\0" in P else 16
-        if pat_len <= 1:
-            return True
-        str_len = S.find(b"\0")
-        start = str_len - (pat_len - 1)
-        if start < 0:
-            return False
-        return all(P[i] == S[start + i - 1] for i in range(1, pat_len))
-    pi = si = 0
-    while pi < 16 and si < 16:
-        if P[pi] == 0 and S[si] == 0:
-            return True
-        if P[pi] == 0 or S[si] == 0:
-            return False
-        if P[pi] != ord("?") and P[pi] != S[si]:
-            return False
-        pi += 1
-        si += 1
-    return False
+    """The file rule on bytes, stated directly: the setting is a 16-byte
+    buffer (cut at its first NUL), the name at most 15 bytes; a leading
+    ``*`` asks for a literal suffix, otherwise lengths must be equal and
+    each pattern byte is either ``?`` or the same byte."""
+    pat = pattern[:16].split(b"\0", 1)[0]
+    nm = name[:15].split(b"\0", 1)[0]
+    if pat.startswith(b"*"):
+        return nm.endswith(pat[1:])
+    return len(pat) == len(nm) and all(p == ord("?") or p == c for p, c in zip(pat, nm))
 
 
 # --- entry/exit pairing ------------------------------------------------------

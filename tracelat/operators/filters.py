@@ -128,6 +128,10 @@ def filter_table(df: DataFrame, probe: str, params: dict) -> DataFrame:
                 preds.append(F.col("pid") == F.lit(int(value)))
         elif name == "filter_comm":
             preds.append(comm_predicate(s, "comm", value))
+            if not _off_literal(value) and not isinstance(value, Column):
+                # implied by the exact rule and pushable to the scan
+                preds.append(F.col("comm").startswith(
+                    value.encode("utf-8")[:s.comm_len].decode("utf-8", "ignore")))
         elif name == "filter_syscall_id":
             preds.append(syscall_predicate(s, "syscall_id", value))
         elif name == "filter_file":
