@@ -26,6 +26,25 @@ DEFAULT_CONF = {
 }
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for the input volume of a job (e.g. 100 TB of events).
+
+    Shuffle partitions are chosen so that one partition holds about
+    ``target_partition_bytes`` of shuffled data (AQE coalesces them when
+    filters shrink the data, and splits skewed ones in joins); file splits
+    use the same size, so a scan task and a reduce task fit the same
+    executor memory."""
+    parts = max(200, min(200_000, input_bytes // target_partition_bytes + 1))
+    size = f"{target_partition_bytes // (1 << 20)}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_bytes // (1 << 20)}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
+
+
 def get_spark(master: str | None = None, app: str = "tracelat",
               shuffle_partitions: int | None = None, **conf) -> SparkSession:
     b = SparkSession.builder.appName(app)
