@@ -69,3 +69,16 @@ def test_hot_settings_stream_equals_batch_asof(spark, sf_dir):
     want = apply_config_asof(ev, fx.config_log(spark, sf_dir), "nfs_file_read", ["filter_pid"])
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_pair_stream_with_state_ttl(spark, sf_dir):
+    """With a state TTL (processing-time mode) far above the run time the
+    rows equal the batch pairing."""
+    wd = tempfile.mkdtemp(prefix="tracelat-ttl-")
+    raw = fx.raw_calls_from(fx.events_stream(spark, sf_dir))
+    q = start_ingest(raw, "block_io_latency", os.path.join(wd, "t"), os.path.join(wd, "ck"),
+                     "20260101-000000", ttl_ms=3_600_000, available_now=True)
+    stop_ingest(q)
+    got = scan_trace(spark, os.path.join(wd, "t"), "block_io_latency").drop("probe", "run_id")
+    want = pair(fx.raw_calls(spark, sf_dir), "block_io_latency")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

@@ -35,7 +35,23 @@ def start_ingest(raw_stream: DataFrame, probe: str, root: str, checkpoint_root:
         w = w.trigger(availableNow=True)
     elif trigger_seconds:
         w = w.trigger(processingTime=f"{trigger_seconds} seconds")
-    return w.start()
+    if not ttl_ms:
+        return w.start()
+    # With a processing-time TTL Spark would keep running "no new data"
+    # micro-batches only to expire state, so a drain would never finish.
+    # Expiry then happens on the next data batch instead.  The query runs
+    # on a clone of the session conf, so the caller's value is restored.
+    spark = raw_stream.sparkSession
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    prev = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        return w.start()
+    finally:
+        if prev is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, prev)
 
 
 def stop_ingest(query: StreamingQuery) -> dict:
