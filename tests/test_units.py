@@ -239,3 +239,14 @@ def test_encoders_agree_and_round_trip(spark):
     assert a == b and all(len(x) == LAYOUTS["nfs_file_read"][1] for x in a)
     back = decode_samples(encode_rows(df, "nfs_file_read"), "nfs_file_read").collect()
     assert int(back[0]["size"]) == 2 ** 64 - 5 and back[0].comm == "cat" and back[0].file == "a.log"
+
+
+def test_probe_info_not_found(spark):
+    from tracelat.operators.catalog import ProbeNotFound, probe_info
+    cat = scan_catalog(spark)
+    st = spark.createDataFrame([("nfs_getattr", "loaded", True, None)],
+                               "probe string, state string, loaded boolean, last_error string")
+    r = probe_info(cat, st, "nfs_getattr").first()
+    assert (r.state, r.loaded, r["count"]) == ("loaded", True, 1)
+    with pytest.raises(ProbeNotFound):
+        probe_info(cat, st, "no_such_probe")

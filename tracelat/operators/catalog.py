@@ -130,3 +130,16 @@ def catalog_status(cat: DataFrame, status: DataFrame, probe: str | None = None,
                    F.coalesce("loaded", F.lit(False)).alias("loaded"),
                    F.col("last_error"), F.lit(total).cast("long").alias("count")))
     return out.orderBy("type")
+
+
+class ProbeNotFound(LookupError):
+    """``PROBE_NOT_FOUND``: no catalogue entry for the probe."""
+
+
+def probe_info(cat: DataFrame, status: DataFrame, probe: str, live: DataFrame | None = None) -> DataFrame:
+    """JOIN-2, one probe: its metadata and status; raises
+    :class:`ProbeNotFound` when the catalogue has no entry for it."""
+    out = catalog_status(cat, status, probe=probe, live=live)
+    if out.limit(1).count() == 0:
+        raise ProbeNotFound(f"PROBE_NOT_FOUND: {probe}")
+    return out
