@@ -250,3 +250,13 @@ def test_probe_info_not_found(spark):
     assert (r.state, r.loaded, r["count"]) == ("loaded", True, 1)
     with pytest.raises(ProbeNotFound):
         probe_info(cat, st, "no_such_probe")
+
+
+def test_asof_with_negative_stamps_both_plans(spark):
+    from tracelat.operators.asof import asof_join
+    ev = spark.createDataFrame([(i, t) for i, t in enumerate([-9, -5, -4, -1, 0, 3, 7, 100])], "seq long, ts_ns long")
+    cfg = spark.createDataFrame([(-5, 1), (-1, 2), (3, 0)], "from_ns long, filter_pid long")
+    want = {0: None, 1: 1, 2: 1, 3: 2, 4: 2, 5: 0, 6: 0, 7: 0}
+    for mb in (10, 0):      # broadcast bucket join, then the union scan
+        got = {r.seq: r._p_filter_pid for r in asof_join(ev, cfg, ["filter_pid"], max_broadcast_rows=mb).collect()}
+        assert got == want, mb

@@ -43,11 +43,17 @@ def asof_join(events: DataFrame, config: DataFrame, params, ts_col: str = "ts_ns
     return _union_carry(events, config, params, ts_col, from_col, chunk_ns)
 
 
+def _div(a: int, b: int) -> int:
+    """Integer division truncating toward zero, like SQL ``div``."""
+    q = abs(a) // b
+    return q if a >= 0 else -q
+
+
 def _broadcast_bucket_join(events, config, params, ts_col, from_col, n):
     st = config.agg(F.min(from_col).alias("mn"), F.max(from_col).alias("mx")).first()
     mn, mx = st["mn"], st["mx"]
     width = max(1, (mx - mn) // n + 1)
-    b_lo, b_hi = mn // width, mx // width
+    b_lo, b_hi = _div(mn, width), _div(mx, width)   # same rounding as the Spark side
     # The config side was counted above: a single ordered window over it is bounded.
     w = Window.orderBy(from_col)
     cfg = config.select(from_col, *params).withColumn("_to", F.lead(from_col).over(w))
@@ -71,15 +77,18 @@ def _union_carry(events, config, params, ts_col, from_col, chunk_ns):
         span = max(1, (st["mx"] or 0) - (st["mn"] or 0))
         nparts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
         chunk_ns = max(1, span // (nparts * 8) + 1)
-    ev = events.withColumn("_src", F.lit(1)).withColumn("_rid", F.monotonically_increasing_id())
+    # Updates sort before events of the same stamp (an update applies from
+    # its own time on).  Events carry no values, so their order among
+    # themselves does not change any result.
+    ev = events.withColumn("_src", F.lit(1))
     for p in params:
         ev = ev.withColumn(f"_v_{p}", F.lit(None).cast(config.schema[p].dataType))
     cf = config.select(F.col(from_col).alias(ts_col), *[F.col(p).alias(f"_v_{p}") for p in params]) \
-               .withColumn("_src", F.lit(0)).withColumn("_rid", F.lit(None).cast("long"))
+               .withColumn("_src", F.lit(0))
     u = ev.unionByName(cf, allowMissingColumns=True)
-    out = carry_last(u, [], [ts_col, "_src", "_rid"], {f"_p_{p}": F.col(f"_v_{p}") for p in params},
+    out = carry_last(u, [], [ts_col, "_src"], {f"_p_{p}": F.col(f"_v_{p}") for p in params},
                      chunk=chunk_of(ts_col, chunk_ns), inclusive=True, keep=F.col("_src") == 1)
-    return out.drop("_src", "_rid", *[f"_v_{p}" for p in params])
+    return out.drop("_src", *[f"_v_{p}" for p in params])
 
 
 def apply_config_asof(raw: DataFrame, config: DataFrame, probe: str, params=None, **kw) -> DataFrame:
