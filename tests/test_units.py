@@ -260,3 +260,12 @@ def test_asof_with_negative_stamps_both_plans(spark):
     for mb in (10, 0):      # broadcast bucket join, then the union scan
         got = {r.seq: r._p_filter_pid for r in asof_join(ev, cfg, ["filter_pid"], max_broadcast_rows=mb).collect()}
         assert got == want, mb
+
+
+def test_grouped_quantiles_keep_null_group(spark):
+    from tracelat.operators.stats import latency_summary_by
+    rows = [(None, i) for i in range(50)] + [("a", i * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, lat long")
+    a = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="exact").collect()}
+    b = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="percentile").collect()}
+    assert a == b and None in a

@@ -169,6 +169,16 @@ def _cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` treating null keys as equal (a null group is a group)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None = None) -> DataFrame:
     """Exact ``quantile_cont`` per group, by radix selection per group.
 
@@ -210,13 +220,14 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
             intervals = (active.select(*keys, "lo", "hi").distinct()
                          .withColumn("w", F.expr(f"((hi - lo) div {nb}) + 1")))
             side = F.broadcast(intervals) if small else intervals
-            hist = (vals.join(side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+            # (null-safe on the group keys)
+            hist = (_join_on(vals, side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
                     .select(*keys, "lo", "hi", "w", F.expr("(v - lo) div w").alias("b"))
                     .groupBy(*keys, "lo", "hi", "w", "b").count())
             wcum = Window.partitionBy(*keys, "lo", "hi").orderBy("b") \
                          .rowsBetween(Window.unboundedPreceding, 0)
             cum = hist.withColumn("cum", F.sum("count").over(wcum))
-            moved = (active.join(cum, keys + ["lo", "hi"])
+            moved = (_join_on(active, cum, keys + ["lo", "hi"])
                      .where((F.col("below") + F.col("cum") - F.col("count") <= F.col("r"))
                             & (F.col("r") < F.col("below") + F.col("cum")))
                      .select(*keys, "r",
@@ -227,7 +238,7 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
             done = state.where(F.col("lo") >= F.col("hi"))
             state = _cut_lineage(done.unionByName(moved))
         vals_at = state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "lo"))).alias("m"))
-        out = st.join(vals_at, keys, "left")
+        out = _join_on(st, vals_at, keys, "left")
         cols = []
         for i, q in enumerate(qs):
             h = (F.col("n") - 1).cast("double") * F.lit(q)
