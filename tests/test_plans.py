@@ -45,14 +45,32 @@ def test_pairing_is_one_shuffle_with_pushed_filters(stored):
     assert "file" not in text.split("ReadSchema:")[1].split("\n")[0]     # pruned
 
 
-def test_chunked_pairing_shuffles_the_data_once(stored):
+def test_chunked_pairing_shuffles_the_data_once(spark, stored):
+    """Even when the carry table is too big to broadcast, the event rows are
+    shuffled once: the window, the summary and the join back share the same
+    (surrogate key, chunk) partitioning."""
     _, raw = stored
-    lines = _plan(pair(raw, "nfs_file_read", chunk_ns=10 ** 12)).splitlines()
-    whole_rows = [i for i, ln in enumerate(lines)
-                  if "Exchange hashpartitioning(pid_tgid" in ln
-                  and "Aggregate" not in lines[i + 1]]          # not a map-side partial aggregate
-    assert len(whole_rows) == 1              # only the (key, chunk) exchange moves whole rows
-    assert "_chunk" in lines[whole_rows[0]]
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, "-1")
+        df = pair(raw, "nfs_file_read", chunk_ns=10 ** 12)
+        df.write.format("noop").mode("overwrite").save()
+        lines = _plan(df).splitlines()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    exchanges = [ln for ln in lines if "Exchange hashpartitioning" in ln]
+    assert not any("coalesce(" in ln for ln in exchanges)
+    join = next(i for i, ln in enumerate(lines) if "SortMergeJoin" in ln)
+    big_side = []
+    for ln in lines[join + 1:]:                # the left (streamed) input of the join
+        if ln.lstrip().startswith("+-") and "Exchange" in ln and ":" not in ln[:ln.index("+-")]:
+            break
+        if "Exchange" in ln:
+            big_side.append(ln)
+    assert len(big_side) == 1 and "_chunk" in big_side[0]
 
 
 def test_p99_row_pushes_the_bound_and_takes_top1_per_partition(spark, stored):

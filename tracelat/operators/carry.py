@@ -21,8 +21,6 @@ The result equals the single-window scan exactly.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,30 +48,37 @@ def carry_last(df: DataFrame, keys, order, values: dict[str, Column],
             out = out.where(keep)
         return out.drop(*tmp.values())
 
+    # Non-null surrogate keys (value or a placeholder, plus a null flag):
+    # the window, the per-chunk summary and the join back then all use the
+    # same hash partitioning, so the big side is shuffled exactly once (a
+    # null-safe join would be planned on different key expressions).
+    sk = []
+    for i, k in enumerate(keys):
+        dt = df.schema[k].dataType.simpleString()
+        placeholder = F.lit("") if dt == "string" else F.lit(0).cast(dt)
+        base = base.withColumn(f"_sk{i}", F.coalesce(F.col(k), placeholder)) \
+                   .withColumn(f"_sn{i}", F.col(k).isNull())
+        sk += [f"_sk{i}", f"_sn{i}"]
     base = base.withColumn("_chunk", chunk)
-    w1 = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    w1 = Window.partitionBy(*sk, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = base
     for n in names:
         local = local.withColumn(f"_cl_{n}", F.last(tmp[n], ignorenulls=True).over(w1))
 
     ordkey = F.struct(*order)
-    summary = local.groupBy(*keys, "_chunk").agg(
+    summary = local.groupBy(*sk, "_chunk").agg(
         *[F.max_by(F.col(tmp[n]), F.when(F.col(tmp[n]).isNotNull(), ordkey)).alias(f"_cs_{n}")
           for n in names])
-    w2 = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    w2 = Window.partitionBy(*sk).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(
-        *[F.col(k).alias(f"_ck_{k}") for k in keys], F.col("_chunk").alias("_ck_chunk"),
-        *[F.last(f"_cs_{n}", ignorenulls=True).over(w2).alias(f"_cc_{n}") for n in names])
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(k).eqNullSafe(F.col(f"_ck_{k}")) for k in keys]
-                  + [F.col("_chunk") == F.col("_ck_chunk")])
+        *sk, "_chunk", *[F.last(f"_cs_{n}", ignorenulls=True).over(w2).alias(f"_cc_{n}") for n in names])
     kept = local if keep is None else local.where(keep)
-    joined = kept.join(carry, cond, "left")
+    joined = kept.join(carry, sk + ["_chunk"], "left")
     out = joined
     for n in names:
         out = out.withColumn(n, F.coalesce(F.col(f"_cl_{n}"), F.col(f"_cc_{n}")))
     drop = (list(tmp.values()) + [f"_cl_{n}" for n in names] + [f"_cc_{n}" for n in names]
-            + [f"_ck_{k}" for k in keys] + ["_ck_chunk", "_chunk"])
+            + sk + ["_chunk"])
     return out.drop(*drop)
 
 
