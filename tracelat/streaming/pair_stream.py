@@ -45,17 +45,17 @@ class PairProcessor(StatefulProcessor):
         prev_kind = pdf["kind"].shift(1).astype(object)
         prev_ts = pdf["ts_ns"].astype("Int64").shift(1)
         prev_pid = pdf["pid_tgid"].astype("Int64").shift(1)
-        if self.pending.exists():
-            ts0, pid0 = self.pending.get()
+        cur = self.pending.get()          # None when the key has no pending entry
+        if cur is not None:
             prev_kind.iloc[0] = "entry"
-            prev_ts.iloc[0] = ts0
-            prev_pid.iloc[0] = pid0
+            prev_ts.iloc[0] = cur[0]
+            prev_pid.iloc[0] = cur[1]
         else:
             prev_kind.iloc[0] = None
         last = pdf.iloc[-1]
         if last["kind"] == "entry":
             self.pending.update((int(last["ts_ns"]), None if pd.isna(last["pid_tgid"]) else int(last["pid_tgid"])))
-        else:
+        elif cur is not None:
             self.pending.clear()
         is_exit = (pdf["kind"] == "exit").to_numpy()
         out = pdf.loc[is_exit, self.columns].copy()
