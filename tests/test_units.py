@@ -269,3 +269,13 @@ def test_grouped_quantiles_keep_null_group(spark):
     a = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="exact").collect()}
     b = {r.k: r.asDict() for r in latency_summary_by(df, "lat", "k", method="percentile").collect()}
     assert a == b and None in a
+
+
+def test_scale_conf_and_checkpoint_dir(spark):
+    from tracelat.session import checkpoint_dir, scale_conf
+    c = scale_conf(100 * 2 ** 40)                    # 100 TB of input
+    assert int(c["spark.sql.shuffle.partitions"]) == 200_000
+    assert c["spark.sql.files.maxPartitionBytes"] == c["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "256m"
+    assert int(scale_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
+    # the folder named by the session is used as is
+    assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
