@@ -82,3 +82,18 @@ def test_pair_stream_with_state_ttl(spark, sf_dir):
     got = scan_trace(spark, os.path.join(wd, "t"), "block_io_latency").drop("probe", "run_id")
     want = pair(fx.raw_calls(spark, sf_dir), "block_io_latency")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_batch_pair_rejects_streams_and_fixed_settings_engine(spark, sf_dir):
+    import pytest
+    from tracelat.streaming.hot_config import start_ingest_hot
+    stream = fx.raw_calls_from(fx.events_stream(spark, sf_dir))
+    with pytest.raises(TypeError, match="pair_stream"):
+        pair(stream, "nfs_file_read")
+    wd = tempfile.mkdtemp(prefix="tracelat-fixed-")
+    q = start_ingest_hot(stream, "sys_call_trace", os.path.join(wd, "t"), os.path.join(wd, "ck"),
+                         "20260101-000000", fixed={"filter_comm": "proc2"}, available_now=True)
+    stop_ingest(q)
+    got = spark.read.parquet(os.path.join(wd, "t", "probe=sys_call_trace")).drop("run_id", "batch_id")
+    want = pair(fx.raw_calls(spark, sf_dir), "sys_call_trace", {"filter_comm": "proc2"})
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

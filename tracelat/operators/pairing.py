@@ -155,6 +155,9 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     (:func:`auto_chunk_width`); ``None`` forces the single window.
     """
     s = get_spec(probe) if isinstance(probe, str) else probe
+    if raw.isStreaming:
+        raise TypeError("pair() is the batch operator; for a stream use "
+                        "tracelat.streaming.pair_stream.pair_stream or streaming.ingest.start_ingest")
     ev, post, prev_fields = prepare(raw, s, params, effect, extra_cols)
     prev_struct = F.struct(*[F.col(c) for c in prev_fields])
     is_exit = F.col("kind") == "exit"

@@ -54,8 +54,9 @@ def _latest_version_below(spark: SparkSession, base: str, batch_id: int) -> str
 
 
 def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_root: str,
-                  run_id: str, config: DataFrame | None, params) -> None:
-    """One micro-batch of the hot-settings ingest (also usable directly)."""
+                  run_id: str, config: DataFrame | None, params, fixed: dict | None = None) -> None:
+    """One micro-batch of the hot-settings ingest (also usable directly).
+    ``fixed`` holds settings that do not change (literal values)."""
     spark = batch.sparkSession
     s = get_spec(probe)
     need = [c for c in _raw_needs(s) if c in batch.columns]
@@ -75,6 +76,7 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
     ev = ev.persist()
     try:
         settings = {p: F.col(f"_p_{p}") for p in params}
+        settings.update(fixed or {})
         rows = pair(ev, s, settings)
         (rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -108,12 +110,14 @@ def _drop_versions_before(spark: SparkSession, base: str, keep: str | None) -> N
 
 def start_ingest_hot(raw_stream: DataFrame, probe: str, root: str, checkpoint_root: str, run_id: str,
                      config_path: str | None = None, config_schema=None, params=None,
-                     trigger_seconds: float | None = None, available_now: bool = False) -> StreamingQuery:
+                     fixed: dict | None = None, trigger_seconds: float | None = None,
+                     available_now: bool = False) -> StreamingQuery:
     """Start the hot-settings ingest of one probe.  ``config_path`` holds the
     settings log (``from_ns`` + one column per parameter), re-read at every
     micro-batch so that updates written while the query runs take effect."""
     s = get_spec(probe)
-    params = list(params or s.filters)
+    fixed = dict(fixed or {})
+    params = [p for p in (params if params is not None else s.filters) if p not in fixed]
     state_root = os.path.join(checkpoint_root, f"{probe}-{run_id}-state")
 
     def on_batch(batch, batch_id):
@@ -124,7 +128,7 @@ def start_ingest_hot(raw_stream: DataFrame, probe: str, root: str, checkpoint_ro
             if config_schema is not None:
                 r = r.schema(config_schema)
             cfg = r.parquet(config_path)
-        process_batch(batch, batch_id, probe, root, state_root, run_id, cfg, params)
+        process_batch(batch, batch_id, probe, root, state_root, run_id, cfg, params, fixed)
 
     w = (raw_stream.writeStream.foreachBatch(on_batch)
          .option("checkpointLocation", os.path.join(checkpoint_root, f"{probe}-{run_id}-hot"))
