@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tracelat.llm import bpe, shard_table, token_counts
+from tracelat.llm import bpe, line_frequency, shard_table, token_counts
+from pyspark.sql import functions as F
+
 from tracelat.llm.base import table
 
 
@@ -12,6 +14,12 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_frequency(spark, sf_dir):
+    rows = line_frequency.judge(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                       F.size("removed").cast("long").alias("removed_lines"), "removed_words")
+
+
 def op4_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(64)])
 
@@ -25,7 +33,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op4_shard_table, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op4_shard_table, op9_bpe_round_trip, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
