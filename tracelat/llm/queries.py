@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tracelat.llm import bpe, line_frequency, shard_table, token_counts
 from pyspark.sql import functions as F
 
+from tracelat.llm import bpe, line_frequency, minhash, shard_table, token_counts
 from tracelat.llm.base import table
 
 
@@ -24,6 +24,10 @@ def op4_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(64)])
 
 
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_round_trip(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -33,7 +37,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_frequency, op4_shard_table, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op4_shard_table, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
