@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelat.llm import bpe, line_frequency, minhash, shard_table, token_counts
+from tracelat.llm import best_fit, bpe, line_frequency, minhash, shard_table, token_counts, wavelet
 from tracelat.llm.base import table
 
 
@@ -24,6 +24,14 @@ def op4_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(64)])
 
 
+def op5_wavelet_files(spark, sf_dir):
+    return wavelet.read_shards(wavelet.write_shards(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")))
+
+
+def op6_best_fit(spark, sf_dir):
+    return best_fit.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,7 +45,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_frequency, op4_shard_table, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op4_shard_table, op5_wavelet_files, op6_best_fit, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
