@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelat.llm import best_fit, bpe, line_frequency, minhash, pseudonyms, shard_table, token_counts, wavelet
+from tracelat.llm import best_fit, bpe, line_frequency, minhash, pseudonyms, secret_index, shard_table, token_counts, wavelet
 from tracelat.llm.base import table
 
 
@@ -29,6 +29,10 @@ def op2_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymise(docs, KEY, counts=True)
 
 
+def op3_secret_index(spark, sf_dir):
+    return secret_index.report(table(spark, sf_dir, "documents"))
+
+
 def op4_shard_table(spark, sf_dir):
     return shard_table.place(table(spark, sf_dir, "documents"), [f"shard-{i:03d}" for i in range(64)])
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op4_shard_table, op5_wavelet_files, op6_best_fit, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op3_secret_index, op4_shard_table, op5_wavelet_files, op6_best_fit, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
