@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelat.llm import best_fit, bpe, line_frequency, minhash, pseudonyms, secret_index, shard_table, token_counts, wavelet
+from tracelat.llm import best_fit, bpe, line_frequency, minhash, pseudonyms, secret_index, shard_table, simhash, token_counts, wavelet
 from tracelat.llm.base import table
 
 
@@ -45,6 +45,11 @@ def op6_best_fit(spark, sf_dir):
     return best_fit.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op7_simhash(spark, sf_dir):
+    # searches take every fiftieth id as a query, against all documents
+    return simhash.report(table(spark, sf_dir, "documents"), query=F.col("doc_id") % 50 == 0)
+
+
 def op8_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,7 +63,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op3_secret_index, op4_shard_table, op5_wavelet_files, op6_best_fit, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op3_secret_index, op4_shard_table, op5_wavelet_files, op6_best_fit, op7_simhash, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
