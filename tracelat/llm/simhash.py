@@ -38,7 +38,8 @@ def terms(text: Column) -> Column:
 
 def fingerprints(rows: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """``keys``, and the fingerprint of the text as two longs, fp0 (bits 0 to 63) and fp1; one row for each key."""
-    votes = rows.select(*keys, F.explode_outer(terms(F.col(text_col))).alias("__h0")).withColumn("__h1", F.xxhash64(F.lit(BITS), "__h0"))
+    votes = rows.select(*keys, F.explode_outer(terms(F.col(text_col))).alias("__h0")).withColumn(
+        "__h1", F.when(F.col("__h0").isNotNull(), F.xxhash64(F.lit(BITS), "__h0")))
     sums = [F.sum(F.shiftrightunsigned(f"__h{w}", g).bitwiseAND(F.lit(PAIR))).alias(f"__v{w}_{g}") for w in (0, 1) for g in range(32)]
     counted = votes.groupBy(*keys).agg(F.count("__h0").alias("__n"), *sums)
 
