@@ -170,15 +170,20 @@ def _holds(query: frozenset[Clause], held: Column) -> Column:
 
 def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Leftmost non-overlapping matches that are long enough: structs of start, ``rank`` and end, in code points."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    between = F.split(text, rule.pattern, -1)
-    if rule.group:
-        part = lambda m: F.char_length(F.regexp_extract(m, rule.pattern, rule.group))
-    else:
-        part = F.char_length
-    items = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(
-        F.char_length(b).alias("gap"), F.char_length(m).alias("n"), (part(m) >= rule.length).alias("kept")))
-    return _placed(items, rank)
+    part = (lambda m: F.char_length(F.regexp_extract(m, rule.pattern, rule.group))) if rule.group else F.char_length
+
+    def places(found):
+        between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found))
+        items = F.zip_with(found, between, lambda m, b: F.struct(
+            F.char_length(b).alias("gap"), F.char_length(m).alias("n"), (part(m) >= rule.length).alias("kept")))
+        return F.when(F.size(found) > 0, _once(items, lambda i: _placed(i, rank))).otherwise(F.array().cast(SPAN))
+
+    return _once(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), places)
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _placed(items: Column, rank: int) -> Column:
