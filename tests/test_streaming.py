@@ -32,11 +32,12 @@ def test_pairing_across_micro_batches(spark, sf_dir):
         q = start_ingest(stream, probe, os.path.join(wd, "t"), os.path.join(wd, "ck"), "20260101-000000",
                          params={"filter_comm": "proc3"}, available_now=True)
         q.processAllAvailable()
-        prog = ingest_progress(q)
         stop_ingest(q)
+        prog = ingest_progress(spark, os.path.join(wd, "ck"), probe, "20260101-000000", q)
         assert prog["batches"] >= 4 and prog["rows_in"] == raw.count()
         got = scan_trace(spark, os.path.join(wd, "t"), probe).drop("probe", "run_id")
         want = pair(raw, probe, {"filter_comm": "proc3"})
+        assert prog["rows_written"] == want.count()
         assert got.count() == want.count()
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
@@ -65,7 +66,7 @@ def test_hot_settings_stream_equals_batch_asof(spark, sf_dir):
                          params=["filter_pid"], available_now=True)
     q.processAllAvailable()
     q.stop()
-    got = spark.read.parquet(os.path.join(wd, "t", "probe=nfs_file_read")).drop("run_id", "batch_id")
+    got = scan_trace(spark, os.path.join(wd, "t"), "nfs_file_read").drop("probe", "run_id")
     want = apply_config_asof(ev, fx.config_log(spark, sf_dir), "nfs_file_read", ["filter_pid"])
     assert got.count() == want.count()
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -94,6 +95,27 @@ def test_batch_pair_rejects_streams_and_fixed_settings_engine(spark, sf_dir):
     q = start_ingest_hot(stream, "sys_call_trace", os.path.join(wd, "t"), os.path.join(wd, "ck"),
                          "20260101-000000", fixed={"filter_comm": "proc2"}, available_now=True)
     stop_ingest(q)
-    got = spark.read.parquet(os.path.join(wd, "t", "probe=sys_call_trace")).drop("run_id", "batch_id")
+    got = scan_trace(spark, os.path.join(wd, "t"), "sys_call_trace").drop("probe", "run_id")
     want = pair(fx.raw_calls(spark, sf_dir), "sys_call_trace", {"filter_comm": "proc2"})
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_compaction_shows_each_row_once(spark, sf_dir):
+    """At every point of a compaction - also one that broke off - a scan sees each row once."""
+    import pytest
+    from tracelat.sources import traces
+    wd = tempfile.mkdtemp(prefix="tracelat-compact-")
+    with pytest.raises(ValueError, match="does not exist"):
+        scan_trace(spark, wd, "sys_call_trace")
+    rows = pair(fx.raw_calls(spark, sf_dir), "sys_call_trace").cache()
+    n = rows.count()
+    for run in ("r1", "r1", "r2"):
+        traces.append_trace(rows, wd, "sys_call_trace", run)
+    traces.write_batch(rows, wd, "sys_call_trace", "r1", traces.COMPACT + "unpublished")
+    assert scan_trace(spark, wd, "sys_call_trace").count() == 3 * n
+    traces.compact_run(spark, wd, "sys_call_trace", "r1")
+    traces.append_trace(rows, wd, "sys_call_trace", "r1")
+    assert scan_trace(spark, wd, "sys_call_trace", "r1").count() == 3 * n
+    traces.compact_run(spark, wd, "sys_call_trace", "r1", files=1)
+    assert scan_trace(spark, wd, "sys_call_trace", "r1").count() == 3 * n and scan_trace(spark, wd, "sys_call_trace").count() == 4 * n
+    assert scan_trace(spark, wd, "sys_call_trace", "r2").drop("probe", "run_id").exceptAll(rows).count() == 0

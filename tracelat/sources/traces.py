@@ -1,11 +1,17 @@
 """Trace tables on storage: scan, stream, append, run ids, compaction.
 
-Layout: one folder per probe under a root (``root/probe=<name>``), each a
-Parquet dataset partitioned by ``run_id`` (``YYYYMMDD-HHMMSS`` of the session
-start).  A scan of one probe opens only its folder and a scan of one run
-prunes the others.  One folder per probe also gives every streaming ingest
-query its own sink commit log (``_spark_metadata``), so several probes can
-be ingested side by side and batch readers see only committed files.
+Layout: ``root/probe=<name>/run_id=<run>/batch_id=<batch>/``, plain Parquet
+files.  Every writer owns its batch folders: a batch append writes one named
+by a random id, a streaming query one per micro-batch (a re-run of the
+micro-batch replaces it).  No folder has a sink commit log, so runs written
+by appends, by streams and by restarted streams lie side by side and one scan
+reads them all; a scan of one probe opens only its folder and a scan of one
+run prunes the others.
+
+Compaction writes a run's batches into one new folder that scans ignore until
+a marker (one file under ``root/_compactions``) names it and the batches it
+replaces; from then on they ignore those.  So every reader sees each row once,
+whenever it looks and wherever a compaction broke off.
 """
 
 from __future__ import annotations
@@ -17,9 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.catalog import table_exists
 from ..specs import RAW_SCHEMA, spec as get_spec
 
-PART_COLS = ("run_id",)
+PART_COLS = ("run_id", "batch_id")
+COMPACT = "compact-"
+MARKER = "run_id string, compacted string, replaced array<string>"
 
 
 def probe_path(root: str, probe: str) -> str:
@@ -32,21 +41,43 @@ def run_id_of(started_at: datetime | None = None) -> str:
     return t.strftime("%Y%m%d-%H%M%S")
 
 
-def with_run_id(df: DataFrame, probe: str, run_id: str) -> DataFrame:
-    return df.withColumn("probe", F.lit(probe)).withColumn("run_id", F.lit(run_id))
+def batch_path(root: str, probe: str, run_id: str, batch_id: str) -> str:
+    return f"{probe_path(root, probe)}/run_id={run_id}/batch_id={batch_id}"
 
 
 def table_schema(probe: str) -> T.StructType:
     s = get_spec(probe)
-    return T.StructType(list(s.schema.fields) + [T.StructField("run_id", T.StringType())])
+    return T.StructType(list(s.schema.fields) + [T.StructField(c, T.StringType()) for c in PART_COLS])
 
 
-def scan_trace(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
-    """SRC-1: one probe table with its fixed schema (partition-pruned)."""
+def _markers(spark: SparkSession, root: str, probe: str) -> list:
+    """Published compactions of a probe: one row for each."""
+    path = f"{root.rstrip('/')}/_compactions/probe={probe}"
+    if not table_exists(spark, path):
+        return []
+    return spark.read.schema(MARKER).json(path).collect()
+
+
+def _visible(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
+    """The probe's rows with their partition columns: no unpublished compaction, no replaced batch."""
+    if not table_exists(spark, probe_path(root, probe)):
+        raise ValueError(f"table does not exist: {probe} under {root}")
     df = spark.read.schema(table_schema(probe)).parquet(probe_path(root, probe))
     if run_id is not None:
         df = df.where(F.col("run_id") == run_id)
-    return df.withColumn("probe", F.lit(probe))
+    marks = [m for m in _markers(spark, root, probe) if run_id in (None, m["run_id"])]
+    gone = [b for m in marks for b in m["replaced"]]
+    shown = [m["compacted"] for m in marks if m["compacted"] not in gone]
+    df = df.where(~F.col("batch_id").startswith(COMPACT) | F.col("batch_id").isin(shown))
+    for m in marks:
+        df = df.where((F.col("run_id") != m["run_id"]) | ~F.col("batch_id").isin(m["replaced"]))
+    return df
+
+
+def scan_trace(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
+    """SRC-1: one probe table with its fixed schema (partition-pruned); an
+    error if the table does not exist."""
+    return _visible(spark, root, probe, run_id).drop("batch_id").withColumn("probe", F.lit(probe))
 
 
 def stream_trace(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
@@ -61,11 +92,14 @@ def stream_trace(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
     return r.load(path)
 
 
+def write_batch(df: DataFrame, root: str, probe: str, run_id: str, batch_id: str) -> None:
+    """Write one batch folder; a folder of that name is replaced."""
+    df.select(*get_spec(probe).names).write.mode("overwrite").parquet(batch_path(root, probe, run_id, batch_id))
+
+
 def append_trace(df: DataFrame, root: str, probe: str, run_id: str) -> None:
     """SNK-1: append rows of one probe run (the dataset is created on first write)."""
-    s = get_spec(probe)
-    (df.select(*s.names).withColumn("run_id", F.lit(run_id))
-     .write.mode("append").partitionBy(*PART_COLS).parquet(probe_path(root, probe)))
+    write_batch(df, root, probe, run_id, f"append-{uuid.uuid4().hex}")
 
 
 def drain(query) -> dict:
@@ -76,27 +110,29 @@ def drain(query) -> dict:
     return last or {}
 
 
-def compact_run(spark: SparkSession, root: str, probe: str, run_id: str, files: int = 1) -> str:
-    """SNK-4: rewrite one run's partition into ``files`` files.
+def compact_run(spark: SparkSession, root: str, probe: str, run_id: str, files: int | None = None,
+                file_bytes: int = 256 << 20) -> str:
+    """SNK-4: rewrite the finished batches of one run into few files.
 
-    The rows are written to a staging folder next to the partition, then
-    the partition folder is replaced by a rename (atomic on HDFS-like
-    stores); readers see either the old or the new files.
-    """
-    base = probe_path(root, probe)
-    part = f"{base}/run_id={run_id}"
-    stage = f"{root.rstrip('/')}/_staging/{uuid.uuid4().hex}"
-    s = get_spec(probe)
-    (spark.read.schema(s.schema).parquet(part).repartition(files)
-     .write.mode("overwrite").parquet(stage))
+    Works on any run, also while a stream writes to it (batches that appear
+    meanwhile stay as they are).  ``files`` is taken from the bytes read if
+    not given.  The new folder counts only from the moment its marker is
+    there, the old ones only until then; then they are deleted."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p_part = jvm.org.apache.hadoop.fs.Path(part)
-    fs = p_part.getFileSystem(conf)
-    if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/_spark_metadata")):
-        raise ValueError("folder is owned by a streaming sink; its commit log lists the files")
-    old = jvm.org.apache.hadoop.fs.Path(stage + "-old")
-    fs.rename(p_part, old)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(stage), p_part)
-    fs.delete(old, True)
-    return part
+    path = jvm.org.apache.hadoop.fs.Path
+    base = f"{probe_path(root, probe)}/run_id={run_id}"
+    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(path(base))
+             if fs.exists(path(st.getPath(), "_SUCCESS"))]
+    rows = _visible(spark, root, probe, run_id).where(F.col("batch_id").isin(names))
+    shown = [r["batch_id"] for r in rows.select("batch_id").distinct().collect()]
+    if not files:
+        size = sum(fs.getContentSummary(path(f"{base}/batch_id={b}")).getLength() for b in shown)
+        files = max(1, -(-size // file_bytes))
+    new = COMPACT + uuid.uuid4().hex
+    write_batch(rows.repartition(files), root, probe, run_id, new)
+    (spark.createDataFrame([(run_id, new, shown)], MARKER).coalesce(1)
+     .write.mode("append").json(f"{root.rstrip('/')}/_compactions/probe={probe}"))
+    for b in shown:
+        fs.delete(path(f"{base}/batch_id={b}"), True)
+    return f"{base}/batch_id={new}"

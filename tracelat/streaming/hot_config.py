@@ -12,12 +12,17 @@ Spark batch jobs:
    when they arrived, so their settings are "off") are unioned in, and the
    union is paired with :func:`tracelat.operators.pairing.pair` — one
    shuffle by key, skew-safe chunking as in batch;
-3. the rows go to ``root/probe=<p>`` partitioned by ``run_id`` and
-   ``batch_id`` with dynamic partition overwrite, so a re-run of the same
-   batch after a failure replaces its own output (exactly once);
+3. the rows go to the batch's own folder of the probe's table
+   (``sources/traces.py``), so a re-run of the same batch after a failure
+   replaces its own output (exactly once); rows read and written go to a
+   progress table, one row per batch;
 4. the new pending set (per key, the last surviving event if it is an
-   entry) is written to ``state/pending/batch_id=<id>``; the next batch
-   reads the newest version below its own id.
+   entry, and no older than ``ttl_ns`` before the newest event) is written
+   to ``state/pending/batch_id=<id>``; the next batch reads the newest
+   version below its own id.
+
+The settings log is pinned: the first try of a batch writes what it read to
+``state/config/batch_id=<id>``, and a re-run reads that.
 
 All state lives in tables under the checkpoint root (a shared folder), so
 the query survives executor and driver loss like any file-sink query.
@@ -32,11 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.asof import asof_join
+from ..operators.catalog import table_exists
 from ..operators.pairing import _raw_needs, pair, prepare
-from ..sources.traces import probe_path
+from ..sources.traces import batch_path, write_batch
 from ..specs import spec as get_spec
 
 
+PROGRESS = "batch long, rows_in long, rows_written long"
+
+
 def _latest_version_below(spark: SparkSession, base: str, batch_id: int) -> str | None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -54,9 +63,11 @@ def _latest_version_below(spark: SparkSession, base: str, batch_id: int) -> str
 
 
 def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_root: str,
-                  run_id: str, config: DataFrame | None, params, fixed: dict | None = None) -> None:
+                  run_id: str, config: DataFrame | None, params, fixed: dict | None = None,
+                  ttl_ns: int | None = None) -> None:
     """One micro-batch of the hot-settings ingest (also usable directly).
-    ``fixed`` holds settings that do not change (literal values)."""
+    ``fixed`` holds settings that do not change (literal values); pending
+    entries more than ``ttl_ns`` older than the newest event are given up."""
     spark = batch.sparkSession
     s = get_spec(probe)
     need = [c for c in _raw_needs(s) if c in batch.columns]
@@ -77,17 +88,20 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
     try:
         settings = {p: F.col(f"_p_{p}") for p in params}
         settings.update(fixed or {})
-        rows = pair(ev, s, settings)
-        (rows.withColumn("run_id", F.lit(run_id)).withColumn("batch_id", F.lit(batch_id))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id", "batch_id").parquet(probe_path(root, probe)))
+        write_batch(pair(ev, s, settings), root, probe, run_id, f"{batch_id:09d}")
         # new pending set: per key, the last event that survived the entry
         # filters, kept only when it is an entry
         kept, _, _ = prepare(ev, s, settings)
         last = kept.groupBy(*s.key_cols).agg(
             F.max_by(F.struct(*[F.col(c) for c in need]), F.struct("ts_ns", "seq")).alias("e"))
         pend = last.select("e.*").where(F.col("kind") == "entry")
+        if ttl_ns:
+            newest = ev.agg(F.max("ts_ns")).first()[0]
+            pend = pend.where(F.col("ts_ns") >= (newest or 0) - ttl_ns)
         pend.write.mode("overwrite").parquet(f"{pending_base}/batch_id={batch_id}")
+        written = spark.read.parquet(batch_path(root, probe, run_id, f"{batch_id:09d}")).count()
+        (spark.createDataFrame([(batch_id, batch.count(), written)], PROGRESS).coalesce(1)
+         .write.mode("overwrite").parquet(f"{state_root}/progress/batch_id={batch_id}"))
         _drop_versions_before(spark, pending_base, prev)
     finally:
         ev.unpersist()
@@ -108,27 +122,35 @@ def _drop_versions_before(spark: SparkSession, base: str, keep: str | None) -> N
             fs.delete(st.getPath(), True)
 
 
+def state_root(checkpoint_root: str, probe: str, run_id: str) -> str:
+    return os.path.join(checkpoint_root, f"{probe}-{run_id}-state")
+
+
+def _pinned(spark: SparkSession, path: str, schema, state: str, batch_id: int) -> DataFrame:
+    """The settings log as the batch's first try read it."""
+    mine = f"{state}/config/batch_id={batch_id}"
+    if not table_exists(spark, f"{mine}/_SUCCESS"):
+        (spark.read.schema(schema) if schema is not None else spark.read).parquet(path).write.mode("overwrite").parquet(mine)
+    _drop_versions_before(spark, f"{state}/config", mine)
+    return spark.read.parquet(mine)
+
+
 def start_ingest_hot(raw_stream: DataFrame, probe: str, root: str, checkpoint_root: str, run_id: str,
                      config_path: str | None = None, config_schema=None, params=None,
                      fixed: dict | None = None, trigger_seconds: float | None = None,
-                     available_now: bool = False) -> StreamingQuery:
+                     available_now: bool = False, ttl_ns: int | None = None) -> StreamingQuery:
     """Start the hot-settings ingest of one probe.  ``config_path`` holds the
     settings log (``from_ns`` + one column per parameter), re-read at every
     micro-batch so that updates written while the query runs take effect."""
     s = get_spec(probe)
     fixed = dict(fixed or {})
     params = [p for p in (params if params is not None else s.filters) if p not in fixed]
-    state_root = os.path.join(checkpoint_root, f"{probe}-{run_id}-state")
+    state = state_root(checkpoint_root, probe, run_id)
 
     def on_batch(batch, batch_id):
         spark = batch.sparkSession
-        cfg = None
-        if config_path is not None:
-            r = spark.read
-            if config_schema is not None:
-                r = r.schema(config_schema)
-            cfg = r.parquet(config_path)
-        process_batch(batch, batch_id, probe, root, state_root, run_id, cfg, params, fixed)
+        cfg = None if config_path is None else _pinned(spark, config_path, config_schema, state, batch_id)
+        process_batch(batch, batch_id, probe, root, state, run_id, cfg, params, fixed, ttl_ns)
 
     w = (raw_stream.writeStream.foreachBatch(on_batch)
          .option("checkpointLocation", os.path.join(checkpoint_root, f"{probe}-{run_id}-hot"))

@@ -1,57 +1,32 @@
 """STR-1..3: continuous ingest, one independent streaming query per probe.
 
-``start_ingest`` = raw stream -> filters -> stateful pairing -> append to the
-probe's table partition of the current run, with its own checkpoint, so
-several probes run side by side and stop independently.  ``stop_ingest``
-drains (``processAllAvailable``) before stopping; a restart uses a new
-``run_id``.
+``start_ingest`` runs every micro-batch as batch jobs (``hot_config.py``,
+settings fixed): filters, pairing with the entries still pending from earlier
+batches, one folder of the probe's table per batch, its own checkpoint - so
+several probes run side by side, stop independently, and no Python runs per
+key.  ``stop_ingest`` drains (``processAllAvailable``) before stopping; a
+restart uses a new ``run_id``, whose rows lie beside the earlier runs'.
 """
 
 from __future__ import annotations
 
-import os
-
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
-
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.traces import PART_COLS, drain, probe_path
-from ..specs import spec as get_spec
-from .pair_stream import pair_stream
+from ..operators.catalog import table_exists
+from ..sources.traces import drain
+from .hot_config import PROGRESS, start_ingest_hot, state_root
 
 
 def start_ingest(raw_stream: DataFrame, probe: str, root: str, checkpoint_root: str, run_id: str,
                  params: dict | None = None, trigger_seconds: float | None = None,
                  ttl_ms: int | None = None, available_now: bool = False) -> StreamingQuery:
-    rows = pair_stream(raw_stream, probe, params=params, ttl_ms=ttl_ms)
-    out = rows.select(*get_spec(probe).names).withColumn("run_id", F.lit(run_id))
-    w = (out.writeStream.format("parquet").outputMode("append")
-         .option("path", probe_path(root, probe))
-         .option("checkpointLocation", os.path.join(checkpoint_root, f"{probe}-{run_id}"))
-         .partitionBy(*PART_COLS)
-         .queryName(f"ingest_{probe}_{run_id.replace('-', '_')}"))
-    if available_now:
-        w = w.trigger(availableNow=True)
-    elif trigger_seconds:
-        w = w.trigger(processingTime=f"{trigger_seconds} seconds")
-    if not ttl_ms:
-        return w.start()
-    # With a processing-time TTL Spark would keep running "no new data"
-    # micro-batches only to expire state, so a drain would never finish.
-    # Expiry then happens on the next data batch instead.  The query runs
-    # on a clone of the session conf, so the caller's value is restored.
-    spark = raw_stream.sparkSession
-    key = "spark.sql.streaming.noDataMicroBatches.enabled"
-    prev = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        return w.start()
-    finally:
-        if prev is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, prev)
+    """``ttl_ms``: pending entries that much older than a batch's newest event
+    are given up, which bounds the pending table."""
+    return start_ingest_hot(raw_stream, probe, root, checkpoint_root, run_id, params=[], fixed=params,
+                            trigger_seconds=trigger_seconds, available_now=available_now,
+                            ttl_ns=ttl_ms * 1_000_000 if ttl_ms else None)
 
 
 def stop_ingest(query: StreamingQuery) -> dict:
@@ -75,11 +50,16 @@ def flush_all(queries) -> dict:
     return errors
 
 
-def ingest_progress(query: StreamingQuery) -> dict:
-    """Rows in / rows written over the query's recent progress, last error."""
-    prog = query.recentProgress or []
-    rows_in = sum(p.get("numInputRows", 0) for p in prog)
-    written = sum((p.get("sink") or {}).get("numOutputRows", 0) or 0 for p in prog)
-    exc = query.exception()
-    return {"name": query.name, "batches": len(prog), "rows_in": rows_in,
-            "rows_written": written, "last_error": None if exc is None else str(exc)}
+def ingest_progress(spark: SparkSession, checkpoint_root: str, probe: str, run_id: str,
+                    query: StreamingQuery | None = None) -> dict:
+    """STR-3: batches, rows in and rows written of a run from its first batch
+    on (from the run's progress table, one row per batch), and the query's
+    last error."""
+    path = f"{state_root(checkpoint_root, probe, run_id)}/progress"
+    done = {"batches": 0, "rows_in": 0, "rows_written": 0}
+    if table_exists(spark, path):
+        rows = spark.read.schema(PROGRESS).parquet(path)
+        done = rows.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("rows_in"), F.lit(0)).alias("rows_in"),
+                        F.coalesce(F.sum("rows_written"), F.lit(0)).alias("rows_written")).first().asDict()
+    exc = None if query is None else query.exception()
+    return {"name": probe, **done, "last_error": None if exc is None else str(exc)}

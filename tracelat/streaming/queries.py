@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, configure
 from ..sources import fixtures as fx
-from ..sources.traces import append_trace, compact_run, scan_trace
+from ..sources.traces import append_trace, compact_run, scan_trace, stream_trace
 from .ingest import ingest_progress, start_ingest, stop_ingest
 
 
@@ -24,14 +24,29 @@ def _workdir(spark: SparkSession, tag: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{tag}-{uuid.uuid4().hex[:12]}")
 
 
+RUN = "20260101-000000"
+SLICES = 4
+
+
+def _ingest_slices(spark: SparkSession, sf_dir: str, probe: str, root: str, ck: str, run_id: str, src: str) -> None:
+    """The events arrive in ``SLICES`` slices of time; after each one the run's
+    query starts again from its checkpoint, reads it as one micro-batch and
+    stops.  Pending entries go from each slice to the next."""
+    events = fx.table(spark, sf_dir, "events")
+    lo, hi = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(lo)) * SLICES / F.lit((hi or 0) - (lo or 0) + 1))
+    for i in range(SLICES):
+        events.where(part == i).write.mode("append").parquet(src)
+        raw = fx.raw_calls_from(stream_trace(spark, src, events.schema))
+        stop_ingest(start_ingest(raw, probe, root, ck, run_id, available_now=True))
+
+
 def q_pair_stream(spark: SparkSession, sf_dir: str):
     configure(spark)
     wd = _workdir(spark, "pair_stream")
-    raw = fx.raw_calls_from(fx.events_stream(spark, sf_dir))
-    q = start_ingest(raw, "nfs_file_read", os.path.join(wd, "tables"), os.path.join(wd, "ckpt"),
-                     "20260101-000000", available_now=True)
-    stop_ingest(q)
-    return scan_trace(spark, os.path.join(wd, "tables"), "nfs_file_read").drop("probe", "run_id")
+    root = os.path.join(wd, "tables")
+    _ingest_slices(spark, sf_dir, "nfs_file_read", root, os.path.join(wd, "ckpt"), RUN, os.path.join(wd, "src"))
+    return scan_trace(spark, root, "nfs_file_read").drop("probe", "run_id")
 
 
 def _two_probes(spark: SparkSession, sf_dir: str):
@@ -41,30 +56,45 @@ def _two_probes(spark: SparkSession, sf_dir: str):
     qs = {}
     for probe in ("sys_call_trace", "rpc_task_latency"):
         raw = fx.raw_calls_from(fx.events_stream(spark, sf_dir))
-        qs[probe] = start_ingest(raw, probe, root, ck, "20260101-000000", available_now=True)
-    return root, qs
+        qs[probe] = start_ingest(raw, probe, root, ck, RUN, available_now=True)
+    return root, ck, qs
 
 
 def q_start_ingest(spark: SparkSession, sf_dir: str):
-    root, qs = _two_probes(spark, sf_dir)
+    root, _, qs = _two_probes(spark, sf_dir)
     for q in qs.values():
         stop_ingest(q)
     return scan_trace(spark, root, "sys_call_trace").drop("probe", "run_id")
 
 
 def q_ingest_progress(spark: SparkSession, sf_dir: str):
-    root, qs = _two_probes(spark, sf_dir)
+    _, ck, qs = _two_probes(spark, sf_dir)
     rows = []
     for probe, q in qs.items():
-        q.processAllAvailable()
-        p = ingest_progress(q)
-        q.stop()
-        rows.append((probe, p["rows_in"], p["last_error"]))
-    prog = spark.createDataFrame(rows, "probe string, rows_in long, last_error string")
-    written = (scan_trace(spark, root, "sys_call_trace").unionByName(
-        scan_trace(spark, root, "rpc_task_latency"), allowMissingColumns=True)
-        .groupBy("probe").agg(F.count(F.lit(1)).alias("rows_written")))
-    return prog.join(written, "probe", "left")
+        stop_ingest(q)
+        p = ingest_progress(spark, ck, probe, RUN, q)
+        rows.append((probe, p["rows_in"], p["rows_written"], p["last_error"]))
+    return spark.createDataFrame(rows, "probe string, rows_in long, rows_written long, last_error string")
+
+
+def q_runs_side_by_side(spark: SparkSession, sf_dir: str):
+    """SRC-1/SNK-1/SNK-4/STR-2: append run 0, stream run 1, append run 2, a
+    restarted stream as run 3, compact run 1, scan all."""
+    from ..operators.pairing import pair
+    configure(spark)
+    wd = _workdir(spark, "runs")
+    root, ck, probe = os.path.join(wd, "tables"), os.path.join(wd, "ckpt"), "nfs_file_read"
+    rows = pair(fx.raw_calls(spark, sf_dir), probe)
+    for i, run in enumerate(RUNS):
+        if i % 2:
+            _ingest_slices(spark, sf_dir, probe, root, ck, run, os.path.join(wd, f"src{i}"))
+        else:
+            append_trace(rows, root, probe, run)
+    compact_run(spark, root, probe, RUNS[1])
+    return scan_trace(spark, root, probe).drop("probe")
+
+
+RUNS = tuple(f"20260101-00000{i}" for i in range(4))
 
 
 def q_append_compact(spark: SparkSession, sf_dir: str):
@@ -92,8 +122,7 @@ def q_hot_settings_stream(spark: SparkSession, sf_dir: str):
     q = start_ingest_hot(raw, "nfs_file_read", os.path.join(wd, "tables"), os.path.join(wd, "ckpt"),
                          "20260101-000000", config_path=cfg_path, params=["filter_pid"], available_now=True)
     stop_ingest(q)
-    return (spark.read.parquet(os.path.join(wd, "tables", "probe=nfs_file_read"))
-            .drop("run_id", "batch_id"))
+    return scan_trace(spark, os.path.join(wd, "tables"), "nfs_file_read").drop("probe", "run_id")
 
 
 def streaming_queries() -> dict:
@@ -102,6 +131,7 @@ def streaming_queries() -> dict:
         "start_ingest": q_start_ingest,
         "ingest_progress": q_ingest_progress,
         "append_compact_scan": q_append_compact,
+        "runs_side_by_side": q_runs_side_by_side,
         "hot_settings_stream": q_hot_settings_stream,
     }
 
@@ -109,5 +139,10 @@ def streaming_queries() -> dict:
 def streaming_oracle_sql() -> dict:
     from ..plans.sql import oracle_sql
     o = oracle_sql()
-    return {"pair_stream": o["pair_rw"], "start_ingest": o["pair_syscall"],
+    runs = ", ".join(f"('{r}')" for r in RUNS)
+    progress = " UNION ALL ".join(
+        f"SELECT '{probe}' AS probe, (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM ({o[q]})) AS rows_written, "
+        "CAST(NULL AS VARCHAR) AS last_error" for probe, q in (("sys_call_trace", "pair_syscall"), ("rpc_task_latency", "pair_rpc")))
+    return {"pair_stream": o["pair_rw"], "start_ingest": o["pair_syscall"], "ingest_progress": progress,
+            "runs_side_by_side": f"SELECT p.*, r.run_id FROM ({o['pair_rw']}) p CROSS JOIN (VALUES {runs}) r(run_id)",
             "append_compact_scan": o["pair_rw"], "hot_settings_stream": o["pair_rw_asof"]}
