@@ -10,10 +10,9 @@ empty and linked with nothing.  Documents are linked if 100 * intersection >= 80
    in about 600 times (less than once in 10 000 at 0.85).
 3. Of each bucket the class with the smallest id is the pivot; its pairs with the others are verified on full sets and
    the verified links give components.
-4. In buckets that still hold several components, every pair of members from different components is verified too, so
-   no link between colliding sets is lost and yet no group emits all its pairs.  Bounds that are exact spare most of
-   these: a set can only be linked if at least 0.8 of its shingles occur in other sets met there, and two sets only if
-   what each shares is no less than the intersection they need.
+4. In buckets that still hold several components, every pair of members from different components is tried too, so no
+   link between colliding sets is lost.  Such pairs meet on half-keys in a join whose condition compares their sets, so
+   only pairs that are close enough leave it, and they are verified on full sets.
 5. Components of all links: every id gets the smallest one that is reachable.
 
 Nothing is capped.  Half-keys and sets come from map tasks; buckets and pairs are joins that adaptive execution splits.
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from tracelat.llm.base import stored, texts
 from tracelat.llm.encode import chunks
 
-SIDE, ROWS, PERCENT = 10, 3, 80
+SIDE, ROWS, PERCENT, SLACK = 10, 3, 80, 2
 #: Words whose hashes a worker keeps.
 WORDS = 500_000
 SKETCH = "doc_id long, n_shingles long, set_hash binary, a array<long>, b array<long>"
@@ -190,18 +189,18 @@ def links(docs: DataFrame, sketches: DataFrame) -> DataFrame:
     labelled = members.join(part.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = stored(labelled.select("key", "rep", "n", "pivot", "component"), "labelled")
     mixed = labelled.groupBy("key", "component").count().groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("count", "component")).alias("m"))
-    mixed = stored(labelled.join(mixed.filter("parts > 1").select("key", F.col("m.component").alias("main")), "key"), "mixed")  # main: the largest component
-    inside = mixed.select(F.col("rep").alias("doc_id")).distinct().join(sets, "doc_id")
-    owners = inside.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("doc_id").alias("doc_id"))
-    alone = owners.filter("k = 1").groupBy("doc_id").agg(F.count("*").cast("int").alias("alone"))
-    shared = mixed.join(alone.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
-    shared = stored(shared.filter(100 * F.col("shared") >= PERCENT * F.col("n")).select("key", "rep", "n", "pivot", "component", "main", "shared"), "shared")
-    x = shared.filter("component <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component", "shared")])
-    # an intersection of at least PERCENT / (100 + PERCENT) of both sizes
-    enough = (100 + PERCENT) * F.least("shared", "x_shared") >= PERCENT * (F.col("n") + F.col("x_n"))
-    once = (F.col("component") == F.col("main")) | (F.col("rep") < F.col("x_rep"))
-    tried = (F.col("rep") == F.col("pivot")) | (F.col("x_rep") == F.col("pivot"))
-    rest = x.join(shared, "key").filter((F.col("component") != F.col("x_component")) & once & ~tried & enough & _could_link(F.col("n"), F.col("x_n")))
+    mixed = labelled.join(mixed.filter("parts > 1").select("key", F.col("m.component").alias("main")), "key")  # main: the largest component
+    # of two members from different components one at least is outside the bucket's main component
+    there = mixed.groupBy("rep", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
+    short = sets.select(F.col("doc_id").alias("rep"), F.transform("shingles", lambda s: s.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")).alias("short"))
+    there = there.join(reps.select("rep", "a", F.transform("b", lambda y, j: F.xxhash64(j, y)).alias("b")), "rep").join(short, "rep")
+    halves = stored(there.select("rep", "n", "component", "outside", "b", "short", F.posexplode("a").alias("i", "half")), "halves")
+    x = halves.filter("outside").select("i", "half", *[F.col(c).alias(f"x_{c}") for c in ("rep", "n", "component", "b", "short")])
+    once = ~F.col("outside") | (F.col("rep") < F.col("x_rep"))
+    # on 31 bits of each shingle's hash; a few may coincide, so this only chooses what is verified
+    close = linked(F.size(F.array_intersect("short", "x_short")) + SLACK, F.col("n") + F.col("x_n") - F.size(F.array_intersect("short", "x_short")) - SLACK)
+    rest = x.join(halves, ["i", "half"]).filter((F.col("component") != F.col("x_component")) & once & _could_link(F.col("n"), F.col("x_n"))
+                                                & F.arrays_overlap("b", "x_b") & close)
     rest = rest.select(F.greatest("rep", "x_rep").alias("u"), F.least("rep", "x_rep").alias("v")).distinct()
     return found.unionByName(verified(rest, sets))
 
