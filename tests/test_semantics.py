@@ -25,6 +25,9 @@ def test_wildcard_literal_and_column_match_simulation(spark):
     pats |= {_rand_word(rng, alpha, 1, 18) for _ in range(120)}
     names = {"", "a", "ab", "a*b", "aab", "x" * 15, "x" * 20, "f.log", "ab.x", "a?b"}
     names |= {_rand_word(rng, "ab.x*?", 0, 18) for _ in range(60)}
+    # names and patterns with characters of several bytes: the rule counts bytes, and cuts inside characters
+    pats |= {"?.log", "??.log", "é.log", "*é", "*.lögg", "????", "é?", "ä" * 9, "*" + "€" * 6} | {_rand_word(rng, "aé?€*", 1, 9) for _ in range(30)}
+    names |= {"é.log", "é", "aé", "€", "x.lögg", "éa", "ä" * 8, "€" * 6, "é€"} | {_rand_word(rng, "aé€", 0, 8) for _ in range(30)}
     rows = [(p, n) for p in sorted(pats) for n in sorted(names)]
     df = spark.createDataFrame(rows, "pattern string, name string")
     name15 = F.expr("substring(cast(name as binary), 1, 15)").cast("string")

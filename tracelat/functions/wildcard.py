@@ -8,6 +8,9 @@ Rule (pattern cut to 16 bytes, name already cut to 15 bytes):
 * otherwise: same length, and at every position the pattern byte equals
   the name byte or is ``?``.  A ``*`` that is not first is a literal.
 
+All of this counts bytes, not characters: name and pattern are matched as
+strings with one character per byte (their UTF-8 bytes read as ISO-8859-1).
+
 A literal pattern compiles to ``endswith`` or an anchored ``rlike`` with
 escaped literals; a per-row pattern column compiles to the same regex
 built with ``regexp_replace`` so that parameters read from a config table
@@ -19,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import byte_cap
-
 PATTERN_BYTES = 16
 
 
@@ -36,9 +37,9 @@ def pattern_regex(pattern: str) -> str:
     return "(?s)^" + body + "\\z"
 
 
-def _cut(pattern: str) -> str:
-    b = pattern.encode("utf-8")[:PATTERN_BYTES]
-    return b.decode("utf-8", errors="ignore")
+def _bytewise(col: Column) -> Column:
+    """One character per byte of the column's UTF-8 form."""
+    return F.decode(col.cast("binary"), "ISO-8859-1")
 
 
 def wildcard_match(name, pattern) -> Column:
@@ -50,14 +51,17 @@ def wildcard_match(name, pattern) -> Column:
     """
     name = F.col(name) if isinstance(name, str) else name
     if isinstance(pattern, str):
-        p = _cut(pattern)
+        raw = pattern.encode("utf-8")[:PATTERN_BYTES]
+        plain = raw.isascii() and "?" not in pattern   # then characters and bytes give the same answer, and the filter can be pushed down
+        p = raw.decode("latin-1")
         if p.startswith("*"):
             rest = p[1:]
-            return F.lit(True) if rest == "" else name.endswith(rest)
-        return name.rlike(pattern_regex(p))
-    p = byte_cap(pattern, PATTERN_BYTES)
+            return F.lit(True) if rest == "" else (name if raw.isascii() else _bytewise(name)).endswith(rest)
+        return (name if plain else _bytewise(name)).rlike(pattern_regex(p))
+    p = F.substring(_bytewise(pattern), 1, PATTERN_BYTES)
+    name = _bytewise(name)
     rest = F.substring(p, 2, PATTERN_BYTES)
-    escaped = F.regexp_replace(p, r"([^A-Za-z0-9?\x{80}-\x{10FFFF}])", r"\\$1")
+    escaped = F.regexp_replace(p, r"([^A-Za-z0-9?\x{80}-\x{FF}])", r"\\$1")
     rx = F.concat(F.lit("(?s)^"), F.regexp_replace(escaped, r"\?", "."), F.lit("\\z"))
     return (F.when(F.substring(p, 1, 1) == "*",
                    F.when(rest == "", F.lit(True)).otherwise(F.endswith(name, rest)))

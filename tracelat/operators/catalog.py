@@ -120,6 +120,7 @@ def catalog_status(cat: DataFrame, status: DataFrame, probe: str | None = None,
     columns) takes precedence over it.  With ``probe`` only that probe is
     returned (an empty result means "not found").
     """
+    cat = dedupe_catalog(cat)
     c = cat if probe is None else cat.where(F.col("type") == probe)
     status = status_precedence(status, live)
     st = status.select(F.col("probe").alias("type"), "state", "loaded", "last_error")

@@ -195,7 +195,7 @@ latest AS (
 
 # Catalogue titles/layers/levels of the shipped YAML files.
 CATALOG_ROWS = [
-    ("block_io_latency", "Block I/O", "disk", "L1"),
+    ("block_io_latency", "Block I/O", "Disk", "L1"),
     ("nfs_file_read", "NFS client file read", "nfs-client", "L2"),
     ("nfs_file_write", "NFS client file write", "nfs-client", "L2"),
     ("nfs_getattr", "NFS client attribute read", "nfs-client", "L2"),
@@ -204,9 +204,9 @@ CATALOG_ROWS = [
     ("nfsd4_getattr", "NFS server attribute read", "nfsd", "L2"),
     ("nfsd4_read", "NFS server read", "nfsd", "L2"),
     ("nfsd4_write", "NFS server write", "nfsd", "L2"),
-    ("rpc_task_latency", "RPC client task", "rpc", "L2"),
-    ("svc_rqst_latency", "RPC server request", "svc", "L2"),
-    ("sys_call_trace", "System calls", "sys-call", "L1"),
+    ("rpc_task_latency", "RPC client task", "RPC", "L2"),
+    ("svc_rqst_latency", "RPC server request", "SVC", "L2"),
+    ("sys_call_trace", "System calls", "Sys-call", "L1"),
 ]
 
 ASOF = """cfg AS (SELECT * FROM config_log),
