@@ -279,3 +279,36 @@ def test_scale_conf_and_checkpoint_dir(spark):
     assert int(scale_conf(10 ** 6)["spark.sql.shuffle.partitions"]) == 200
     # the folder named by the session is used as is
     assert checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def _asof_plain(events, config, params):
+    """Latest value of each parameter at or before each event, one update after the other."""
+    out = {}
+    for seq, ts in events:
+        now = dict.fromkeys(params)
+        for u in sorted(config, key=lambda u: (u[0], u[1])):
+            if u[0] <= ts:
+                now.update({p: v for p, v in zip(params, u[2:]) if v is not None})
+        out[seq] = tuple(now[p] for p in params)
+    return out
+
+
+def test_asof_partial_updates_both_plans(spark, monkeypatch):
+    """Partial updates, equal stamps, bursts and outliers: both plans give the plain answer, and an event meets few intervals."""
+    import random
+
+    from tracelat.operators import asof
+    rng = random.Random(11)
+    config = [(rng.choice([15, 45, 75, rng.randrange(-50, 2000), 10_000_000]), i, rng.choice([None, rng.randrange(9)]), rng.choice([None, "bash", "cat"])) for i in range(300)]
+    events = [(i, rng.randrange(-100, 2100)) for i in range(400)] + [(400, 10_000_001)]
+    cfg = spark.createDataFrame(config, "from_ns long, seq long, filter_pid long, filter_comm string")
+    ev = spark.createDataFrame(events, "seq long, ts_ns long")
+    want = _asof_plain(events, config, ["filter_pid", "filter_comm"])
+    for ranges, limit in ((4096, 1000), (7, 1000), (4096, 10)):
+        monkeypatch.setattr(asof, "RANGES", ranges)
+        got = asof.asof_join(ev, cfg, ["filter_pid", "filter_comm"], max_broadcast_rows=limit)
+        assert {r.seq: (r._p_filter_pid, r._p_filter_comm) for r in got.collect()} == want
+    burst = spark.range(2000).selectExpr("id + 1000000000 as from_ns", "id as seq", "id as filter_pid").union(spark.createDataFrame([(0, -1, 1)], "from_ns long, seq long, filter_pid long"))
+    monkeypatch.setattr(asof, "RANGES", 100)
+    per = asof.intervals(burst.withColumnRenamed("seq", "_seq"), ["filter_pid"], "from_ns", 2001).groupBy("_range").count()
+    assert max(r["count"] for r in per.collect()) <= 21

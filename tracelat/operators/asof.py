@@ -1,16 +1,19 @@
 """PAIR-9: run-time settings with as-of semantics.
 
 A parameter update takes effect from the moment it is made: each event sees
-the latest update at or before its time.  Two plans, chosen by a size check
-on the config side:
-
-* **small config** (at most ``max_broadcast_rows`` updates, counted): the
-  updates become intervals ``[from, to)`` (``lead``), each interval is
-  exploded into the fixed-width time buckets it overlaps (width =
-  span / #updates, so the exploded table has at most about 3 x #updates
-  rows), and the events join it as a *broadcast equi-join on the bucket*
-  plus the range predicate.  The event side is never shuffled and each event
-  meets one or two candidate intervals.
+the latest value of each parameter at or before its time.  Updates are
+partial: a null leaves the value in force as it is.  Updates of one stamp
+apply in the order of ``seq_col`` (if the log has it).  Two plans, chosen by a
+size check on the config side, give the same rows:
+
+* **small config** (at most ``max_broadcast_rows`` updates, counted): each
+  parameter is carried forward along the log, and the updates become
+  intervals ``[from, to)``.  The log is cut into ranges of equally many
+  updates (at most ``RANGES``), whose bounds are literals; an event finds its
+  range by two short scans of bounds and joins the range's intervals as a
+  *broadcast equi-join* plus the interval predicate.  The event side is never
+  shuffled and an event meets at most ``n / RANGES`` intervals and one more,
+  however the updates bunch up in time.
 * **large config**: events and updates are unioned and the settings are
   carried forward with :func:`carry_last` over time chunks, so no task holds
   the whole timeline.
@@ -20,18 +23,22 @@ Both return the event rows with one ``_p_<param>`` column per parameter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import carry_last, chunk_of
 
 MAX_BROADCAST_ROWS = 200_000
+RANGES = 4096
 
 
 def asof_join(events: DataFrame, config: DataFrame, params, ts_col: str = "ts_ns",
               from_col: str = "from_ns", max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-              chunk_ns: int | None = None) -> DataFrame:
+              chunk_ns: int | None = None, seq_col: str = "seq") -> DataFrame:
     params = list(params)
+    config = config.select(F.col(from_col), (F.col(seq_col) if seq_col in config.columns else F.lit(0)).cast("long").alias("_seq"), *params)
     n = config.limit(max_broadcast_rows + 1).count()
     if n == 0:
         out = events
@@ -39,36 +46,48 @@ def asof_join(events: DataFrame, config: DataFrame, params, ts_col: str = "ts_ns
             out = out.withColumn(f"_p_{p}", F.lit(None).cast(config.schema[p].dataType))
         return out
     if n <= max_broadcast_rows:
-        return _broadcast_bucket_join(events, config, params, ts_col, from_col, n)
+        return _broadcast_range_join(events, config, params, ts_col, from_col, n)
     return _union_carry(events, config, params, ts_col, from_col, chunk_ns)
 
 
-def _div(a: int, b: int) -> int:
-    """Integer division truncating toward zero, like SQL ``div``."""
-    q = abs(a) // b
-    return q if a >= 0 else -q
-
-
-def _broadcast_bucket_join(events, config, params, ts_col, from_col, n):
-    st = config.agg(F.min(from_col).alias("mn"), F.max(from_col).alias("mx")).first()
-    mn, mx = st["mn"], st["mx"]
-    width = max(1, (mx - mn) // n + 1)
-    b_lo, b_hi = _div(mn, width), _div(mx, width)   # same rounding as the Spark side
-    # The config side was counted above: a single ordered window over it is bounded.
-    w = Window.orderBy(from_col)
-    cfg = config.select(from_col, *params).withColumn("_to", F.lead(from_col).over(w))
-    first_b = F.expr(f"`{from_col}` div {width}")
-    last_b = F.expr(f"(coalesce(_to - 1, {mx})) div {width}")
-    cfg = cfg.withColumn("_bucket", F.explode(F.sequence(first_b, F.greatest(first_b, last_b))))
-    cfg = cfg.select("_bucket", F.col(from_col).alias("_from"), "_to",
-                     *[F.col(p).alias(f"_p_{p}") for p in params])
-    ev = events.withColumn(
-        "_ebucket", F.least(F.greatest(F.expr(f"`{ts_col}` div {width}"), F.lit(b_lo)), F.lit(b_hi)))
+def intervals(config: DataFrame, params, from_col: str, n: int) -> DataFrame:
+    """_from, _to and the settings in force there, with the range (``_range``,
+    from 0) each stands in.  ``config`` has ``n`` rows, counted: windows over
+    all of it are bounded."""
+    w = Window.orderBy(from_col, "_seq", *params)
+    cfg = config.select(F.col(from_col).alias("_from"), F.lead(from_col).over(w).alias("_to"),
+                        *[F.last(p, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_p_{p}") for p in params],
+                        F.row_number().over(w).alias("_n"))
+    cfg = cfg.where(F.col("_to").isNull() | (F.col("_to") > F.col("_from")))   # of one stamp's updates the last stays
+    cfg = cfg.withColumn("_range", F.floor((F.col("_n") - 1) / F.lit(-(-n // RANGES))))
+    return cfg.withColumn("_range", F.dense_rank().over(Window.orderBy("_range")) - 1).drop("_n")
+
+
+def _range_of(ts, bounds: list[int]):
+    """The place (from 0) of the last bound at or before ``ts``: two scans of about the bounds' square root."""
+    step = max(1, int(len(bounds) ** 0.5))
+    blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
+    never = (1 << 63) - 1
+
+    def passed(places):
+        return reduce(lambda a, b: a + b, [(ts >= p).cast("int") for p in places])
+
+    block = F.greatest(passed([F.lit(b[0]) for b in blocks]), F.lit(1))
+    # the bounds at place j of all blocks, and of these the one of the event's block
+    at = [F.element_at(F.expr("array(" + ", ".join(f"bigint({b[j] if j < len(b) else never})" for b in blocks) + ")"), block) for j in range(step)]
+    return (block - 1) * step + passed(at) - 1
+
+
+def _broadcast_range_join(events, config, params, ts_col, from_col, n):
+    cfg = intervals(config, params, from_col, n)
+    # RANGES rows at most.  The last update at or before an event stands in the last range that begins at or before it.
+    bounds = [r["b"] for r in cfg.groupBy("_range").agg(F.min("_from").alias("b")).orderBy("_range").collect()]
     ts = F.col(ts_col)
-    cond = ((F.col("_ebucket") == F.col("_bucket")) & (ts >= F.col("_from"))
+    ev = events.withColumn("_erange", _range_of(ts, bounds))
+    cond = ((F.col("_erange") == F.col("_range")) & (ts >= F.col("_from"))
             & (F.col("_to").isNull() | (ts < F.col("_to"))))
     j = ev.join(F.broadcast(cfg), cond, "left")
-    return j.drop("_ebucket", "_bucket", "_from", "_to")
+    return j.drop("_erange", "_range", "_from", "_to")
 
 
 def _union_carry(events, config, params, ts_col, from_col, chunk_ns):
@@ -83,12 +102,12 @@ def _union_carry(events, config, params, ts_col, from_col, chunk_ns):
     ev = events.withColumn("_src", F.lit(1))
     for p in params:
         ev = ev.withColumn(f"_v_{p}", F.lit(None).cast(config.schema[p].dataType))
-    cf = config.select(F.col(from_col).alias(ts_col), *[F.col(p).alias(f"_v_{p}") for p in params]) \
+    cf = config.select(F.col(from_col).alias(ts_col), F.col("_seq"), *[F.col(p).alias(f"_v_{p}") for p in params]) \
                .withColumn("_src", F.lit(0))
-    u = ev.unionByName(cf, allowMissingColumns=True)
-    out = carry_last(u, [], [ts_col, "_src"], {f"_p_{p}": F.col(f"_v_{p}") for p in params},
+    u = ev.withColumn("_seq", F.lit(0).cast("long")).unionByName(cf, allowMissingColumns=True)
+    out = carry_last(u, [], [ts_col, "_src", "_seq", *[f"_v_{p}" for p in params]], {f"_p_{p}": F.col(f"_v_{p}") for p in params},
                      chunk=chunk_of(ts_col, chunk_ns), inclusive=True, keep=F.col("_src") == 1)
-    return out.drop("_src", *[f"_v_{p}" for p in params])
+    return out.drop("_src", "_seq", *[f"_v_{p}" for p in params])
 
 
 def apply_config_asof(raw: DataFrame, config: DataFrame, probe: str, params=None, **kw) -> DataFrame:
