@@ -66,6 +66,12 @@ def q_config_asof(spark, d):
                                                      F.col("_p_filter_pid").alias("filter_pid"))
 
 
+def q_config_asof_partial(spark, d, **kw):
+    ev = _raw(spark, d).where(F.col("event_type") != "signup")
+    rows = asof_join(ev, fx.partial_config_log(spark, d), ["filter_pid", "filter_comm"], **kw)
+    return rows.select("seq", "ts_ns", F.col("_p_filter_pid").alias("filter_pid"), F.col("_p_filter_comm").alias("filter_comm"))
+
+
 def q_pair_rw_asof(spark, d, **kw):
     raw = _raw(spark, d)
     cfg = fx.config_log(spark, d)
@@ -173,6 +179,8 @@ def queries() -> dict:
         "status_report": q_status_report,
         "command_validity": lambda s, d: ctl.command_validity(fx.tool_calls(s, d)).select("seq", "tool", "error"),
         "config_asof": q_config_asof,
+        "config_asof_partial": q_config_asof_partial,
+        "config_asof_partial_large": lambda s, d: q_config_asof_partial(s, d, max_broadcast_rows=0),
         "pair_rw_asof": q_pair_rw_asof,
         "replay_control": q_replay,
         "latest_status": lambda s, d: ctl.latest_status(q_replay(s, d)),

@@ -305,6 +305,14 @@ def oracle_sql() -> dict[str, str]:
         "wr AS (SELECT count_if(kind = 'exit') AS rw, count_if(kind = 'exit' AND pk = 'entry') AS ga FROM lagged) "
         "SELECT 'nfs_file_read' AS probe, hits, rw AS written, round(rw / hits, 6) AS written_per_hit FROM h, wr "
         "UNION ALL SELECT 'nfs_getattr', hits, ga, round(ga / hits, 6) FROM h, wr", "raw_calls")
+    parts = ", ".join(
+        f"{p} AS (SELECT from_ns, arg_max({p}, seq) AS {p} FROM pcfg WHERE {p} IS NOT NULL GROUP BY from_ns)" for p in ("filter_pid", "filter_comm"))
+    q["config_asof_partial"] = q["config_asof_partial_large"] = with_ctes(
+        "WITH pcfg AS (SELECT ts_ns - ts_ns % 600000000000 AS from_ns, seq, CASE WHEN k % 3 <> 0 THEN CAST(k % 150 + 1 AS BIGINT) END AS filter_pid, "
+        "CASE WHEN k % 4 <> 1 THEN concat('proc', CAST(k % 8 AS VARCHAR)) END AS filter_comm FROM raw_calls WHERE event_type = 'signup'), "
+        f"{parts}, ev AS (SELECT * FROM raw_calls WHERE event_type <> 'signup') "
+        "SELECT ev.seq, ev.ts_ns, p.filter_pid, c.filter_comm FROM ev ASOF LEFT JOIN filter_pid p ON ev.ts_ns >= p.from_ns "
+        "ASOF LEFT JOIN filter_comm c ON ev.ts_ns >= c.from_ns", "raw_calls")
     q["config_asof"] = with_ctes(
         f"WITH {ASOF} SELECT seq, ts_ns, kind, fp AS filter_pid FROM j", "config_log")
     q["pair_rw_asof"] = with_ctes(

@@ -104,6 +104,18 @@ def config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def partial_config_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial updates of two parameters: each leaves some as they are, and stamps are cut to ten minutes, so that
+    several updates share one and apply in the order of ``seq``."""
+    r = raw_calls(spark, sf_dir).where(F.col("event_type") == "signup")
+    k = F.col("k")
+    return r.select(
+        (F.col("ts_ns") - F.pmod("ts_ns", F.lit(600 * 10**9))).alias("from_ns"), "seq",
+        F.when(k % 3 != 0, k % 150 + 1).cast("long").alias("filter_pid"),
+        F.when(k % 4 != 1, F.concat(F.lit("proc"), (k % 8).cast("string"))).alias("filter_comm"),
+    )
+
+
 def param_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameter updates (JSON objects, some with wrong types or negative
     values) derived from the ``signup`` events."""
