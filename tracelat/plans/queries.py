@@ -165,7 +165,7 @@ def queries() -> dict:
         "pair_syscall_filtered": lambda s, d: pair(
             _raw(s, d), "sys_call_trace", {"filter_syscall_id": 2, "filter_comm": "proc2"}),
         "pair_syscall_pid_filter": lambda s, d: pair(_raw(s, d), "sys_call_trace", {"filter_pid": 8}),
-        "pair_nfsd_pid_filter": lambda s, d: pair(_raw(s, d), "nfsd4_write", {"filter_pid": (8 << 32) | 8}),
+        "pair_nfsd_pid_filter": lambda s, d: pair(_raw(s, d), "nfsd4_write", {"filter_pid": (2 << 32) | 8}),
         "filter_leak_syscall": lambda s, d: stats.filter_leak(pair(_raw(s, d), "sys_call_trace"), 8,
                                                               packed=True),
         "row_validity": lambda s, d: stats.row_validity(pair(_raw(s, d), "sys_call_trace")),

@@ -15,10 +15,10 @@ CTE = {
     "raw_calls": """raw_calls AS (
   SELECT event_id AS seq, epoch_us(ts) * 1000 AS ts_ns,
          CASE WHEN event_type IN ('view', 'click') THEN 'entry' ELSE 'exit' END AS kind,
-         (user_id + 1) * 4294967296 + (user_id + 1) AS pid_tgid,
-         user_id % 4 AS dev, user_id AS sector, user_id % 37 AS obj,
-         concat('proc', CAST(user_id % 8 AS VARCHAR)) AS comm,
-         user_id % 5 AS syscall_id, k,
+         (user_id // 4 + 1) * 4294967296 + (user_id + 1) AS pid_tgid,
+         k % 3 AS dev, k % 50 AS sector, user_id % 37 AS obj,
+         concat('proc', CAST((user_id + k % 2) % 8 AS VARCHAR)) AS comm,
+         (user_id + k) % 5 AS syscall_id, k,
          CASE WHEN event_type = 'error' THEN -1 - (k % 5) ELSE CAST(round(value * 100) AS BIGINT) END AS ret,
          concat('f', CAST(k % 10 AS VARCHAR), CASE WHEN k % 2 = 0 THEN '.log' ELSE '.txt' END) AS file,
          (event_id * 2654435761) % 4294967296 AS xid,
@@ -283,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "WITH filtered AS (SELECT * FROM raw_calls WHERE (pid_tgid >> 32) = 8), "
         f"{lagged('filtered', 'pid_tgid')} SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit'", "raw_calls")
     q["pair_nfsd_pid_filter"] = with_ctes(
-        f"WITH filtered AS (SELECT * FROM raw_calls WHERE kind = 'exit' OR pid_tgid = {(8 << 32) | 8}), "
+        f"WITH filtered AS (SELECT * FROM raw_calls WHERE kind = 'exit' OR pid_tgid = {(2 << 32) | 8}), "
         f"{lagged('filtered', 'pid_tgid')} SELECT {NFSD_RW_COLS} FROM lagged WHERE kind = 'exit'", "raw_calls")
     q["filter_leak_syscall"] = with_ctes(
         f"WITH {lagged('raw_calls', 'pid_tgid')}, t AS (SELECT {SYSCALL_COLS} FROM lagged WHERE kind = 'exit') "

@@ -46,12 +46,13 @@ def raw_calls_from(e: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"),
         F.when(F.col("event_type").isin("view", "click"), "entry").otherwise("exit").alias("kind"),
-        ((uid + 1) * 4294967296 + (uid + 1)).alias("pid_tgid"),
-        (uid % 4).alias("dev"),
-        uid.alias("sector"),
+        # four threads a process; block requests, system calls and task names don't follow the thread
+        ((F.floor(uid / 4) + 1) * 4294967296 + (uid + 1)).alias("pid_tgid"),
+        (k % 3).alias("dev"),
+        (k % 50).alias("sector"),
         (uid % 37).alias("obj"),
-        F.concat(F.lit("proc"), (uid % 8).cast("string")).alias("comm"),
-        (uid % 5).alias("syscall_id"),
+        F.concat(F.lit("proc"), ((uid + k % 2) % 8).cast("string")).alias("comm"),
+        ((uid + k) % 5).alias("syscall_id"),
         k.alias("k"),
         F.when(F.col("event_type") == "error", -1 - (k % 5))
          .otherwise(F.round(F.col("value") * 100).cast("long")).alias("ret"),
