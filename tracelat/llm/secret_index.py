@@ -30,6 +30,8 @@ BROADCAST = 200_000
 SPELLED = 64
 #: Matches whose places are added up in one go.
 CHUNK = 256
+#: Stands between trigrams; no rule has it.
+MARK = "\x01"
 SPAN = "array<struct<start:int,rank:int,end:int>>"
 
 
@@ -46,7 +48,7 @@ class Rule:
 BASE = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
-    Rule("hex", r"[0-9a-f]+", 0, 24),
+    Rule("hex", r"[0-9a-f]{24,}"),  # runs of 24 and more: shorter ones would only be dropped again
 )
 #: Widely used forms of keys.
 MORE = (
@@ -145,8 +147,10 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings: trigram, doc_id - a row for each trigram of the rules' queries and document that contains it."""
     trigrams = sorted({t for q in queries_of(rules).values() for clause in q for option in clause for t in option})
     folded = texts(docs).select("doc_id", F.lower("text").alias("folded"))
-    held = F.array_compact(F.array(*[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams]))
-    return folded.select("doc_id", held.alias("held")).select(F.explode("held").alias("trigram"), "doc_id")
+    # one string of those held: plain expressions over the folded text, which is folded once
+    held = F.concat_ws(MARK, *[F.when(F.contains("folded", F.lit(t)), F.lit(t)) for t in trigrams])
+    rows = folded.select("doc_id", held.alias("held")).select(F.explode_outer(F.split("held", MARK)).alias("trigram"), "doc_id")
+    return rows.filter(F.col("trigram") != "")
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
