@@ -206,7 +206,9 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
 
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``__pii``: what the patterns find in the text, in order."""
-    return docs.withColumn("__pii", F.regexp_extract_all(F.col(text_col), F.lit(f"({ANY})"), F.lit(1)))
+    text = F.col(text_col)
+    some = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
+    return docs.withColumn("__pii", F.when(text.rlike("[0-9@]"), some))  # every kind has a digit or an @
 
 
 def _replaced(kind: str) -> Column:
@@ -217,7 +219,7 @@ def _replaced(kind: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in the text; with ``counts``, also ``pii_<kind>`` (values replaced) for each kind."""
     values = F.transform("__pii", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    rows = found(docs, text_col).withColumn("__pii", F.when(F.size("__pii") > 0, values))
+    rows = found(docs, text_col).withColumn("__pii", F.when(F.coalesce(F.size("__pii"), F.lit(0)) > 0, values))
     named = F.transform("__pii", lambda v: F.struct(v["m"].alias("m"), v["kind"].alias("kind"), pseudonym(v["m"], v["kind"], key).alias("new")))
     rows = rows.withColumn("__pii", named)
     # what stands between the values, each followed by the value's pseudonym
