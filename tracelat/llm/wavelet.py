@@ -41,7 +41,7 @@ class WaveletMatrix:
         for level in range(bits - 1, -1, -1):
             one = (a & a.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one))
-            a = np.concatenate([a[~one], a[one]]) if level else a
+            a = np.concatenate([np.compress(~one, a), np.compress(one, a)]) if level else a
             zeros.append(len(ids) - int(np.count_nonzero(one)))
         return cls(len(ids), zeros, planes)
 
@@ -51,8 +51,8 @@ class WaveletMatrix:
         for k in range(len(self.planes) - 1, -1, -1):
             one = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty_like(v)
-            up[~one] = v[: self.zeros[k]]
-            up[one] = v[self.zeros[k] :] | v.dtype.type(1 << (len(self.planes) - 1 - k))
+            up[np.flatnonzero(~one)] = v[: self.zeros[k]]
+            up[np.flatnonzero(one)] = v[self.zeros[k] :] | v.dtype.type(1 << (len(self.planes) - 1 - k))
             v = up
         return v
 
