@@ -135,7 +135,7 @@ class Bpe:
                 at -= len(sizes[token])
                 token = shorter[token]
 
-    def encode_new(self, pieces: list[str]) -> list[list[int]]:
+    def encode_new(self, pieces: list[str]) -> tuple[list[int], list[int]]:
         """For ``Cached``: pieces are cut into pre-tokens, and the new ones of all pieces are encoded together."""
         cut = [self.pretokens.findall(p) for p in pieces]
         new = list({w for words in cut for w in words if w not in self.words})
@@ -144,7 +144,13 @@ class Bpe:
             new = list({w for words in cut for w in words})
         for w, ids in zip(new, self.encode_words(new) if new else ()):
             self.words[w] = ids
-        return [[i for w in words for i in self.words[w]] for words in cut]
+        flat, sizes = [], []
+        for words in cut:
+            before = len(flat)
+            for w in words:
+                flat += self.words[w]
+            sizes.append(len(flat) - before)
+        return flat, sizes
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """The text of each run of ``counts`` ids."""

@@ -9,6 +9,7 @@ encodes the others.  When the cache holds more than ``LIMIT`` pieces, those met
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 
@@ -20,6 +21,8 @@ LIMIT = 500_000
 #: A space before a space or the end: then the text isn't cut at every space.
 _IRREGULAR = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r" (?=\S)")
+#: Pieces that are one pre-token.
+_PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 #: Pieces whose pre-tokens the patterns below give.
 _SIMPLE = re.compile(r"[\x20-\x7E\nÀ-ÖØ-öø-ÿ]+\Z")
 # The vocabularies' pre-token patterns, with letters and digits of the characters above.
@@ -69,9 +72,9 @@ class Pool:
         met = np.bincount(rows, minlength=0)
         self.met[: len(met)] += met
 
-    def add(self, encoded: list) -> None:
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int64)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+    def add(self, flat: list[int], sizes: list[int]) -> None:
+        """The next rows: their ids one after the other, and how many each has."""
+        flat, sizes = np.array(flat, np.uint16), np.array(sizes, np.int64)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.filled + len(sizes) > len(self.at):
@@ -85,8 +88,8 @@ class Pool:
 
 
 class Cached:
-    """Encodes texts through the cache; ``encode_new`` takes new pieces, each with its leading space, to lists of
-    ids (all below 65 536); ``specials`` maps strings that are one token wherever they occur to their ids."""
+    """Encodes texts through the cache; ``encode_new`` takes new pieces, each with its leading space, to their
+    ids one after the other (all below 65 536) and how many each has; ``specials`` maps strings that are one token wherever they occur to their ids."""
 
     def __init__(self, encode_new, specials: dict[str, int]):
         self.encode_new, self.specials = encode_new, specials
@@ -111,19 +114,21 @@ class Cached:
                     now[piece] = self.pool.rows
                     self.pool.rows += 1
                     kept.append(row)
-        self.pool.add([old.ids[old.at[r] : old.at[r] + old.length[r]].tolist() for r in kept])
+        kept = np.array(kept, np.int64)
+        size = old.length[kept]
+        self.pool.add(old.ids[_places(old.at[kept], size)], size)
 
-    def rows(self, text: str) -> list[int]:
+    def rows(self, text: str) -> np.ndarray:
+        """The rows of a text's pieces."""
         if self.split and any(s in text for s in self.specials):
-            found = []
-            for part in self.split.split(text):
-                found.append([self.special(part)] if part in self.specials else self.rows(part))
-            return [r for rows in found for r in rows]
-        if not text:
-            return []
+            return np.concatenate([np.array([self.special(part)]) if part in self.specials else self.rows(part) for part in self.split.split(text)])
         pieces = cut(text)
-        rows = list(map(self.rest.__getitem__, pieces[1:]))
-        return [self.first[pieces[0]], *rows] if pieces[0] else rows
+        rows = np.empty(len(pieces), np.int64)
+        rows[1:] = np.fromiter(map(self.rest.__getitem__, itertools.islice(pieces, 1, None)), np.int64, len(pieces) - 1)
+        if not pieces[0]:
+            return rows[1:]
+        rows[0] = self.first[pieces[0]]
+        return rows
 
     def special(self, string: str) -> int:
         """Its row; kept under a name that no piece can have."""
@@ -131,31 +136,32 @@ class Cached:
             self.flush()
             self.first[name] = self.pool.rows
             self.pool.rows += 1
-            self.pool.add([[self.specials[string]]])
+            self.pool.add([self.specials[string]], [1])
         return self.first[name]
 
     def flush(self) -> None:
         if self.pool.new:
-            self.pool.add(self.encode_new(self.pool.new))
+            self.pool.add(*self.encode_new(self.pool.new))
             self.pool.new = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         if self.pool.rows > LIMIT:
             self.shrink()
-        per, flat = [], []
-        for text in texts:
-            rows = self.rows(text)
-            per.append(len(rows))
-            flat.extend(rows)
+        rows = [self.rows(text) for text in texts]
+        of_text = np.cumsum([0, *map(len, rows)])
         self.flush()
-        rows = np.array(flat, np.int64)
+        rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
         self.pool.count(rows)
         length = self.pool.length[rows]
         ends = np.concatenate([[0], np.cumsum(length)])
-        ids = self.pool.ids[np.repeat(self.pool.at[rows] - ends[:-1], length) + np.arange(ends[-1])]
-        of_text = np.concatenate([[0], np.cumsum(np.array(per, np.int64))]).astype(np.int64)
-        return ids, np.diff(ends[of_text])
+        return self.pool.ids[_places(self.pool.at[rows], length)], np.diff(ends[of_text])
+
+
+def _places(at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (length[0] of them), at[1], ..."""
+    ends = np.cumsum(length)
+    return np.repeat(at - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def chunks(batches, budget: int = 2_000_000):
@@ -178,8 +184,11 @@ class Words(dict):
         super().__init__()
         self.tokenize, self.letters = model.tokenize, str.maketrans({chr(b): c for b, c in byte_letters().items()})
 
+    def ids(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+
     def __missing__(self, word: str) -> list[int]:
-        ids = self[word] = [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+        ids = self[word] = self.ids(word)
         return ids
 
 
@@ -200,23 +209,21 @@ class Library:
         self.pretokens = (_LOWER_WORDS if self.lower else _BYTE_WORDS).findall
         self.words = Words(self.tokenizer.model)
 
-    def encode_new(self, pieces: list[str]) -> list[list[int]]:
-        out, hard, words, pretokens, lower = [], [], self.words, self.pretokens, self.lower
+    def encode_new(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        flat, sizes, words, pretokens, lower, model = [], [], self.words, self.pretokens, self.lower, self.words.ids
         if len(words) > LIMIT:
             words.clear()
-        for i, piece in enumerate(pieces):
-            if _SIMPLE.match(piece):
-                ids = []
+        for piece in pieces:
+            before = len(flat)
+            if _PLAIN.match(piece):  # one pre-token; it is kept with the pieces
+                flat += model(piece.lower().strip(" ") if lower else piece)
+            elif _SIMPLE.match(piece):
                 for word in pretokens(piece.lower() if lower else piece):
-                    ids += words[word]
-                out.append(ids)
+                    flat += words[word]
             else:
-                out.append(None)
-                hard.append(i)
-        if hard:
-            for i, e in zip(hard, self.tokenizer.encode_batch_fast([pieces[i] for i in hard], add_special_tokens=False)):
-                out[i] = e.ids
-        return out
+                flat += self.tokenizer.encode(piece, add_special_tokens=False).ids
+            sizes.append(len(flat) - before)
+        return flat, sizes
 
 
 @functools.lru_cache(maxsize=2)
