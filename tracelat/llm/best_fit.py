@@ -76,13 +76,16 @@ def best_fit(lengths: np.ndarray, *, tokens: int = TOKENS, docs: int | None = No
 
 def pieces(docs: DataFrame, path: str, *, tokens: int = TOKENS, closing: int = CLOSING) -> DataFrame:
     """The pieces of each row's ids (``PIECE``)."""
+    return texts(docs).mapInArrow(_cutting(path, tokens, closing), PIECE)
 
+
+def _cutting(path: str, tokens: int, closing: int):
     def run(batches):
         own = encoder(path)
         for part, text in chunks(batches):
             yield _cut(part.column(0).to_pylist(), *own.encode(text), tokens, closing)
 
-    return texts(docs).mapInArrow(run, PIECE)
+    return run
 
 
 def _cut(doc_ids: list, ids: np.ndarray, counts: np.ndarray, tokens: int, closing: int) -> pa.RecordBatch:
@@ -129,12 +132,13 @@ def _packing(limits: dict):
 def pack(docs: DataFrame, path: str, *, tokens: int = TOKENS, closing: int = CLOSING, full: float = FULL, **limits) -> DataFrame:
     """Each piece (``PIECE``), its sequence_id and its offset there; ``limits`` are those of ``best_fit``."""
     limits = {"tokens": tokens, **limits}
-    first = stored(pieces(docs, path, tokens=tokens, closing=closing).mapInArrow(_packing(limits), PACKED), "packed")
+    cut, packing = _cutting(path, tokens, closing), _packing(limits)
+    first = stored(texts(docs).mapInArrow(lambda batches: packing(cut(batches)), PACKED), "packed")
     done = first.filter(F.col("fill") >= full * tokens)
     columns = [c.split()[0] for c in PIECE.split(", ")]
     rest = first.filter(F.col("fill") < full * tokens).select(*columns)
     groups = -(-rest.count() // GROUP) or 1
-    last = stored(rest.repartition(groups).mapInArrow(_packing(limits), PACKED), "repacked")  # dealt evenly, by no key
+    last = stored(rest.repartition(groups).mapInArrow(packing, PACKED), "repacked")  # dealt evenly, by no key
     number = lambda second: (F.col("bin") * 2 + second) * (1 << 24) + F.col("task")  # noqa: E731  tasks are fewer than 2 ** 24
     return (done.select(*columns, number(0).alias("sequence_id"), "offset")
             .unionByName(last.select(*columns, number(1).alias("sequence_id"), "offset")))
