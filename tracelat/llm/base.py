@@ -24,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id as ``doc_id``, the text as ``text`` (null: empty) and ``more`` columns as they are."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"),
+    # left as it is where it may be: a renamed column would keep two joins from sharing one exchange
+    as_is = id_col == "doc_id" and docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    return docs.select(F.col("doc_id") if as_is else F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 

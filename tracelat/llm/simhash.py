@@ -109,18 +109,22 @@ def edited(docs: DataFrame) -> DataFrame:
     """doc_id, text, n_chars, next_id and edited: the text with its last third (rounded down) replaced by as many
     characters from the start of the next document's text.  Texts move once; then only those starts."""
     rows = texts(docs)
-    lengths = stored(rows.select("doc_id", F.char_length("text").alias("n")), "lengths")
+    named = rows.filter("doc_id IS NOT NULL")
+    lengths = stored(named.select("doc_id", F.char_length("text").alias("n")), "lengths")
     nexts = followers(lengths)
     third = F.floor(F.col("n") / 3).cast("int")
     # who needs how many characters of a document's start; of rows that repeat an id, as many as the longest needs
     needs = lengths.groupBy("doc_id").agg(F.max(third).alias("k")).join(nexts, "doc_id").select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asks"), "k")
-    starts = rows.join(needs, "doc_id").select(F.col("asks").alias("doc_id"), F.expr("substring(text, 1, k)").alias("start"), F.col("doc_id").alias("next_id"))
+    # both joins read one exchange of the texts
+    starts = named.join(needs, "doc_id").select(F.col("asks").alias("doc_id"), F.expr("substring(text, 1, k)").alias("start"), F.col("doc_id").alias("next_id"))
     if lengths.groupBy("doc_id").count().filter("count > 1").limit(1).count():  # ids are repeated: the smallest text counts
-        rows = rows.distinct()
+        named, rows = named.distinct(), rows.distinct()
         starts = starts.groupBy("doc_id", "next_id").agg(F.min("start").alias("start"))
-    both = rows.join(starts, "doc_id", "left").withColumn("n_chars", F.char_length("text"))
+    both = named.join(starts, "doc_id")
+    alone = rows.filter("doc_id IS NULL").select("doc_id", "text", F.lit("").alias("start"), F.lit(None).cast("long").alias("next_id"))
+    both = both.select("doc_id", "text", "start", "next_id").unionByName(alone).withColumn("n_chars", F.char_length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
-    new = F.concat(F.expr("substring(text, 1, n_chars - floor(n_chars / 3))"), F.substr(F.coalesce("start", F.lit("")), F.lit(1), cut))
+    new = F.concat(F.expr("substring(text, 1, n_chars - floor(n_chars / 3))"), F.substr("start", F.lit(1), cut))
     return both.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "next_id", new.alias("edited"))
 
 
