@@ -5,9 +5,15 @@ Every term's 128-bit hash votes on every bit: for it if the bit is set, against
 that most of the weight voted for.  A text without words has the fingerprint 0.  Votes are sums of long columns of two
 32-bit counters each, so one pass of a hash aggregation adds up all bits, for texts of any length.
 
-Search: the bits are cut into ``BLOCKS`` blocks.  Two fingerprints at most ``radius`` bits apart agree on at least
-BLOCKS - radius of them, so with one table for each choice of that many blocks, keyed by these blocks' bits, both stand
-under one key in some table.  Equal fingerprints are one row of the tables, with the number of their documents.
+Search: the bits are cut into blocks, and block i has a radius r_i, with the sum of all r_i + 1 at radius + 1.  Two
+fingerprints at most ``radius`` bits apart are at most r_i bits apart in some block i: else they would differ in more.
+So the table of block i is keyed by that block's bits, and a query looks under every key within r_i bits of its own
+(multi-probe).  The join's condition checks the distance and lets a pair pass in the first block that can show it, so
+only results leave the join, each once.  The search is exact for every radius.  Equal fingerprints are one row of the
+tables, with the number of their documents and the smallest id of them, their representative.
+
+The radius comes from a similarity (``radius_for``): texts of that Jaccard similarity of 2-word shingles are expected
+at most so many bits apart, ``SPREAD`` standard deviations included.
 
 A null text is empty.  Rows that repeat an id with its text are one document.  A document without an id has no next one.
 """
@@ -16,13 +22,16 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelat.llm.base import SPACES, partitions, stored, texts
 
-BITS, RADIUS, BLOCKS = 128, 3, 4
+BITS, RADIUS = 128, 3
+#: Near copies are texts of this similarity or more; standard deviations that the radius has beyond the expected distance.
+SIMILARITY, SPREAD = 0.8, 2.0
 #: Bit 0 and bit 32: the two counters of a vote column.
 PAIR = (1 << 32) + 1
 LOW = (1 << 32) - 1
@@ -68,27 +77,60 @@ def likeness(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return 1 - distance(a0, a1, b0, b1) / F.lit(float(BITS))
 
 
-def table_keys(fp0: Column, fp1: Column, radius: int = RADIUS, blocks: int = BLOCKS) -> Column:
-    """A fingerprint's key in each block table, as an array of long."""
-    if not 0 <= radius < blocks or BITS % blocks or 64 % (BITS // blocks):
-        raise ValueError("blocks must be more than the radius and of equal size")
-    size = BITS // blocks
-    mask = F.lit((1 << size) - 1)
-    parts = [F.shiftrightunsigned((fp0, fp1)[i * size // 64], i * size % 64).bitwiseAND(mask) for i in range(blocks)]
-    choices = itertools.combinations(range(blocks), blocks - radius)
-    return F.array(*[F.xxhash64(F.lit(t), *[parts[i] for i in chosen]) for t, chosen in enumerate(choices)])
+def radius_for(similarity: float = SIMILARITY, spread: float = SPREAD) -> int:
+    """Bits that texts of a Jaccard similarity may be apart: with shingles of equal weight their cosine is 2 j / (1 + j),
+    a bit differs with a probability of angle / pi, and ``spread`` standard deviations are added."""
+    differs = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    return math.ceil(BITS * differs + spread * math.sqrt(BITS * differs * (1 - differs)))
+
+
+def block_radii(radius: int) -> list[int]:
+    """The radius of each block (-1: no table); wide blocks for small radii, where few probes do."""
+    if not 0 <= radius < BITS:
+        raise ValueError("the radius must be from 0 to 127")
+    blocks = 4 if radius < 8 else 8
+    each, more = divmod(radius + 1, blocks)
+    return [each + (i < more) - 1 for i in range(blocks)]
+
+
+def _block(fp0: Column, fp1: Column, i: int, size: int) -> Column:
+    return F.shiftrightunsigned((fp0, fp1)[i * size // 64], i * size % 64).bitwiseAND(F.lit((1 << size) - 1))
+
+
+def _ball(size: int, radius: int) -> Column:
+    """All numbers of ``size`` bits with at most ``radius`` of them set, as an array of long."""
+    masks = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in itertools.combinations(range(size), k)]
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<long>")  # a constant
+
+
+def table_keys(fp0: Column, fp1: Column, radii: list[int], probes: bool = False) -> Column:
+    """A fingerprint's key in each block table, as an array of long (the block's number above its bits); with
+    ``probes``, all keys within the blocks' radii."""
+    size = BITS // len(radii)
+    balls = {r: _ball(size, r if probes else 0) for r in radii}
+    own = [(F.lit(i << size) + _block(fp0, fp1, i, size), r) for i, r in enumerate(radii) if r >= 0]
+    return F.flatten(F.array(*[F.transform(balls[r], key.bitwiseXOR) for key, r in own]))
 
 
-def within(queries: DataFrame, all_rows: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct fingerprints of ``queries`` (fp0, fp1) with every distinct fingerprint of ``all_rows`` (the same
-    columns) within the radius: fp0, fp1, other0, other1, distance and n (rows of ``all_rows`` that have it)."""
+def within(queries: DataFrame, all_rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Distinct fingerprints of ``queries`` (fp0, fp1) with every distinct fingerprint of ``all_rows`` (doc_id, fp0,
+    fp1) within the radius: fp0, fp1, other0, other1, distance, n (rows of ``all_rows`` that have it) and id (the
+    smallest of these rows)."""
+    radii = block_radii(radius)
+    size = BITS // len(radii)
     asked = queries.select("fp0", "fp1").distinct()
-    there = all_rows.groupBy(F.col("fp0").alias("other0"), F.col("fp1").alias("other1")).agg(F.count("*").alias("n"))
-    left = asked.select("fp0", "fp1", F.explode(table_keys(F.col("fp0"), F.col("fp1"), radius, blocks)).alias("key"))
-    right = there.select("other0", "other1", "n", F.explode(table_keys(F.col("other0"), F.col("other1"), radius, blocks)).alias("key"))
+    there = all_rows.groupBy(F.col("fp0").alias("other0"), F.col("fp1").alias("other1")).agg(F.count("*").alias("n"), F.min("doc_id").alias("id"))
+    left = asked.select("fp0", "fp1", F.explode(table_keys(F.col("fp0"), F.col("fp1"), radii, True)).alias("key"))
+    right = there.select("other0", "other1", "n", "id", F.explode(table_keys(F.col("other0"), F.col("other1"), radii)).alias("key"))
     apart = distance(F.col("fp0"), F.col("fp1"), F.col("other0"), F.col("other1"))
-    met = left.join(right, "key").filter(apart <= radius).select("fp0", "fp1", "other0", "other1", apart.alias("distance"), "n")
-    return met.dropDuplicates(["fp0", "fp1", "other0", "other1"])
+    x0, x1 = F.col("fp0").bitwiseXOR(F.col("other0")), F.col("fp1").bitwiseXOR(F.col("other1"))
+    first = F
+    for i, r in enumerate(radii):
+        if r >= 0:
+            first = first.when(F.bit_count(_block(x0, x1, i, size)) <= r, F.lit(i).cast("long"))
+    # merged, never broadcast: a query's thousands of probes aren't in the estimated size
+    met = left.withColumnRenamed("key", "probe").hint("merge").join(right, (F.col("probe") == F.col("key")) & (apart <= radius) & (first == F.shiftright("key", size)))
+    return met.select("fp0", "fp1", "other0", "other1", apart.alias("distance"), "n", "id")
 
 
 def followers(ids: DataFrame) -> DataFrame:
@@ -131,7 +173,8 @@ def edited(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame, query: Column | None = None, radius: int = RADIUS) -> DataFrame:
     """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (the
     likeness to the edited text and to the next document) and, for rows that ``query`` chooses (all by default),
-    n_near: documents other than itself within ``radius`` bits of its fingerprint."""
+    n_near (documents other than itself within ``radius`` bits of its fingerprint) and near_ids (of each fingerprint
+    there, its own included, the smallest id, if that isn't its own id; ascending)."""
     keys = ["doc_id", "next_id", "n_chars", "sha", "which"]
     rows = edited(docs).select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"),
                                F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
@@ -142,9 +185,11 @@ def report(docs: DataFrame, query: Column | None = None, radius: int = RADIUS) -
     own = stored(own, "fingerprints")
     after = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("fp0", "fp1")).alias("a"))
     asked = own.filter(F.lit(True) if query is None else query)
-    near = within(asked, own, radius).groupBy("fp0", "fp1").agg((F.sum("n") - 1).alias("n_near"))
-    out = own.join(after, "next_id", "left").join(near, ["fp0", "fp1"], "left")
+    near = within(asked, own, radius).groupBy(F.col("fp0").alias("q0"), F.col("fp1").alias("q1")).agg((F.sum("n") - 1).alias("n_near"), F.sort_array(F.collect_list("id")).alias("near_ids"))
+    chosen = F.lit(True) if query is None else query
+    # merged, never broadcast: lists of ids shrink much in a shuffle's files, whose size adaptive execution goes by
+    out = own.join(after, "next_id", "left").join(near.hint("merge"), (F.col("fp0") == F.col("q0")) & (F.col("fp1") == F.col("q1")) & chosen, "left")
     return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), told(F.col("fp0"), F.col("fp1")).alias("fingerprint"),
                       told(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), likeness(F.col("fp0"), F.col("fp1"), F.col("e0"), F.col("e1")).alias("near_edited"),
                       likeness(F.col("fp0"), F.col("fp1"), F.col("a.fp0"), F.col("a.fp1")).alias("near_next"),
-                      F.when(F.lit(True) if query is None else query, F.col("n_near")).alias("n_near"))
+                      "n_near", F.filter("near_ids", lambda i: ~i.eqNullSafe(F.col("doc_id"))).alias("near_ids"))
