@@ -2,9 +2,9 @@
 
 Lines are normalised (lower case, runs of digits to one 0, white space runs to one space, ends stripped) and hashed to
 64 bits.  For each host (``source``) the distinct documents that hold a line are counted; exact copies of one text
-count as one document, so a document isn't lost because it was fetched often.  A line above the limits of its host
-(more documents than ``MAX_DOCS`` and than ``MAX_SHARE`` of the host's) is boilerplate: it stays in the document with
-the smallest id on that host and is removed from all others.  A document of which fewer than ``MIN_WORDS`` words, or
+count as one document, so a document isn't lost because it was fetched often.  A line in more than ``MAX_DOCS`` documents
+of its host is boilerplate, however many documents the host has (callers may ask for a share of them too): it stays in
+the document with the smallest id on that host and is removed from all others.  A document of which fewer than ``MIN_WORDS`` words, or
 less than ``MIN_LEFT`` of its words, remain is depleted and rejected; so is one that fails the base rules.
 
 The text is read once, in map tasks; only hashes of lines move.  Counts are pre-aggregated before the shuffle, and the
@@ -27,7 +27,7 @@ from tracelat.llm.base import stored, texts
 from tracelat.llm.encode import chunks
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MAX_DOCS, MAX_SHARE, MIN_LEFT, SALTS = 100, 0.01, 0.2, 16
+MAX_DOCS, MAX_SHARE, MIN_LEFT, SALTS = 10, 0.0, 0.2, 16
 SYMBOLS = b"#*$%&|<>"
 
 _DIGITS, _BLANK = re.compile(r"[0-9]+"), re.compile(r"[\x20\x09-\x0D]+")
