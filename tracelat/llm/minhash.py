@@ -219,10 +219,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs``: of each component the document with the smallest id (of rows that repeat it, one);
-    documents without words or id stay."""
+    """The columns of ``docs``: of each component the document with the smallest id; documents without words or id stay.
+    Rows that repeat an id are one document: the first of them by text and the other columns stays."""
     groups = near_duplicates(docs)
     gone = stored(groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__mh_id")).distinct(), "gone")
     rows = docs.join(gone, F.col("doc_id") == F.col("__mh_id"), "left_anti")
     again = groups.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1")
-    return rows.dropDuplicates(["doc_id"]) if again.limit(1).count() else rows
+    if not again.limit(1).count():
+        return rows
+    again = stored(again.select(F.col("doc_id").alias("__mh_id")), "repeated")
+    same = F.col("doc_id") == F.col("__mh_id")
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind and "variant" not in kind]
+    # pre-aggregated, so an id that very many rows repeat isn't one task's work
+    one = rows.join(again, same, "left_semi").groupBy(F.col("doc_id").alias("__mh_id")).agg(
+        F.min_by(F.struct(*docs.columns), F.struct("text", *others)).alias("__mh_row"))
+    return rows.join(again, same, "left_anti").unionByName(one.select("__mh_row.*"))
