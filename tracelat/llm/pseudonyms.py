@@ -16,7 +16,10 @@ What is found, and what its positions are:
 * telephone numbers (international, or ten digits as in (555) 010-0199): the last ten digits, or all of fewer;
 * payment cards (13 to 19 digits, Luhn sum right): all digits but the last, which is set anew.
 
-Separators stay.  A value that isn't valid stays as it is.  The key is a parameter; it is part of the query plan, so
+Separators stay.  A value that isn't valid stays as it is.  A run of groups that isn't a valid card or IBAN may hold one
+and more (an expiry date, an amount, a currency): of its prefixes that end before a separator and are valid, the longest
+is the value (of an IBAN, with its country's length); without one, its first group stays.  In both cases the search goes
+on right there.  The key is a parameter; it is part of the query plan, so
 keep plans and event logs as safe as the key.
 
 A null text stays null.  Other columns stay as they are.
@@ -42,6 +45,13 @@ KINDS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
 }
 ANY = "|".join(KINDS.values())
+#: Characters of an IBAN by country; other countries' may have any length.
+IBAN_LENGTHS = {int(n): tuple(countries.split()) for n, countries in (
+    line.split(":") for line in (
+        "15:NO", "16:BE", "18:DK FI FO GL NL SD FK", "19:MK SI", "20:AT BA EE KZ LT LU MN XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ OM TL SO", "24:AD CZ ES MD PK RO SA SE SK TN VG",
+        "25:LY PT ST", "26:IS TR", "27:BI DJ FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB NI PL SV", "29:BR EG PS QA UA",
+        "30:JO KW MU", "31:MT SC", "32:LC", "33:RU"))}
 _LOWER, _UPPER, _NUMBER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 
 
@@ -119,10 +129,15 @@ def _mod97(chars: Column) -> Column:
     return F.aggregate(chars, F.lit(0).cast("long"), lambda s, c: F.when(c.rlike("[0-9]"), s * 10 + F.ascii(c) - 48).otherwise(s * 100 + F.ascii(c) - 55) % 97)
 
 
+def _valid_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return _mod97(_chars(F.concat(F.substr(plain, F.lit(5)), F.substring(plain, 1, 4)))) == 1
+
+
 def _iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     body, country = F.substr(plain, F.lit(5)), F.substring(plain, 1, 2)
-    valid = _mod97(_chars(F.concat(body, F.substring(plain, 1, 4)))) == 1
+    valid = _valid_iban(m)
     chars = _chars(body)
     ranges = F.transform(chars, lambda c: F.when(c.rlike("[0-9]"), 10).otherwise(26).cast("long"))
     form = F.regexp_replace(F.regexp_replace(body, "[0-9]", "0"), "[A-Z]", "A")
@@ -204,11 +219,81 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
+def _with(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _is_run(m: Column, kind: Column) -> Column:
+    """Whether a found value is groups that aren't a valid card or IBAN."""
+    return kind.isin("card", "iban") & m.rlike("[ -]") & ~F.when(kind == "card", _luhn(_digits(m)) == 0).otherwise(_valid_iban(m))
+
+
+def _prefix(m: Column, kind: Column) -> Column:
+    """The longest valid prefix of a run that ends before a separator; null if there is none."""
+    ends = F.filter(F.sequence(F.lit(1), F.length(m) - 1), lambda i: F.substr(m, i + 1, F.lit(1)).isin(" ", "-"))
+    prefixes = F.reverse(F.transform(ends, lambda i: F.substr(m, F.lit(1), i)))
+
+    def valid(p):
+        country, n = F.substring(p, 1, 2), F.length(F.regexp_replace(p, " ", ""))
+        fits = F
+        for length, countries in IBAN_LENGTHS.items():
+            fits = fits.when(country.isin(*countries), n == length)
+        return F.when(kind == "card", p.rlike(f"^(?:{KINDS['card']})$") & (_luhn(_digits(p)) == 0)).otherwise(
+            p.rlike(f"^(?:{KINDS['iban']})$") & fits.otherwise(F.lit(True)) & _valid_iban(p))
+
+    return F.try_element_at(F.filter(prefixes, valid), F.lit(1))
+
+
+def _scanned(text: Column) -> Column:
+    """What stands between the values of a text (``between``, one more than there are values) and the values (``found``:
+    m, kind), one after the other, with a new search after each value or skipped group.  The rest of the text keeps one
+    character before it, where no value may start, for the patterns' looks behind."""
+    pattern = F.lit(f"(?!^)(?:{ANY})")
+    start = F.struct(F.lit("").alias("done"), F.concat(F.lit("\n"), text).alias("rest"), F.array().cast("array<string>").alias("between"),
+                     F.array().cast("array<struct<m:string,kind:string>>").alias("found"), F.lit(False).alias("over"))
+
+    def step(s, _):
+        def after(f):
+            """Past what is taken or skipped (f.part) of the first value found (f.m)."""
+            head = F.concat(s["done"], F.substr(f["before"], F.lit(2)))
+            rest = F.concat(F.substring(f["part"], -1, 1), F.substr(f["m"], F.length(f["part"]) + 1), f["behind"])
+            return F.when(f["taken"], F.struct(F.lit("").alias("done"), rest.alias("rest"), F.concat(s["between"], F.array(head)).alias("between"),
+                                               F.concat(s["found"], F.array(F.struct(f["part"].alias("m"), f["kind"].alias("kind")))).alias("found"), F.lit(False).alias("over"))
+                          ).otherwise(F.struct(F.concat(head, f["part"]).alias("done"), rest.alias("rest"), s["between"].alias("between"),
+                                               s["found"].alias("found"), F.lit(False).alias("over")))
+
+        def part(f):
+            """A value as it is, a run's valid prefix, or the run's first group, which isn't a value."""
+            run = _is_run(f["m"], f["kind"])
+            prefix = F.when(run, _prefix(f["m"], f["kind"]))
+            return _with(prefix, lambda p: F.struct(f["before"].alias("before"), f["m"].alias("m"), f["behind"].alias("behind"), f["kind"].alias("kind"),
+                                                    (~run | p.isNotNull()).alias("taken"), F.when(~run, f["m"]).otherwise(F.coalesce(p, F.regexp_extract(f["m"], "^[^ -]+", 0))).alias("part")))
+
+        m = F.regexp_substr(s["rest"], pattern)  # places in the text are of no use: Spark's are UTF-16 units
+        one = _with(F.struct(m.alias("m"), F.split(s["rest"], pattern, 2).alias("parts")), lambda f: F.struct(
+            f["parts"][0].alias("before"), f["m"].alias("m"), F.try_element_at(f["parts"], F.lit(2)).alias("behind"), kind_of(f["m"]).alias("kind")))
+        over = F.struct(s["done"].alias("done"), s["rest"].alias("rest"), s["between"].alias("between"), s["found"].alias("found"), F.lit(True).alias("over"))
+        return F.when(s["over"], s).otherwise(_with(one, lambda f: F.when(f["m"].isNull(), over).otherwise(_with(part(f), after))))
+
+    # every step but the last passes a digit or an @
+    steps = F.sequence(F.lit(0), F.regexp_count(text, F.lit("[0-9@]")))
+    return F.aggregate(steps, start, step, lambda s: F.struct(F.concat(s["between"], F.array(F.concat(s["done"], F.substr(s["rest"], F.lit(2))))).alias("between"),
+                                                              s["found"].alias("found")))
+
+
 def found(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__pii``: what the patterns find in the text, in order."""
+    """``docs`` with ``__pii``: what the patterns find in the text, in order (m, kind), and ``__between``: what stands
+    between, one more.  Both are null if nothing is found."""
     text = F.col(text_col)
     some = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
-    return docs.withColumn("__pii", F.when(text.rlike("[0-9@]"), some))  # every kind has a digit or an @
+    rows = docs.withColumn("__pii", F.when(text.rlike("[0-9@]"), some))  # every kind has a digit or an @
+    values = F.transform("__pii", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    rows = rows.withColumn("__pii", F.when(F.coalesce(F.size("__pii"), F.lit(0)) > 0, values))
+    # only a text with a run that isn't valid is searched step by step
+    rows = rows.withColumn("__scan", F.when(F.exists("__pii", lambda v: _is_run(v["m"], v["kind"])), _scanned(text)))
+    rows = rows.withColumn("__between", F.when(F.col("__scan").isNotNull(), F.col("__scan.between")).when(F.col("__pii").isNotNull(), F.split(text, ANY, -1)))
+    return rows.withColumn("__pii", F.when(F.col("__scan").isNotNull(), F.col("__scan.found")).otherwise(F.col("__pii"))).drop("__scan")
 
 
 def _replaced(kind: str) -> Column:
@@ -218,15 +303,13 @@ def _replaced(kind: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in the text; with ``counts``, also ``pii_<kind>`` (values replaced) for each kind."""
-    values = F.transform("__pii", lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
-    rows = found(docs, text_col).withColumn("__pii", F.when(F.coalesce(F.size("__pii"), F.lit(0)) > 0, values))
+    rows = found(docs, text_col)
     named = F.transform("__pii", lambda v: F.struct(v["m"].alias("m"), v["kind"].alias("kind"), pseudonym(v["m"], v["kind"], key).alias("new")))
     rows = rows.withColumn("__pii", named)
     # what stands between the values, each followed by the value's pseudonym
-    between = F.split(F.col(text_col), ANY, -1)
-    text = F.array_join(F.zip_with(between, "__pii", lambda b, v: F.concat(b, F.coalesce(v["new"], v["m"], F.lit("")))), "")
+    text = F.array_join(F.zip_with("__between", "__pii", lambda b, v: F.concat(b, F.coalesce(v["new"], v["m"], F.lit("")))), "")
     out = rows.withColumn(text_col, F.when(F.col("__pii").isNull(), F.col(text_col)).otherwise(text))
     if counts:
         for kind in KINDS:
             out = out.withColumn(f"pii_{kind}", _replaced(kind))
-    return out.drop("__pii")
+    return out.drop("__pii", "__between")
