@@ -62,12 +62,12 @@ def quality(docs, max_docs, max_share, min_left=0.2):
 
 # near-duplicates
 
-def shingles(text):
+def shingles(text, width=2):
     w = [x.decode() for x in (text or "").encode().lower().split()]
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset((x,) for x in w)
+    return frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset()
 
 
-def components(docs):
+def components(docs, width=2):
     """docs: (doc_id, text).  For each id its component."""
     top = {d: d for d, _ in docs}
 
@@ -76,7 +76,7 @@ def components(docs):
             a = top[a]
         return a
 
-    sets = [(d, shingles(t)) for d, t in docs]
+    sets = [(d, shingles(t, width)) for d, t in docs]
     for i, (a, s) in enumerate(sets):
         for b, t in sets[:i]:
             if s and t and 100 * min(len(s), len(t)) >= 80 * max(len(s), len(t)):

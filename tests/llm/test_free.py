@@ -93,6 +93,38 @@ def test_encoder_is_the_library(vocabulary, plain, name, monkeypatch):
             assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+def test_other_vocabulary_files_are_encoded_whole(vocabulary, tmp_path):
+    """A file whose pre-tokenizer isn't one of those that pieces are cut for, and one with too many ids."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    said = json.loads(open(vocabulary("byte_bpe_50k.json")).read())
+    said["pre_tokenizer"]["use_regex"] = False
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    own = encode.encoder(str(path))
+    ids, counts = own.encode(TRICKY)
+    want = library(str(path), TRICKY)
+    assert isinstance(own, encode.Whole) and counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+    assert encode.Library(vocabulary("byte_bpe_50k.json")).known and encode.Library(vocabulary("word_bpe_49k.json")).known
+    assert want != library(vocabulary("byte_bpe_50k.json"), TRICKY) and Tokenizer.from_file(str(path))
+    encode.forget()
+
+
+def test_chunks_follow_the_text():
+    """Slices of a batch: every row once, few bytes at a time, a row larger than the budget alone."""
+    import pyarrow as pa
+
+    texts = ["é" * 30, "", "x" * 500, "", "y", "z" * 3_000_000, "", "w" * 60]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    for budget in (100, 2_000_000):
+        got = list(encode.chunks([batch, batch.slice(0, 0), batch.slice(3)], budget))
+        assert [t for _, part in got for t in part] == texts + texts[3:]
+        assert [i for b, _ in got for i in b.column(0).to_pylist()] == [*range(8), *range(3, 8)]
+        assert all(len(part) == 1 or sum(len(t.encode()) for t in part) <= budget for _, part in got)
+
+
 def test_bpe_is_the_library(vocabulary):
     from tokenizers import Tokenizer
 
@@ -214,11 +246,12 @@ def test_pack_empty(empty, vocabulary):
 
 # near-duplicates
 
-def test_near_duplicates(docs, plain):
-    got = minhash.near_duplicates(docs).collect()
-    want = brute.components([(d, t) for d, t, _ in plain])
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, plain, width):
+    got = minhash.near_duplicates(docs, width=width).collect()
+    want = brute.components([(d, t) for d, t, _ in plain], width)
     assert {r.doc_id: r.component_id for r in got} == want
-    assert all(r.n_shingles == len(brute.shingles(t)) for r, (_, t, _) in zip(sorted(got), sorted(plain)))
+    assert all(r.n_shingles == len(brute.shingles(t, width)) for r, (_, t, _) in zip(sorted(got), sorted(plain)))
 
 
 def test_chains_and_hot_group(spark):
@@ -238,7 +271,7 @@ def test_chains_and_hot_group(spark):
         rows.append((i, " ".join(copy)))
     rows += [(300 + i, "Same Text" if i % 2 else "same text") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2).collect()}
     assert got == brute.components(rows)
 
 
@@ -252,10 +285,28 @@ def test_near_duplicates_edges(edges, empty):
     kept = minhash.deduplicate(edges)
     assert kept.columns == edges.columns
     ids = Counter(r.doc_id for r in kept.collect())
-    assert ids[8] == 1 and 6 not in ids and 7 not in ids and ids[5] == ids[1] == ids[2] == 1
+    assert ids[8] == 2 and 6 not in ids and 7 not in ids and ids[5] == ids[1] == ids[2] == 1
     assert minhash.near_duplicates(empty).count() == 0 and minhash.deduplicate(empty).count() == 0
 
 
+def test_no_coincidence_loses_a_link(spark, monkeypatch):
+    """With hashes of which many coincide in the bits that step 4 compares, the components stay those of the full sets."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    origin, rows = [word() for _ in range(400)], []
+    for i in range(60):  # close to some others, seldom to the pivot
+        copy = list(origin)
+        for k in rng.sample(range(400), 24):
+            copy[k] = word()
+        rows.append((i, " ".join(copy)))
+    mixed = minhash._mixed
+    monkeypatch.setattr(minhash, "_mixed", lambda x: mixed(x) & ~np.uint64(0x7FFFFF80))  # 7 of the 31 bits are left
+    sets = [minhash.shingle_hashes(t, 2) for _, t in rows]
+    assert all(len(set((s & np.uint64(0x7FFFFFFF)).tolist())) <= 128 for s in sets)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == brute.components(rows)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(30)]

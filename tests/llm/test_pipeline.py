@@ -13,7 +13,7 @@ def test_stages_and_run(spark, sf_dir, docs, vocabulary):
     for (d, t, _), (_, _, _, good, gone) in zip(rows, brute.quality(rows, line_frequency.MAX_DOCS, line_frequency.MAX_SHARE)):
         if good:
             kept.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)))
-    of = brute.components(kept)
+    of = brute.components(kept, 5)
     kept = [(d, brute.pseudonymised(t, pseudonyms.KINDS, KEY)) for d, t in kept if of[d] == d]
     check_packing(corpus_pipeline.run(spark, sf_dir).collect(), kept, vocabulary("word_bpe_49k.json"))
 

@@ -7,6 +7,7 @@ an empty result; a repeated row is treated as a row of its own unless the operat
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,34 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
                        F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
 
 
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder (``spark.checkpoint.dir``) and read it again: later jobs start
-    from files that outlive executors, and nothing before them runs twice."""
+    from files that outlive executors, and nothing before them runs twice.  Within ``scratch`` the table is deleted at
+    its end (with ``keep``: at the end of the scope around it, if any)."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tracelat-llm/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    for scope in (_scopes[:-1] if keep else _scopes)[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are stored within are deleted at its end; what is read later must be stored with ``keep``."""
+    mine: list[str] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes[:] = [x for x in _scopes if x is not mine]
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,7 +16,6 @@ Nulls and empty texts have no tokens; special strings in a text are their single
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracelat.llm.base import texts
-from tracelat.llm.encode import Cached, byte_letters, chunks
+from tracelat.llm.encode import Cached, byte_letters, chunks, kept
 
 #: Stands between pieces in the automaton's input; no token has it.
 GAP = "Ā"
@@ -139,7 +138,7 @@ class Bpe:
         """For ``Cached``: pieces are cut into pre-tokens, and the new ones of all pieces are encoded together."""
         cut = [self.pretokens.findall(p) for p in pieces]
         new = list({w for words in cut for w in words if w not in self.words})
-        if len(self.words) + len(new) > 500_000:
+        if len(self.words) + len(new) > 200_000:
             self.words.clear()
             new = list({w for words in cut for w in words})
         for w, ids in zip(new, self.encode_words(new) if new else ()):
@@ -161,11 +160,13 @@ class Bpe:
         return [flat[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
 
 
-@functools.lru_cache(maxsize=2)
 def codec(path: str) -> tuple[Bpe, Cached]:
     """This worker's tables for a vocabulary file."""
-    bpe = Bpe(path)
-    return bpe, Cached(bpe.encode_new, bpe.specials)
+    def make():
+        bpe = Bpe(path)
+        return bpe, Cached(bpe.encode_new, bpe.specials)
+
+    return kept(("codec", path), make)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:

@@ -8,15 +8,19 @@ encodes the others.  When the cache holds more than ``LIMIT`` pieces, those met
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import itertools
 import json
 import re
+from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces in a worker's cache (about 100 MB).
-LIMIT = 500_000
+#: Pieces in a worker's cache, and pre-tokens beside them: measured together, about 75 MB when full.
+LIMIT, WORDS = 300_000, 100_000
 
 #: A space before a space or the end: then the text isn't cut at every space.
 _IRREGULAR = re.compile(r" (?:\s|\Z)")
@@ -27,6 +31,12 @@ _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
 _SIMPLE = re.compile(r"[\x20-\x7E\nÀ-ÖØ-öø-ÿ]+\Z")
 # The vocabularies' pre-token patterns, with letters and digits of the characters above.
 _BYTE_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+")
+# The normalisers and pre-tokenizers of files that the patterns are for.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_LOWER_CASE = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_LOWER_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {**_BYTE_LEVEL, "use_regex": False}]}
 _LOWER_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 
 
@@ -72,9 +82,9 @@ class Pool:
         met = np.bincount(rows, minlength=0)
         self.met[: len(met)] += met
 
-    def add(self, flat: list[int], sizes: list[int]) -> None:
+    def add(self, flat, sizes) -> None:
         """The next rows: their ids one after the other, and how many each has."""
-        flat, sizes = np.array(flat, np.uint16), np.array(sizes, np.int64)
+        flat, sizes = np.asarray(flat, np.uint16), np.asarray(sizes, np.int64)
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.filled + len(sizes) > len(self.at):
@@ -165,20 +175,53 @@ def _places(at: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def chunks(batches, budget: int = 2_000_000):
-    """(record batch, its rows' texts) in slices of about ``budget`` characters, so that memory doesn't follow the
-    size of a batch."""
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index("text")).to_pylist()
-        start = size = 0
-        for i, text in enumerate(column):
-            size += len(text)
-            if size >= budget or i + 1 == len(column):
-                yield batch.slice(start, i + 1 - start), column[start : i + 1]
-                start, size = i + 1, 0
+    """(record batch, its rows' texts) in slices of about ``budget`` bytes of text; only a slice's texts are Python
+    strings at a time, so memory follows neither the size of a batch nor its rows.  At the end what was allocated for
+    the texts goes back to the system, so an idle worker holds no more than its caches."""
+    try:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("text"))
+            ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False)) if len(column) else np.empty(0, np.int64)
+            start = 0
+            while start < len(column):
+                before = int(ends[start - 1]) if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + budget, "right")))
+                yield batch.slice(start, stop - start), column.slice(start, stop - start).to_pylist()
+                start = stop
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU library
+        pass
+
+
+#: What this worker keeps between tasks: the caches of one operator, the last that asked.
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """The worker's cache ``name``, made at need; those of other operators are given up for it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        give_back()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Give up all that this worker keeps."""
+    _KEPT.clear()
+    give_back()
 
 
 class Words(dict):
-    """Pre-token to its ids, by the library's model."""
+    """Pre-token to its ids (16-bit numbers in bytes), by the library's model."""
 
     def __init__(self, model):
         super().__init__()
@@ -187,8 +230,8 @@ class Words(dict):
     def ids(self, word: str) -> list[int]:
         return [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]
 
-    def __missing__(self, word: str) -> list[int]:
-        ids = self[word] = self.ids(word)
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = array("H", self.ids(word)).tobytes()
         return ids
 
 
@@ -205,32 +248,50 @@ class Library:
         self.tokenizer.no_padding()
         said = json.loads(self.tokenizer.to_str())
         self.specials = {t["content"]: t["id"] for t in said["added_tokens"]}
-        self.lower = said["normalizer"] is not None
+        form = (said["normalizer"], said["pre_tokenizer"])
+        self.lower = form == (_LOWER_CASE, _LOWER_SPLIT)
+        plain = all(not t[k] for t in said["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and said["post_processor"] is None
+        #: Whether pieces may be encoded one by one: the file is of a form that the patterns are for.
+        self.known = (self.lower or form == (None, _BYTE_LEVEL)) and plain and said["model"]["type"] == "BPE" and self.tokenizer.get_vocab_size() <= 65536
         self.pretokens = (_LOWER_WORDS if self.lower else _BYTE_WORDS).findall
         self.words = Words(self.tokenizer.model)
 
-    def encode_new(self, pieces: list[str]) -> tuple[list[int], list[int]]:
-        flat, sizes, words, pretokens, lower, model = [], [], self.words, self.pretokens, self.lower, self.words.ids
-        if len(words) > LIMIT:
+    def encode_new(self, pieces: list[str]) -> tuple[array, list[int]]:
+        flat, sizes, words, pretokens, lower, model = array("H"), [], self.words, self.pretokens, self.lower, self.words.ids
+        if len(words) > WORDS:
             words.clear()
         for piece in pieces:
             before = len(flat)
             if _PLAIN.match(piece):  # one pre-token; it is kept with the pieces
-                flat += model(piece.lower().strip(" ") if lower else piece)
+                flat.extend(model(piece.lower().strip(" ") if lower else piece))
             elif _SIMPLE.match(piece):
                 for word in pretokens(piece.lower() if lower else piece):
-                    flat += words[word]
+                    flat.frombytes(words[word])
             else:
-                flat += self.tokenizer.encode(piece, add_special_tokens=False).ids
+                flat.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
             sizes.append(len(flat) - before)
         return flat, sizes
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Cached:
+class Whole:
+    """Encodes whole texts by the library, for files of any other form."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+
+def encoder(path: str) -> Cached | Whole:
     """This worker's encoder for a vocabulary file."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    library = Library(path)
-    return Cached(library.encode_new, library.specials)
+
+    def make():
+        library = Library(path)
+        return Cached(library.encode_new, library.specials) if library.known else Whole(library.tokenizer)
+
+    return kept(("encoder", path), make)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelat.llm.base import stored, texts
-from tracelat.llm.encode import chunks
+from tracelat.llm.encode import chunks, forget
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MAX_DOCS, MAX_SHARE, MIN_LEFT, SALTS = 10, 0.0, 0.2, 16
@@ -94,6 +94,7 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     types = [pa.int64(), *[pa.int64()] * 6, pa.list_(pa.struct([("i", pa.int32()), ("hash", pa.int64()), ("words", pa.int32())]))]
 
     def run(batches):
+        forget()
         for part, text in chunks(batches):
             columns = list(zip(*map(measure, text)))
             arrays = [pa.array(c, t) for c, t in zip(columns, types[1:])]
