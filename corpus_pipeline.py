@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's ``docs``.  All but the last return the columns of ``documents`` (any other column of theirs stays too).
 
 * quality: documents that the rules reject go; lines above the limits go from the others' texts.
-* near_dedup: one document of each group of near-duplicates stays, the one with the smallest id.
+* near_dedup: one document of each group of near-duplicates (80 % of 5-word shingles) stays, the one with the smallest id.
 * pii: validated numbers, dates and addresses become keyed pseudonyms.
 * packing: each piece of a document, its sequence and its place there.
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelat.llm import best_fit, line_frequency, minhash, pseudonyms
-from tracelat.llm.base import stored, table
+from tracelat.llm.base import scratch, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, width=5, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
 
 
