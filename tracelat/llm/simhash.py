@@ -15,7 +15,8 @@ tables, with the number of their documents and the smallest id of them, their re
 The radius comes from a similarity (``radius_for``): texts of that Jaccard similarity of 2-word shingles are expected
 at most so many bits apart, ``SPREAD`` standard deviations included.
 
-A null text is empty.  Rows that repeat an id with its text are one document.  A document without an id has no next one.
+A null text is empty.  Rows that repeat an id with its text are one document; rows with one id (or none) and different
+texts are documents of their own.  A document without an id has no next one.
 """
 
 from __future__ import annotations
@@ -175,10 +176,11 @@ def report(docs: DataFrame, query: Column | None = None, radius: int = RADIUS) -
     likeness to the edited text and to the next document) and, for rows that ``query`` chooses (all by default),
     n_near (documents other than itself within ``radius`` bits of its fingerprint) and near_ids (of each fingerprint
     there, its own included, the smallest id, if that isn't its own id; ascending)."""
-    keys = ["doc_id", "next_id", "n_chars", "sha", "which"]
-    rows = edited(docs).select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"),
+    # texts that differ only where they are edited have equal edited texts, so the text's own hash is a key too
+    keys = ["doc_id", "next_id", "n_chars", "sha", "own", "which"]
+    rows = edited(docs).select("doc_id", "next_id", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), F.unhex(F.md5("text")).alias("own"),
                                F.explode(F.array(F.struct(F.lit(0).alias("which"), "text"), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t"))
-    rows = rows.select("doc_id", "next_id", "n_chars", "sha", "t.which", "t.text")
+    rows = rows.select("doc_id", "next_id", "n_chars", "sha", "own", "t.which", "t.text")
     votes = fingerprints(rows, keys)
     side = lambda c, which: F.max(F.when(F.col("which") == which, F.col(c)))
     own = votes.groupBy(*keys[:-1]).agg(side("fp0", 0).alias("fp0"), side("fp1", 0).alias("fp1"), side("fp0", 1).alias("e0"), side("fp1", 1).alias("e1"))
