@@ -238,16 +238,17 @@ class Words(dict):
 class Library:
     """The tokenizers library on pieces.  Pieces of printable ASCII, Latin letters and line ends are cut into
     pre-tokens here, and only the library's model runs, once for each pre-token that isn't cached; all other
-    pieces go through the library's whole pipeline."""
+    pieces go through the library's whole pipeline.  Without ``specials`` the strings of special tokens are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         said = json.loads(self.tokenizer.to_str())
-        self.specials = {t["content"]: t["id"] for t in said["added_tokens"]}
+        self.specials = {t["content"]: t["id"] for t in said["added_tokens"]} if specials else {}
+        self.tokenizer.encode_special_tokens = not specials
         form = (said["normalizer"], said["pre_tokenizer"])
         self.lower = form == (_LOWER_CASE, _LOWER_SPLIT)
         plain = all(not t[k] for t in said["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and said["post_processor"] is None

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracelat.llm import best_fit, bpe, line_frequency, minhash, pseudonyms, secret_index, shard_table, simhash, token_counts, wavelet
+from tracelat.llm import (alignment, best_fit, bpe, line_frequency, merkle, minhash, pseudonyms, secret_index, shard_table, simhash,
+                          token_counts, toxicity, wavelet)
 from tracelat.llm.base import table
 
 
@@ -62,9 +63,22 @@ def op10_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op11_factorization(spark, sf_dir):
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_alignment(spark, sf_dir):
+    return alignment.report(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op3_secret_index, op4_shard_table, op5_wavelet_files, op6_best_fit, op7_simhash, op8_minhash, op9_bpe_round_trip, op10_token_counts)}
+    return {f.__name__: f for f in (op1_line_frequency, op2_pseudonyms, op3_secret_index, op4_shard_table, op5_wavelet_files, op6_best_fit, op7_simhash,
+                                    op8_minhash, op9_bpe_round_trip, op10_token_counts, op11_factorization, op12_alignment, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_merkle_manifest": merkle.audit_sql()}
