@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tracelat.llm.base import partitions, stored
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
-#: Levels of a round: its blocks are of 6 561 rows.
-LEVELS = 8
+#: Levels of a round: its blocks are of 243 rows.
+LEVELS = 5
 _PATH = "array<struct<before:string,after:string>>"
 
 
@@ -51,7 +51,8 @@ def leaf(columns=COLUMNS, **other: Column) -> Column:
 def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``rows`` with ``pos`` (from 0, within the group) and ``n`` (rows of the group); the group's column has no nulls."""
     ranges = [F.col(c).asc_nulls_first() for c in [group, *order]]
-    # a written table: ranges must not be drawn anew
+    # written tables: the rows aren't worked out a second time to draw ranges, and ranges must not be drawn anew
+    rows = stored(rows, "keyed")
     dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), *ranges).withColumn("__part", F.spark_partition_id()), "dealt")
     by_group = Window.partitionBy(group)
     counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__c")).select(
