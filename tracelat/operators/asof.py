@@ -6,14 +6,15 @@ partial: a null leaves the value in force as it is.  Updates of one stamp
 apply in the order of ``seq_col`` (if the log has it).  Two plans, chosen by a
 size check on the config side, give the same rows:
 
-* **small config** (at most ``max_broadcast_rows`` updates, counted): each
-  parameter is carried forward along the log, and the updates become
-  intervals ``[from, to)``.  The log is cut into ranges of equally many
-  updates (at most ``RANGES``), whose bounds are literals; an event finds its
-  range by two short scans of bounds and joins the range's intervals as a
-  *broadcast equi-join* plus the interval predicate.  The event side is never
-  shuffled and an event meets at most ``n / RANGES`` intervals and one more,
-  however the updates bunch up in time.
+* **small config** (at most ``max_broadcast_rows`` updates, read once with
+  that bound): each parameter is carried forward along the log, and the
+  updates become intervals ``[from, to)``.  The log is cut into ranges of
+  equally many updates (at most ``RANGES``).  An event finds its range by a
+  binary search in the constant, sorted array of the ranges' bounds - one
+  projection a step, at most 12, all in one generated stage - and joins the
+  range's intervals as a *broadcast equi-join* plus the interval predicate.
+  The event side is never shuffled and an event meets at most ``n / RANGES``
+  intervals and one more, however the updates bunch up in time.
 * **large config**: events and updates are unioned and the settings are
   carried forward with :func:`carry_last` over time chunks, so no task holds
   the whole timeline.
@@ -23,8 +24,6 @@ Both return the event rows with one ``_p_<param>`` column per parameter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +38,16 @@ def asof_join(events: DataFrame, config: DataFrame, params, ts_col: str = "ts_ns
               chunk_ns: int | None = None, seq_col: str = "seq") -> DataFrame:
     params = list(params)
     config = config.select(F.col(from_col), (F.col(seq_col) if seq_col in config.columns else F.lit(0)).cast("long").alias("_seq"), *params)
-    n = config.limit(max_broadcast_rows + 1).count()
+    # the one read of the log: a bounded table, which a broadcast would bring here anyway
+    head = config.limit(max_broadcast_rows + 1).toArrow()
+    n = head.num_rows
     if n == 0:
         out = events
         for p in params:
             out = out.withColumn(f"_p_{p}", F.lit(None).cast(config.schema[p].dataType))
         return out
     if n <= max_broadcast_rows:
+        config = events.sparkSession.createDataFrame(head, config.schema)
         return _broadcast_range_join(events, config, params, ts_col, from_col, n)
     return _union_carry(events, config, params, ts_col, from_col, chunk_ns)
 
@@ -63,19 +65,16 @@ def intervals(config: DataFrame, params, from_col: str, n: int) -> DataFrame:
     return cfg.withColumn("_range", F.dense_rank().over(Window.orderBy("_range")) - 1).drop("_n")
 
 
-def _range_of(ts, bounds: list[int]):
-    """The place (from 0) of the last bound at or before ``ts``: two scans of about the bounds' square root."""
-    step = max(1, int(len(bounds) ** 0.5))
-    blocks = [bounds[i:i + step] for i in range(0, len(bounds), step)]
-    never = (1 << 63) - 1
-
-    def passed(places):
-        return reduce(lambda a, b: a + b, [(ts >= p).cast("int") for p in places])
-
-    block = F.greatest(passed([F.lit(b[0]) for b in blocks]), F.lit(1))
-    # the bounds at place j of all blocks, and of these the one of the event's block
-    at = [F.element_at(F.expr("array(" + ", ".join(f"bigint({b[j] if j < len(b) else never})" for b in blocks) + ")"), block) for j in range(step)]
-    return (block - 1) * step + passed(at) - 1
+def with_place(df: DataFrame, col: str, bounds: list[int], out: str) -> DataFrame:
+    """``df`` with ``out``: how many of the ascending ``bounds`` are at or below ``col``, less one (0 at least, also for
+    a null).  A binary search: each step is a projection of its own, since the next one uses its result twice."""
+    at = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")   # folded to one constant
+    step = 1 << max(0, (len(bounds) - 1).bit_length() - 1)
+    df = df.withColumn(out, F.lit(0))
+    while step and len(bounds) > 1:
+        df = df.withColumn(out, F.col(out) + F.when(F.get(at, F.col(out) + step) <= F.col(col), step).otherwise(0))
+        step //= 2
+    return df
 
 
 def _broadcast_range_join(events, config, params, ts_col, from_col, n):
@@ -83,7 +82,7 @@ def _broadcast_range_join(events, config, params, ts_col, from_col, n):
     # RANGES rows at most.  The last update at or before an event stands in the last range that begins at or before it.
     bounds = [r["b"] for r in cfg.groupBy("_range").agg(F.min("_from").alias("b")).orderBy("_range").collect()]
     ts = F.col(ts_col)
-    ev = events.withColumn("_erange", _range_of(ts, bounds))
+    ev = with_place(events, ts_col, bounds, "_erange")
     cond = ((F.col("_erange") == F.col("_range")) & (ts >= F.col("_from"))
             & (F.col("_to").isNull() | (ts < F.col("_to"))))
     j = ev.join(F.broadcast(cfg), cond, "left")
