@@ -85,6 +85,71 @@ def test_pair_stream_with_state_ttl(spark, sf_dir):
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
+def _sliced(spark, df, n, ts="ts_ns"):
+    """The rows as files in order of time, to be read one a micro-batch."""
+    lo, hi = df.agg(F.min(ts), F.max(ts)).first()
+    src = tempfile.mkdtemp(prefix="tracelat-slices-")
+    part = F.floor((F.col(ts) - F.lit(lo)) * F.lit(n) / F.lit(hi - lo + 1))
+    for i in range(n):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(os.path.join(src, "raw"))
+    return stream_trace(spark, os.path.join(src, "raw"), df.schema, max_files_per_trigger=1)
+
+
+def test_keyed_state_equals_batch_pairing(spark, sf_dir):
+    """pair_stream() over five micro-batches, with and without a limit on how long an entry is pending."""
+    from tracelat.streaming.pair_stream import start_pair_stream
+    raw = fx.raw_calls(spark, sf_dir).select(*[f.name for f in RAW_SCHEMA.fields])
+    stream = _sliced(spark, raw, 5)
+    for probe, limit in (("nfs_file_read", None), ("nfs_file_read", 3600 * 10**9), ("block_io_latency", 3600 * 10**9)):
+        wd = tempfile.mkdtemp(prefix="tracelat-keyed-")
+        q = start_pair_stream(stream, probe, wd, os.path.join(wd, "ck"), "r", available_now=True, max_pending_ns=limit, params={"filter_comm": "proc3"})
+        stop_ingest(q)
+        batches = [p for p in q.recentProgress if p["numInputRows"]]
+        assert len(batches) >= 4 and sum(p["numInputRows"] for p in batches) == raw.count()
+        got = scan_trace(spark, wd, probe).drop("probe", "run_id")
+        want = pair(raw, probe, {"filter_comm": "proc3"}, max_pending_ns=limit)
+        free = pair(raw, probe, {"filter_comm": "proc3"})
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert limit is None or want.exceptAll(free).count() + free.exceptAll(want).count() > 0  # the limit decides something
+
+
+def test_timers_clear_entries_that_never_see_an_exit(spark):
+    """200 entries without an exit, then a later busy key: the old keys' state goes once the watermark is past their time."""
+    from tracelat.streaming.pair_stream import pair_stream
+    sec = 10**9
+    rows = [(i, i * 1000, "entry", (i + 1) << 32, "c", 1) for i in range(200)]
+    rows += [(1000 + i, (i + 1) * 600 * sec, "exit" if i % 2 else "entry", 5000 << 32, "c", 1) for i in range(12)]
+    rows += [(2000, 7300 * sec, "exit", 1 << 32, "c", 1)]
+    df = spark.createDataFrame(rows, "seq long, ts_ns long, kind string, pid_tgid long, comm string, ret long")
+    stream = _sliced(spark, df, 6)
+    out = []
+    q = (pair_stream(stream, "nfs_file_read", max_pending_ns=60 * sec).writeStream.outputMode("append")
+         .foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
+    q.processAllAvailable()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    want = [r for r in pair(df, "nfs_file_read", max_pending_ns=60 * sec).collect()]
+    assert sorted(map(tuple, out)) == sorted(map(tuple, want))
+    assert max(states) >= 190 and states[-1] <= 10, states
+
+
+def test_frames_of_a_key_in_any_order():
+    import random
+
+    import pandas as pd
+
+    from tracelat.streaming.pair_stream import in_order
+    rng = random.Random(2)
+    for n, mixed in ((0, False), (1, False), (40, False), (40, True)):
+        rows = [(rng.randrange(30), i) for i in range(n)]
+        rows = rows if mixed else sorted(rows)
+        cuts = [0, *sorted(rng.sample(range(n + 1), min(n, 5))), n]
+        frames = [pd.DataFrame(rows[a:b], columns=["ts_ns", "seq"]) for a, b in zip(cuts, cuts[1:])]
+        got = list(in_order(iter(frames)))
+        assert [tuple(r) for pdf in got for r in pdf.itertuples(index=False)] == sorted(rows)
+        assert mixed or len(got) == sum(not f.empty for f in frames)
+
+
 def test_batch_pair_rejects_streams_and_fixed_settings_engine(spark, sf_dir):
     import pytest
     from tracelat.streaming.hot_config import start_ingest_hot

@@ -125,10 +125,12 @@ def prepare(raw: DataFrame, s: TraceSpec, params: dict | None = None,
     return ev, post, prev_fields
 
 
-def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = ()) -> DataFrame:
+def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = (), max_pending_ns: int | None = None) -> DataFrame:
     """Exit rows with their ``_prev`` event struct -> the probe's table."""
     prev = F.col("_prev")
     matched = F.coalesce(prev["kind"] == "entry", F.lit(False))
+    if max_pending_ns is not None:
+        matched = matched & (F.col("ts_ns") - prev["ts_ns"] <= max_pending_ns)
     if s.orphan == "drop":
         x = x.where(matched)
     if post is not None:
@@ -139,7 +141,7 @@ def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = ()) -> DataFram
 
 def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
          effect: str = "reference", extra_cols: tuple = (),
-         chunk_ns: int | str | None = "auto") -> DataFrame:
+         chunk_ns: int | str | None = "auto", max_pending_ns: int | None = None) -> DataFrame:
     """Pair raw entry/exit events of one probe into its trace table.
 
     ``raw`` follows :data:`tracelat.specs.RAW_SCHEMA` (unused attributes may
@@ -153,6 +155,9 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     thread or device no longer lands in one task.  Same result.  ``'auto'``
     (default) sizes the chunks from one count/min/max pass
     (:func:`auto_chunk_width`); ``None`` forces the single window.
+
+    An entry pending for more than ``max_pending_ns`` is given up: its exit
+    is an orphan.
     """
     s = get_spec(probe) if isinstance(probe, str) else probe
     if raw.isStreaming:
@@ -169,32 +174,5 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     else:
         w = Window.partitionBy(*s.key_cols).orderBy("ts_ns", "seq")
         x = ev.withColumn("_prev", F.lag(prev_struct).over(w)).where(is_exit)
-    return finish(x, s, post, extra_cols)
-
-
-def pair_rw(raw, probe="nfs_file_read", **kw):
-    return pair(raw, probe, **kw)
-
-
-def pair_attr(raw, probe="nfs_getattr", **kw):
-    return pair(raw, probe, **kw)
-
-
-def pair_nfsd(raw, probe="nfsd4_read", **kw):
-    return pair(raw, probe, **kw)
-
-
-def pair_syscall(raw, **kw):
-    return pair(raw, "sys_call_trace", **kw)
-
-
-def pair_block_io(raw, **kw):
-    return pair(raw, "block_io_latency", **kw)
-
-
-def pair_rpc(raw, **kw):
-    return pair(raw, "rpc_task_latency", **kw)
-
+    return finish(x, s, post, extra_cols, max_pending_ns)
 
-def pair_svc(raw, **kw):
-    return pair(raw, "svc_rqst_latency", **kw)

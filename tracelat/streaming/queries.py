@@ -26,6 +26,7 @@ def _workdir(spark: SparkSession, tag: str) -> str:
 
 RUN = "20260101-000000"
 SLICES = 4
+PENDING_NS = 6 * 3600 * 10**9
 
 
 def _ingest_slices(spark: SparkSession, sf_dir: str, probe: str, root: str, ck: str, run_id: str, src: str) -> None:
@@ -49,6 +50,25 @@ def q_pair_stream(spark: SparkSession, sf_dir: str):
     return scan_trace(spark, root, "nfs_file_read").drop("probe", "run_id")
 
 
+def q_pair_stream_keyed(spark: SparkSession, sf_dir: str, max_pending_ns: int | None = PENDING_NS):
+    """PAIR-8: the events arrive as ``SLICES`` files in order of time, each a
+    micro-batch; pending entries stay in the keyed state in between."""
+    from .pair_stream import start_pair_stream
+    configure(spark)
+    wd = _workdir(spark, "pair_stream_keyed")
+    events = fx.table(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.floor((micros - F.lit(lo)) * SLICES / F.lit((hi or 0) - (lo or 0) + 1))
+    src = os.path.join(wd, "src")
+    for i in range(SLICES):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(src)
+    raw = fx.raw_calls_from(stream_trace(spark, src, events.schema, max_files_per_trigger=1))
+    root = os.path.join(wd, "tables")
+    stop_ingest(start_pair_stream(raw, "nfs_file_read", root, os.path.join(wd, "ckpt"), RUN, available_now=True, max_pending_ns=max_pending_ns))
+    return scan_trace(spark, root, "nfs_file_read").drop("probe", "run_id")
+
+
 def _two_probes(spark: SparkSession, sf_dir: str):
     configure(spark)
     wd = _workdir(spark, "ingest")
@@ -128,6 +148,7 @@ def q_hot_settings_stream(spark: SparkSession, sf_dir: str):
 def streaming_queries() -> dict:
     return {
         "pair_stream": q_pair_stream,
+        "pair_stream_keyed": q_pair_stream_keyed,
         "start_ingest": q_start_ingest,
         "ingest_progress": q_ingest_progress,
         "append_compact_scan": q_append_compact,
@@ -143,6 +164,7 @@ def streaming_oracle_sql() -> dict:
     progress = " UNION ALL ".join(
         f"SELECT '{probe}' AS probe, (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM ({o[q]})) AS rows_written, "
         "CAST(NULL AS VARCHAR) AS last_error" for probe, q in (("sys_call_trace", "pair_syscall"), ("rpc_task_latency", "pair_rpc")))
-    return {"pair_stream": o["pair_rw"], "start_ingest": o["pair_syscall"], "ingest_progress": progress,
+    return {"pair_stream": o["pair_rw"], "pair_stream_keyed": f"SELECT * REPLACE (CASE WHEN lat <= {PENDING_NS} THEN lat ELSE 0 END AS lat) FROM ({o['pair_rw']})",
+            "start_ingest": o["pair_syscall"], "ingest_progress": progress,
             "runs_side_by_side": f"SELECT p.*, r.run_id FROM ({o['pair_rw']}) p CROSS JOIN (VALUES {runs}) r(run_id)",
             "append_compact_scan": o["pair_rw"], "hot_settings_stream": o["pair_rw_asof"]}
