@@ -73,6 +73,14 @@ def test_chunked_pairing_shuffles_the_data_once(spark, stored):
     assert len(big_side) == 1 and "_chunk" in big_side[0]
 
 
+def test_even_chunks_read_one_table(spark, sf_dir):
+    """Rows and summary of the chunked scan come from the one table that the windowed exchange was written to."""
+    frames = [pair(fx.raw_calls(spark, sf_dir), "nfs_file_read", rows_per_chunk=4), replay_control(fx.control_log(spark, sf_dir), rows_per_chunk=20)]
+    for df in frames:
+        plan = _plan(df)
+        assert plan.count("FileScan") == 1 and "tracelat-carry" in plan and "Exchange hash" not in plan
+
+
 def test_p99_row_pushes_the_bound_and_takes_top1_per_partition(spark, stored):
     root, _ = stored
     t = scan_trace(spark, os.path.join(root, "t"), "sys_call_trace", "20260101-000001")

@@ -153,7 +153,6 @@ def test_auto_chunking_kicks_in_for_large_inputs(spark, raw_events, monkeypatch)
     ev, raw = raw_events
     monkeypatch.setattr(carry, "AUTO_CHUNK_ROWS", 50)
     assert carry.auto_chunk_width(raw, "ts_ns", 50) is not None
-    monkeypatch.setattr(carry.auto_chunk_width, "__defaults__", (50,))
     s = SPECS["nfs_file_read"]
     got = _spark_rows(pair(raw, "nfs_file_read"))
     assert _sorted(got) == _sorted(simulate_pairing(ev, s))
@@ -169,8 +168,11 @@ def test_hot_key_is_split_and_exact(spark, monkeypatch):
     for e in ev[::2]:
         e["pid_tgid"] = hot
     raw = spark.createDataFrame([tuple(e[f.name] for f in RAW_SCHEMA.fields) for e in ev], RAW_SCHEMA)
-    monkeypatch.setattr(carry.auto_chunk_width, "__defaults__", (100,))
-    width = carry.auto_chunk_width(raw, "ts_ns")
+    monkeypatch.setattr(carry, "AUTO_CHUNK_ROWS", 100)
+    cut = carry.even_chunks(raw, ["pid_tgid"], ["ts_ns", "seq"], 100).where("_chunk > 0")
+    sizes = [r["count"] for r in cut.groupBy("pid_tgid", "_chunk").count().collect()]
+    assert cut.select("pid_tgid").distinct().count() == 1 and len(sizes) >= 5 and max(sizes) <= 200
+    width = carry.auto_chunk_width(raw, "ts_ns", 100)
     assert width is not None
     chunks = raw.where(F.col("pid_tgid") == hot).select(F.expr(f"ts_ns div {width}")).distinct().count()
     assert chunks >= 5
@@ -178,3 +180,41 @@ def test_hot_key_is_split_and_exact(spark, monkeypatch):
         got = _spark_rows(pair(raw, probe, {"filter_pid": 500} if probe == "sys_call_trace" else {}))
         want = simulate_pairing(ev, SPECS[probe], {"filter_pid": 500} if probe == "sys_call_trace" else {})
         assert _sorted(got) == _sorted(want), probe
+
+
+def test_chunks_are_even_with_outliers_and_bursts(spark):
+    """Heavy keys with an outlying stamp, a burst of close stamps, very many rows of one stamp, and both ends of the
+    range: no chunk exceeds twice the target, chunks follow the order, light keys stay whole."""
+    import tracelat.operators.carry as carry
+    rng, target = random.Random(5), 500
+    rows = [("outlier", 10**9 + 7 * i, i) for i in range(6000)] + [("outlier", 8 * 10**18, 6000)]
+    rows += [("burst", 10**15 * i, i) for i in range(1500)] + [("burst", 7 * 10**17 + i, 2000 + i) for i in range(6000)]
+    rows += [("stamp", 10**6 * rng.randrange(10**6), i) for i in range(1500)] + [("stamp", 5 * 10**11, 2000 + i) for i in range(6000)]
+    rows += [("ends", -9 * 10**18 + i, i) for i in range(1500)] + [("ends", 9 * 10**18 + i, 2000 + i) for i in range(1500)]
+    rows += [("mostly", 5, i) for i in range(4000)] + [("mostly", 6, 4000)] + [(f"light{i % 40}", i, i) for i in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t long, s long").repartition(5)
+    got = carry.even_chunks(df, ["k"], ["t", "s"], target).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.k, []).append((r.t, r.s, r._chunk))
+    assert sorted((r.k, r.t, r.s) for r in got) == sorted(rows)
+    for k, mine in of.items():
+        mine.sort()
+        chunks = [c for *_, c in mine]
+        assert chunks == sorted(chunks), k
+        if k.startswith("light"):
+            assert set(chunks) == {0}
+            continue
+        sizes = {c: chunks.count(c) for c in set(chunks)}
+        assert 0 not in sizes and max(sizes.values()) <= 2 * target, (k, max(sizes.values()))
+        assert len(sizes) <= 3 * (len(mine) // target + 2), (k, len(sizes))
+    assert carry.even_chunks(df, ["k"], ["t", "s"], len(rows)) is None
+    # values are carried across chunks, also into those that have none themselves, nulls included
+    from pyspark.sql import Window
+    v = F.when(F.col("s") % 1700 == 3, F.col("s"))
+    for inclusive in (False, True):
+        w = Window.partitionBy("k").orderBy("t", "s").rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+        want = df.withColumn("x", F.last(v, ignorenulls=True).over(w)).where("s % 3 = 0")
+        even = carry.carry_even(df, ["k"], ["t", "s"], {"x": v}, target, inclusive=inclusive, keep=F.col("s") % 3 == 0)
+        assert even.columns == want.columns and want.exceptAll(even).count() == 0 and even.exceptAll(want).count() == 0

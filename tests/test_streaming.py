@@ -150,6 +150,38 @@ def test_frames_of_a_key_in_any_order():
         assert mixed or len(got) == sum(not f.empty for f in frames)
 
 
+def test_a_batch_writes_what_it_changes(spark, monkeypatch):
+    """1 000 events over 200 000 pending keys: few rows are written; results and pending entries equal one batch's, also
+    over merges of the versions and a re-run."""
+    from tracelat.streaming import hot_config
+    monkeypatch.setattr(hot_config, "COMPACT_AFTER", 3)
+    n, sec = 200_000, 10**9
+    wd = tempfile.mkdtemp(prefix="tracelat-pending-")
+    first = spark.range(n).selectExpr("id AS seq", "id * 1000 AS ts_ns", "'entry' AS kind", "(id + 1) << 32 AS pid_tgid", "'c' AS comm", "'f' AS file", "1L AS ret", "0L AS offset")
+    batches = [first]
+    for b in range(1, 9):
+        part = first.where((F.col("seq") % 200 == b) | (F.col("seq") % 8000 == 7))
+        kind = F.when(F.col("seq") % 3 == 0, "entry").otherwise("exit")
+        batches.append(part.withColumn("kind", kind).withColumn("ts_ns", F.col("ts_ns") + b * sec).withColumn("seq", F.col("seq") + b * n))
+    go = lambda i: hot_config.process_batch(batches[i], i, "nfs_file_read", wd, f"{wd}/state", "r", None, [])
+    for i in range(len(batches)):
+        go(i)
+        written = spark.read.parquet(f"{wd}/state/pending/batch_id={i}").count()
+        assert written == n if i == 0 else written <= 0.05 * n
+        if i == 5:
+            go(i)  # again, after a failure
+    whole = batches[0]
+    for b in batches[1:]:
+        whole = whole.unionByName(b)
+    got, want = scan_trace(spark, wd, "nfs_file_read").drop("probe", "run_id"), pair(whole, "nfs_file_read")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert hot_config._children(spark, f"{wd}/state/pending", "full")[-1] in (6, 7, 8)
+    schema = spark.read.parquet(f"{wd}/state/pending/batch_id=8").schema
+    left = hot_config._latest(hot_config._pending_versions(spark, f"{wd}/state/pending", 9, schema), ["pid_tgid"], None)
+    last = whole.groupBy("pid_tgid").agg(F.max_by("kind", "ts_ns").alias("kind")).where("kind = 'entry'")
+    assert left.count() == last.count() and left.join(last, "pid_tgid", "left_anti").count() == 0
+
+
 def test_batch_pair_rejects_streams_and_fixed_settings_engine(spark, sf_dir):
     import pytest
     from tracelat.streaming.hot_config import start_ingest_hot

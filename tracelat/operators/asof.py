@@ -16,8 +16,8 @@ size check on the config side, give the same rows:
   The event side is never shuffled and an event meets at most ``n / RANGES``
   intervals and one more, however the updates bunch up in time.
 * **large config**: events and updates are unioned and the settings are
-  carried forward with :func:`carry_last` over time chunks, so no task holds
-  the whole timeline.
+  carried forward with :func:`carry_even` over chunks of equal count, so no
+  task holds the whole timeline.
 
 Both return the event rows with one ``_p_<param>`` column per parameter.
 """
@@ -27,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carry import carry_last, chunk_of
+from .carry import AUTO_CHUNK_ROWS, carry_even, carry_last, chunk_of
 
 MAX_BROADCAST_ROWS = 200_000
 RANGES = 4096
+MIN_CHUNK_ROWS = 10_000
 
 
 def asof_join(events: DataFrame, config: DataFrame, params, ts_col: str = "ts_ns",
@@ -90,11 +91,6 @@ def _broadcast_range_join(events, config, params, ts_col, from_col, n):
 
 
 def _union_carry(events, config, params, ts_col, from_col, chunk_ns):
-    if not chunk_ns:
-        st = events.agg(F.min(ts_col).alias("mn"), F.max(ts_col).alias("mx")).first()
-        span = max(1, (st["mx"] or 0) - (st["mn"] or 0))
-        nparts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-        chunk_ns = max(1, span // (nparts * 8) + 1)
     # Updates sort before events of the same stamp (an update applies from
     # its own time on).  Events carry no values, so their order among
     # themselves does not change any result.
@@ -104,8 +100,15 @@ def _union_carry(events, config, params, ts_col, from_col, chunk_ns):
     cf = config.select(F.col(from_col).alias(ts_col), F.col("_seq"), *[F.col(p).alias(f"_v_{p}") for p in params]) \
                .withColumn("_src", F.lit(0))
     u = ev.withColumn("_seq", F.lit(0).cast("long")).unionByName(cf, allowMissingColumns=True)
-    out = carry_last(u, [], [ts_col, "_src", "_seq", *[f"_v_{p}" for p in params]], {f"_p_{p}": F.col(f"_v_{p}") for p in params},
-                     chunk=chunk_of(ts_col, chunk_ns), inclusive=True, keep=F.col("_src") == 1)
+    values = {f"_p_{p}": F.col(f"_v_{p}") for p in params}
+    order = [ts_col, "_src", "_seq", *[f"_v_{p}" for p in params]]
+    if chunk_ns:
+        out = carry_last(u, [], order, values, chunk=chunk_of(ts_col, chunk_ns), inclusive=True, keep=F.col("_src") == 1)
+    else:
+        tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+        total = u.count()
+        target = min(AUTO_CHUNK_ROWS, max(MIN_CHUNK_ROWS, total // tasks))
+        out = carry_even(u, [], order, values, target, inclusive=True, keep=F.col("_src") == 1, total=total)
     return out.drop("_src", "_seq", *[f"_v_{p}" for p in params])
 
 

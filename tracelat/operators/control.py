@@ -18,9 +18,8 @@ Replay rules (CTL-1):
   success -> ``loaded`` / ``unloaded`` / ``loaded`` and the error is cleared;
 * rejected commands, ``status`` and dry-run updates leave the state.
 
-Both passes are ``last(ignorenulls)`` scans per probe; with ``chunk_rows``
-they run through :func:`carry_last` so one busy probe is split by ``seq``
-ranges across tasks.
+Both passes are ``last(ignorenulls)`` scans per probe; a busy probe is cut
+into chunks of equal count (:func:`carry_even`).
 """
 
 from __future__ import annotations
@@ -30,7 +29,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import to_fixed_string, to_u32, to_uint64
 from ..specs import PROBES, SPECS
-from .carry import auto_chunk_width, carry_last, chunk_of
+from . import carry
+from .carry import carry_even, carry_last, chunk_of
 from .catalog import maybe_broadcast
 
 # Error codes and their log levels.
@@ -70,15 +70,17 @@ def names_frame(spark: SparkSession, names, col: str = "name") -> DataFrame:
 
 
 def replay_control(log: DataFrame, catalog: DataFrame | None = None,
-                   implemented=None, chunk_rows: int | str | None = "auto") -> DataFrame:
+                   implemented=None, chunk_rows: int | str | None = "auto",
+                   rows_per_chunk: int | None = None) -> DataFrame:
     """CTL-1/CTL-4: per command, the answer code and the state after it.
 
     Output: ``seq, probe, op, outcome, dry_run, attached_before, code,
     state, last_error, loaded, reply_loaded``.  ``state`` is null for
     unknown probes.  ``catalog`` (``type`` column) adds described-only
     probes; ``implemented`` defaults to the library's twelve specs.
-    ``chunk_rows='auto'`` splits busy probes by ``seq`` ranges when the log
-    is large (see :func:`auto_chunk_width`).
+    ``chunk_rows='auto'`` cuts probes with more than ``rows_per_chunk``
+    commands into chunks of equal count (:func:`carry_even`); a number cuts
+    every probe by ``seq div chunk_rows``; None forces the single window.
     """
     impl_names = sorted(implemented or SPECS)
     has_impl = F.col("probe").isin(*impl_names)          # a fixed literal set, no join
@@ -94,10 +96,13 @@ def replay_control(log: DataFrame, catalog: DataFrame | None = None,
     dry = F.coalesce(F.col("dry_run"), F.lit(False)) & (op == "update")
     flag = (F.when(has_impl & (op == "load") & ok, F.lit(True))
             .when(known & (op == "unload") & ok, F.lit(False)))
-    if chunk_rows == "auto":
-        chunk_rows = auto_chunk_width(log, "seq")
-    chunk = chunk_of("seq", chunk_rows)
-    x = carry_last(x, ["probe"], ["seq"], {"_att": flag}, chunk=chunk, inclusive=False)
+
+    def scan(rows: DataFrame, values: dict[str, Column], inclusive: bool) -> DataFrame:
+        if chunk_rows == "auto":
+            return carry_even(rows, ["probe"], ["seq"], values, rows_per_chunk or carry.AUTO_CHUNK_ROWS, inclusive=inclusive)
+        return carry_last(rows, ["probe"], ["seq"], values, chunk=chunk_of("seq", chunk_rows), inclusive=inclusive)
+
+    x = scan(x, {"_att": flag}, False)
     att = F.coalesce(F.col("_att"), F.lit(False))
     not_found = F.when(op == "load", ~has_impl).otherwise(~known)
     code = (F.when(dry, F.lit(None))
@@ -116,8 +121,7 @@ def replay_control(log: DataFrame, catalog: DataFrame | None = None,
     err_w = F.when(executed, F.coalesce(code, F.lit("")))
     x = x.withColumn("attached_before", att).withColumn("code", code) \
          .withColumn("_sw", state_w).withColumn("_ew", err_w)
-    x = carry_last(x, ["probe"], ["seq"], {"_state": F.col("_sw"), "_err": F.col("_ew")},
-                   chunk=chunk, inclusive=True)
+    x = scan(x, {"_state": F.col("_sw"), "_err": F.col("_ew")}, True)
     state = F.when(known, F.coalesce(F.col("_state"), F.lit("unloaded")))
     return x.select(
         "seq", "probe", "op", "outcome", F.coalesce(F.col("dry_run"), F.lit(False)).alias("dry_run"),
@@ -228,10 +232,13 @@ def param_updates(updates: DataFrame, probe: str) -> DataFrame:
 
 
 def param_history(applied: DataFrame, keys=("probe",), order="seq", params=None,
-                  chunk_rows: int | None = None) -> DataFrame:
+                  chunk_rows: int | str | None = None, rows_per_chunk: int | None = None) -> DataFrame:
     """CTL-7: the full setting in force after each update: every parameter
-    keeps its last applied value (updates are partial)."""
+    keeps its last applied value (updates are partial).  ``chunk_rows``: see
+    :func:`replay_control`."""
     params = params or [c for c in applied.columns if c.startswith("filter_")]
+    if chunk_rows == "auto":
+        return carry_even(applied, list(keys), [order], {p: F.col(p) for p in params}, rows_per_chunk or carry.AUTO_CHUNK_ROWS, inclusive=True)
     return carry_last(applied, list(keys), [order], {p: F.col(p) for p in params},
                       chunk=chunk_of(order, chunk_rows), inclusive=True)
 

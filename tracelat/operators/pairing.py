@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import as_u64, cstr, ntohl, pid_of, to_u32
 from ..specs import TraceSpec, spec as get_spec
-from .carry import auto_chunk_width, carry_last, chunk_of
+from . import carry
+from .carry import carry_even, carry_last, chunk_of
 from .filters import and_all, param_predicate, pushable_hint
 
 MASK32 = 0xFFFFFFFF
@@ -141,7 +142,8 @@ def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = (), max_pending
 
 def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
          effect: str = "reference", extra_cols: tuple = (),
-         chunk_ns: int | str | None = "auto", max_pending_ns: int | None = None) -> DataFrame:
+         chunk_ns: int | str | None = "auto", max_pending_ns: int | None = None,
+         rows_per_chunk: int | None = None) -> DataFrame:
     """Pair raw entry/exit events of one probe into its trace table.
 
     ``raw`` follows :data:`tracelat.specs.RAW_SCHEMA` (unused attributes may
@@ -149,12 +151,13 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     ``raw`` (as-of settings).  ``extra_cols`` are raw columns carried from
     the exit row (e.g. ``seq`` for tests and joins).
 
-    ``chunk_ns`` switches to the two-level scan of
-    :func:`tracelat.operators.carry.carry_last`: events of one key are cut
-    into ``ts_ns div chunk_ns`` chunks that pair in parallel, so a single hot
-    thread or device no longer lands in one task.  Same result.  ``'auto'``
-    (default) sizes the chunks from one count/min/max pass
-    (:func:`auto_chunk_width`); ``None`` forces the single window.
+    With ``chunk_ns='auto'`` (default) keys with more than
+    ``rows_per_chunk`` events are cut into chunks of equal count that pair in
+    parallel (:func:`tracelat.operators.carry.carry_even`), so a single hot
+    thread or device isn't one task; without such a key it is one window.  A
+    number makes chunks ``ts_ns div chunk_ns`` of every key
+    (:func:`tracelat.operators.carry.carry_last`); ``None`` forces the single
+    window.  All give the same rows.
 
     An entry pending for more than ``max_pending_ns`` is given up: its exit
     is an orphan.
@@ -167,8 +170,8 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     prev_struct = F.struct(*[F.col(c) for c in prev_fields])
     is_exit = F.col("kind") == "exit"
     if chunk_ns == "auto":
-        chunk_ns = auto_chunk_width(ev, "ts_ns")
-    if chunk_ns:
+        x = carry_even(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct}, rows_per_chunk or carry.AUTO_CHUNK_ROWS, keep=is_exit)
+    elif chunk_ns:
         x = carry_last(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct},
                        chunk=chunk_of("ts_ns", chunk_ns), keep=is_exit)
     else:

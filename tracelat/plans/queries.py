@@ -104,7 +104,7 @@ def q_param_history(spark, d):
     configure(spark)
     ups = ctl.param_updates(fx.param_log(spark, d), "nfs_file_read")
     return ctl.param_history(ups, ["probe"], "seq", ["filter_pid", "filter_file", "filter_comm"],
-                             chunk_rows=1 << 16).select("seq", "filter_pid", "filter_file", "filter_comm")
+                             chunk_rows="auto", rows_per_chunk=1 << 16).select("seq", "filter_pid", "filter_file", "filter_comm")
 
 
 def q_status_report(spark, d):
@@ -195,9 +195,10 @@ def queries() -> dict:
         "decode_samples_syscall": lambda s, d: q_decode(s, d, "sys_call_trace"),
         # Skew-safe variants: same answers through the chunked two-level scans.
         "pair_rw_single_window": lambda s, d: pair(_raw(s, d), "nfs_file_read", chunk_ns=None),
-        "pair_rw_chunked": lambda s, d: pair(_raw(s, d), "nfs_file_read", chunk_ns=CHUNK_NS),
-        "pair_block_io_chunked": lambda s, d: pair(_raw(s, d), "block_io_latency", chunk_ns=CHUNK_NS),
-        "replay_control_chunked": lambda s, d: q_replay(s, d, chunk_rows=4096),
+        "pair_rw_chunked": lambda s, d: pair(_raw(s, d), "nfs_file_read", rows_per_chunk=32),
+        "pair_rw_chunked_by_time": lambda s, d: pair(_raw(s, d), "nfs_file_read", chunk_ns=CHUNK_NS),
+        "pair_block_io_chunked": lambda s, d: pair(_raw(s, d), "block_io_latency", rows_per_chunk=32),
+        "replay_control_chunked": lambda s, d: q_replay(s, d, rows_per_chunk=512),
         "pair_rw_asof_large_config": lambda s, d: q_pair_rw_asof(s, d, max_broadcast_rows=0),
     }
     return q

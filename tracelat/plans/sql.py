@@ -385,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "WHEN coalesce(name, '') = '' THEN 'name must be a non-empty string' "
         "WHEN coalesce(json_type(params) = 'OBJECT', false) = false THEN 'params must be an object' END END AS error "
         "FROM tool_calls", "tool_calls")
-    q["pair_rw_chunked"] = q["pair_rw"]
+    q["pair_rw_chunked"] = q["pair_rw_chunked_by_time"] = q["pair_rw"]
     q["pair_rw_single_window"] = q["pair_rw"]
     q["pair_block_io_chunked"] = q["pair_block_io"]
     q["replay_control_chunked"] = q["replay_control"]

@@ -52,14 +52,14 @@ def flush_all(queries) -> dict:
 
 def ingest_progress(spark: SparkSession, checkpoint_root: str, probe: str, run_id: str,
                     query: StreamingQuery | None = None) -> dict:
-    """STR-3: batches, rows in and rows written of a run from its first batch
-    on (from the run's progress table, one row per batch), and the query's
-    last error."""
+    """STR-3: batches, rows in, rows written and the program's hits (entries
+    and exits) of a run from its first batch on (from the run's progress table,
+    one row per batch), and the query's last error."""
     path = f"{state_root(checkpoint_root, probe, run_id)}/progress"
-    done = {"batches": 0, "rows_in": 0, "rows_written": 0}
+    sums = ("rows_in", "rows_written", "entries", "exits")
+    done = {"batches": 0, **dict.fromkeys(sums, 0)}
     if table_exists(spark, path):
         rows = spark.read.schema(PROGRESS).parquet(path)
-        done = rows.agg(F.count(F.lit(1)).alias("batches"), F.coalesce(F.sum("rows_in"), F.lit(0)).alias("rows_in"),
-                        F.coalesce(F.sum("rows_written"), F.lit(0)).alias("rows_written")).first().asDict()
+        done = rows.agg(F.count(F.lit(1)).alias("batches"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).first().asDict()
     exc = None if query is None else query.exception()
     return {"name": probe, **done, "last_error": None if exc is None else str(exc)}

@@ -93,8 +93,8 @@ def q_ingest_progress(spark: SparkSession, sf_dir: str):
     for probe, q in qs.items():
         stop_ingest(q)
         p = ingest_progress(spark, ck, probe, RUN, q)
-        rows.append((probe, p["rows_in"], p["rows_written"], p["last_error"]))
-    return spark.createDataFrame(rows, "probe string, rows_in long, rows_written long, last_error string")
+        rows.append((probe, p["rows_in"], p["rows_written"], p["entries"], p["exits"], p["last_error"]))
+    return spark.createDataFrame(rows, "probe string, rows_in long, rows_written long, entries long, exits long, last_error string")
 
 
 def q_runs_side_by_side(spark: SparkSession, sf_dir: str):
@@ -163,6 +163,7 @@ def streaming_oracle_sql() -> dict:
     runs = ", ".join(f"('{r}')" for r in RUNS)
     progress = " UNION ALL ".join(
         f"SELECT '{probe}' AS probe, (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM ({o[q]})) AS rows_written, "
+        "(SELECT count(*) FROM events WHERE event_type IN ('view', 'click')) AS entries, (SELECT count(*) FROM events WHERE event_type NOT IN ('view', 'click')) AS exits, "
         "CAST(NULL AS VARCHAR) AS last_error" for probe, q in (("sys_call_trace", "pair_syscall"), ("rpc_task_latency", "pair_rpc")))
     return {"pair_stream": o["pair_rw"], "pair_stream_keyed": f"SELECT * REPLACE (CASE WHEN lat <= {PENDING_NS} THEN lat ELSE 0 END AS lat) FROM ({o['pair_rw']})",
             "start_ingest": o["pair_syscall"], "ingest_progress": progress,
