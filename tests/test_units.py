@@ -1,6 +1,7 @@
 """Scalars, decoding, parameter coercion, catalogue and quantile operators."""
 
 import json
+import math
 import os
 import random
 import struct
@@ -177,6 +178,44 @@ def test_exact_quantiles(spark, kind):
         assert abs(g - want) <= max(1e-9 * abs(want), 1e-6), (q, g, want)
 
 
+def test_quantiles_of_decimals_and_doubles(spark):
+    """By keys in the same order: negative, huge and tiny values, both zeros, unsigned 64-bit sizes, decimals with a scale."""
+    import random
+    from decimal import Decimal
+
+    from tracelat.operators.quantiles import exact_quantiles, exact_quantiles_by
+    rng = random.Random(3)
+    doubles = [rng.choice([0.0, -0.0, 1e-300, -1e-300, 1e300, -1e300, 5e-324, rng.uniform(-1, 1), rng.gauss(0, 1e9)]) for _ in range(700)]
+    sizes = [Decimal(rng.choice([0, 4096, 2**64 - 1 - rng.randrange(9), rng.randrange(2**64)])) for _ in range(700)]
+    prices = [Decimal(rng.randrange(-10**9, 10**9)).scaleb(-2) for _ in range(700)]
+    rows = [(rng.choice(["a", "b", None]), *r) for r in zip(doubles, sizes, prices)] + [("c", None, None, None)]
+    df = spark.createDataFrame(rows, "k string, d double, u decimal(20,0), p decimal(12,2)").repartition(3)
+    qs = [0.0, 0.25, 0.5, 0.77, 1.0]
+
+    def plain(values):
+        values = sorted(values)
+        out = []
+        for q in qs:
+            h = (len(values) - 1) * q
+            lo, hi = values[math.floor(h)], values[math.ceil(h)]
+            out.append(float(lo) if math.floor(h) == math.ceil(h) else float(lo) + (h - math.floor(h)) * (float(hi) - float(lo)))
+        return out
+
+    for i, col in enumerate(("d", "u", "p"), 1):
+        values = [r[i] for r in rows if r[i] is not None]
+        for small in (0, 1000):
+            stats = {}
+            assert exact_quantiles(df, col, qs, small_rows=small, stats=stats) == (700, plain(values))
+            assert (stats["min"], stats["max"]) == (min(values), max(values)) and math.isclose(float(stats["sum"]), float(sum(values)), rel_tol=1e-9)
+        got = {r.k: r for r in exact_quantiles_by(df, "k", col, qs, nbuckets=64 if col == "p" else None).collect()}
+        for k in ("a", "b", None):
+            mine = [r[i] for r in rows if r[0] == k and r[i] is not None]
+            assert np.allclose([got[k][f"q{j}"] for j in range(len(qs))], plain(mine), rtol=1e-12, atol=0) and got[k].n == len(mine)
+            assert (got[k]["min"], got[k]["max"]) == (min(mine), max(mine))
+    with pytest.raises(TypeError, match="no quantiles"):
+        exact_quantiles(df, "k", qs)
+
+
 def test_summary_methods_agree(spark):
     rng = random.Random(9)
     df = spark.createDataFrame([(rng.randint(0, 10 ** 6),) for _ in range(3000)], "lat long")

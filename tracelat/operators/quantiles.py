@@ -25,8 +25,10 @@ used by SQL ``quantile_cont`` / ``percentile``.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,6 +45,45 @@ def buckets_for(n: int) -> int:
     return 1 << (want - 1).bit_length()
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FLOATING = (T.FloatType, T.DoubleType)
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Doubles to integers in the same order (-0.0 as 0.0, NaN above all)."""
+    n = (np.where(np.isnan(values), np.nan, values) + 0.0).view(np.int64)
+    return n ^ ((n >> 63) & np.int64((1 << 63) - 1))
+
+
+def _unbits(keys: np.ndarray) -> np.ndarray:
+    return (keys ^ ((keys >> 63) & np.int64((1 << 63) - 1))).view(np.float64)
+
+
+def order_key(df: DataFrame, col: str):
+    """An integer column in the order of ``col`` — what the radix passes
+    split — and a function that takes such integers back to values.
+
+    Integers are their own key, decimals their unscaled value (64 bits, or a
+    decimal without scale for more digits), doubles their bits: no built-in function
+    gives those, so an Arrow-batched function does."""
+    t, c = df.schema[col].dataType, F.col(col)
+    if isinstance(t, _INTEGRAL):
+        return c.cast("long"), int
+    if isinstance(t, T.DecimalType):
+        if t.precision + t.scale + 1 > 38:
+            raise ValueError(f"{col}: quantiles of decimals take at most 37 digits, those after the point counted twice")
+        plain = c if not t.scale else c * F.lit(Decimal(10 ** t.scale))
+        return plain.cast("long" if t.precision <= 18 else f"decimal({t.precision},0)"), lambda k: Decimal(int(k)).scaleb(-t.scale)
+    if isinstance(t, _FLOATING):
+        @F.pandas_udf("long")
+        def key(x: pd.Series) -> pd.Series:
+            return pd.Series(_bits(x.to_numpy(np.float64)))
+
+        return F.when(c.isNotNull(), key(c.cast("double"))), lambda k: float(_unbits(np.array([k], np.int64))[0])
+    raise TypeError(f"{col}: no quantiles of {t.simpleString()}")
+
+
+def _number(n: int):
+    return F.expr(f"({n})")
 
 
 def _targets(n: int, qs):
@@ -69,10 +110,11 @@ def _select_ranks(vals: DataFrame, ranks: set[int], vmin: int, vmax: int,
         for i, (lo, hi) in enumerate(intervals):
             width = -(-(hi - lo + 1) // NB)
             widths[i] = width
-            inside = v.between(F.lit(lo), F.lit(hi))
+            inside = v.between(_number(lo), _number(hi))
             preds.append(inside)
-            # integer division: exact for the whole 64-bit range
-            bucket = F.expr(f"(v - ({lo})) div {width}") if width > 1 else (v - F.lit(lo))
+            # integer division: exact; distances beyond 64 bits as decimals
+            v_ = "v" if hi - lo < 1 << 63 else "cast(v AS decimal(38,0))"
+            bucket = F.expr(f"({v_} - ({lo})) div {width}") if width > 1 else (v - _number(lo)).cast("long")
             exprs.append(F.when(inside, F.lit(i).cast("long") * NB + bucket))
             for r, (rlo, rhi, below) in state.items():
                 if r not in found and (rlo, rhi) == (lo, hi):
@@ -117,23 +159,21 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: di
     statistics are read from one sorted list of the persisted column (one
     bounded aggregate); above that, radix selection.  ``small_rows=0``
     forces radix.  Both share the interpolation below.
-    Non-integral columns use ``percentile``.
+    Decimals and doubles go by a key in the same order (:func:`order_key`).
     """
     qs = list(qs)
-    dtype = df.schema[col].dataType
-    vals = df.select(F.col(col).alias("v")).where(F.col("v").isNotNull())
-    if not isinstance(dtype, _INTEGRAL):
-        r = vals.agg(F.count("v").alias("n"),
-                     F.percentile(F.col("v").cast("double"), F.array(*[F.lit(q) for q in qs])).alias("p")).first()
-        return r["n"], list(r["p"] or [None] * len(qs))
+    key, back = order_key(df, col)
+    of_doubles = isinstance(df.schema[col].dataType, _FLOATING)
+    # of doubles the sum isn't the keys'
+    vals = df.where(F.col(col).isNotNull()).select(key.alias("v"), *([F.col(col).cast("double").alias("x")] if of_doubles else []))
     if persist:
         vals = vals.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         st = vals.agg(F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-                      F.sum(F.col("v").cast("decimal(38,0)")).alias("sm")).first()
+                      (F.sum("x") if of_doubles else F.sum(F.col("v").cast("decimal(38,0)"))).alias("sm")).first()
         n = st["n"]
-        if stats is not None:
-            stats.update(n=n, min=st["mn"], max=st["mx"], sum=st["sm"])
+        if stats is not None and n:
+            stats.update(n=n, min=back(st["mn"]), max=back(st["mx"]), sum=st["sm"] if of_doubles else back(st["sm"]))
         if n == 0:
             return 0, [None] * len(qs)
         tg = _targets(n, qs)
@@ -144,13 +184,13 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: di
                 *[F.element_at("a", r + 1).alias(f"r{r}") for r in sorted(ranks)]).first()
             vals_at = {r: row[f"r{r}"] for r in ranks}
         else:
-            vals_at = _select_ranks(vals, ranks, st["mn"], st["mx"], buckets_for(n))
+            vals_at = _select_ranks(vals, ranks, int(st["mn"]), int(st["mx"]), buckets_for(n))
     finally:
         if persist:
             vals.unpersist()
     out = []
     for h, lo, hi in tg:
-        a, b = vals_at[lo], vals_at[hi]
+        a, b = back(vals_at[lo]), back(vals_at[hi])
         out.append(float(a) if lo == hi else float(a) + (h - lo) * (float(b) - float(a)))
     return n, out
 
@@ -179,6 +219,33 @@ def _join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> Dat
     return left.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _key_type(df: DataFrame, col: str) -> str:
+    t = df.schema[col].dataType
+    if isinstance(t, T.DecimalType) and t.precision > 18:
+        if t.precision > 22:
+            raise ValueError(f"{col}: grouped quantiles of decimals take at most 22 digits")
+        return f"decimal({t.precision},0)"
+    return "long"
+
+
+def _unscaled(key, t):
+    """The value of a key, for integers and decimals."""
+    scale = getattr(t, "scale", 0)
+    return (key if not scale else key / F.lit(Decimal(10 ** scale))).cast(t)
+
+
+def _value(key, t):
+    """The value of a key as a double."""
+    if not isinstance(t, _FLOATING):
+        return key.cast("double") / F.lit(10.0 ** t.scale) if getattr(t, "scale", 0) else key.cast("double")
+
+    @F.pandas_udf("double")
+    def back(x: pd.Series) -> pd.Series:
+        return pd.Series(_unbits(x.fillna(0).to_numpy(np.int64)))
+
+    return F.when(key.isNotNull(), back(key.cast("long")))
+
+
 def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None = None) -> DataFrame:
     """Exact ``quantile_cont`` per group, by radix selection per group.
 
@@ -193,12 +260,15 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     qs = list(qs)
-    vals = df.select(*keys, F.col(col).cast("long").alias("v")).where(F.col("v").isNotNull()) \
+    key, _ = order_key(df, col)
+    kind, t = _key_type(df, col), df.schema[col].dataType
+    of_doubles = isinstance(t, _FLOATING)
+    vals = df.where(F.col(col).isNotNull()).select(*keys, key.alias("v"), *([F.col(col).cast("double").alias("x")] if of_doubles else [])) \
              .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         st = _cut_lineage(vals.groupBy(*keys).agg(
             F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-            F.sum(F.col("v").cast("decimal(38,0)")).alias("sm")))
+            (F.sum("x") if of_doubles else F.sum(F.col("v").cast("decimal(38,0)"))).alias("sm")))
         g = st.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"),
                    F.max(F.col("mx").cast("decimal(20,0)") - F.col("mn")).alias("r")).first()
         if not g["g"]:
@@ -206,12 +276,17 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
                              F.col("sm").alias("sum"), *[F.lit(None).cast("double").alias(f"q{i}")
                                                          for i in range(len(qs))])
         nb = nbuckets or buckets_for(g["t"])
+        if g["r"] >= 1 << 63:   # distances beyond 64 bits as decimals
+            kind = "decimal(22,0)"
+            vals_, st_ = vals.withColumn("v", F.col("v").cast(kind)), st.withColumns({c: F.col(c).cast(kind) for c in ("mn", "mx")})
+        else:
+            vals_, st_ = vals, st
         passes, span = 0, int(g["r"]) + 1
         while span > 1:
             span = -(-span // nb)
             passes += 1
         hs = F.array(*[(F.col("n") - 1).cast("double") * F.lit(q) for q in qs])
-        state = st.select(*keys, F.col("mn").alias("lo"), F.col("mx").alias("hi"), F.explode(F.array_distinct(
+        state = st_.select(*keys, F.col("mn").cast(kind).alias("lo"), F.col("mx").cast(kind).alias("hi"), F.explode(F.array_distinct(
             F.flatten(F.transform(hs, lambda h: F.array(F.floor(h).cast("long"), F.ceil(h).cast("long"))))))
             .alias("r")).withColumn("below", F.lit(0).cast("long"))
         small = g["g"] * 2 * len(qs) <= SMALL_STATE_ROWS
@@ -221,7 +296,7 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
                          .withColumn("w", F.expr(f"((hi - lo) div {nb}) + 1")))
             side = F.broadcast(intervals) if small else intervals
             # (null-safe on the group keys)
-            hist = (_join_on(vals, side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
+            hist = (_join_on(vals_, side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
                     .select(*keys, "lo", "hi", "w", F.expr("(v - lo) div w").alias("b"))
                     .groupBy(*keys, "lo", "hi", "w", "b").count())
             wcum = Window.partitionBy(*keys, "lo", "hi").orderBy("b") \
@@ -231,8 +306,8 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
                      .where((F.col("below") + F.col("cum") - F.col("count") <= F.col("r"))
                             & (F.col("r") < F.col("below") + F.col("cum")))
                      .select(*keys, "r",
-                             (F.col("lo") + F.col("b") * F.col("w")).alias("lo"),
-                             F.least(F.col("hi"), F.col("lo") + F.col("b") * F.col("w") + F.col("w") - 1)
+                             (F.col("lo") + F.col("b").cast(kind) * F.col("w")).cast(kind).alias("lo"),
+                             F.least(F.col("hi"), (F.col("lo") + F.col("b").cast(kind) * F.col("w") + F.col("w") - 1).cast(kind))
                               .alias("hi"),
                              (F.col("below") + F.col("cum") - F.col("count")).alias("below")))
             done = state.where(F.col("lo") >= F.col("hi"))
@@ -243,10 +318,10 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
         for i, q in enumerate(qs):
             h = (F.col("n") - 1).cast("double") * F.lit(q)
             lo_r, hi_r = F.floor(h).cast("long"), F.ceil(h).cast("long")
-            a = F.element_at("m", lo_r).cast("double")
-            b = F.element_at("m", hi_r).cast("double")
+            a, b = (_value(F.element_at("m", r), t) for r in (lo_r, hi_r))
             cols.append(F.when(lo_r == hi_r, a).otherwise(a + (h - lo_r) * (b - a)).alias(f"q{i}"))
-        return _cut_lineage(out.select(*keys, "n", F.col("mn").alias("min"), F.col("mx").alias("max"),
-                                       F.col("sm").alias("sum"), *cols))
+        total = F.col("sm") if of_doubles else F.col("sm").cast("double") / F.lit(10.0 ** getattr(t, "scale", 0))
+        least, most = (_value(F.col(x), t) if of_doubles else _unscaled(F.col(x), t) for x in ("mn", "mx"))
+        return _cut_lineage(out.select(*keys, "n", least.alias("min"), most.alias("max"), total.alias("sum"), *cols))
     finally:
         vals.unpersist()

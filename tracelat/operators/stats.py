@@ -18,22 +18,25 @@ from ..functions.scalars import pid_of
 from .catalog import require_column
 from pyspark import StorageLevel
 
-from .quantiles import _INTEGRAL, _cut_lineage, exact_quantiles, exact_quantiles_by
+from .quantiles import _FLOATING, _INTEGRAL, _cut_lineage, exact_quantiles, exact_quantiles_by
 
 QUANTILES = (0.50, 0.90, 0.95, 0.99)
 QNAMES = ("p50_latency", "p90_latency", "p95_latency", "p99_latency")
 
 
-def _avg_exact(c: Column) -> Column:
-    """Average as exact (decimal) sum divided by the count, in double."""
-    return F.sum(c.cast("decimal(38,0)")).cast("double") / F.count(c).cast("double")
+def _avg_exact(df: DataFrame, col: str) -> Column:
+    """Average in double: the exact (decimal) sum divided by the count; of doubles the plain average."""
+    c, t = F.col(col), df.schema[col].dataType
+    if isinstance(t, _FLOATING):
+        return F.avg(c)
+    return F.sum(c.cast(f"decimal(38,{getattr(t, 'scale', 0)})")).cast("double") / F.count(c).cast("double")
 
 
 def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> DataFrame:
     """Count, min, max, avg (3 decimals) and p50/p90/p95/p99 of one column.
 
     Only non-null rows take part.  ``method``: ``'auto'`` (radix selection,
-    or Spark's ``percentile`` when the first pass finds at most 1M values),
+    or one sorted list when the first pass finds at most 1M values),
     ``'exact'`` (always radix selection, bounded memory), ``'percentile'``
     (Spark's exact aggregate, value map on one reducer) or ``'approx'``
     (``percentile_approx``).
@@ -43,8 +46,8 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> Da
     nn = df.where(c.isNotNull())
     base = [F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),
             F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
-            F.round(_avg_exact(c), 3).alias("avg_latency")]
-    if method in ("auto", "exact") and isinstance(df.schema[latency_col].dataType, _INTEGRAL):
+            F.round(_avg_exact(df, latency_col), 3).alias("avg_latency")]
+    if method in ("auto", "exact"):
         # every number comes from the passes over the persisted column; the
         # result is their one-row answer (the input is not scanned again)
         st: dict = {}
@@ -57,8 +60,6 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> Da
                 F.round(F.lit(avg).cast("double"), 3).alias("avg_latency")]
         cols += [F.round(F.lit(v).cast("double"), 3).alias(q) for v, q in zip(vals, QNAMES)]
         return df.sparkSession.range(1).select(*cols)
-    if method in ("auto", "exact"):
-        method = "percentile"
     if method == "percentile":
         p = F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES]))
     elif method == "approx":
@@ -81,7 +82,7 @@ def _summary_by_sorted_lists(df: DataFrame, latency_col: str, keys) -> DataFrame
     c = F.col(latency_col)
     g = df.where(c.isNotNull()).groupBy(*keys).agg(
         F.count(c).alias("n"), F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
-        F.round(_avg_exact(c), 3).alias("avg_latency"), F.sort_array(F.collect_list(c)).alias("_a"))
+        F.round(_avg_exact(df, latency_col), 3).alias("avg_latency"), F.sort_array(F.collect_list(c)).alias("_a"))
     cols = []
     for q, name in zip(QUANTILES, QNAMES):
         h = (F.col("n") - 1).cast("double") * F.lit(q)
@@ -101,27 +102,23 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
     width however large one group is.  ``'percentile'`` is Spark's exact
     aggregate (a value map per group, merged on one reducer); ``'approx'``
     is ``percentile_approx``.  ``'auto'`` (default) counts the largest
-    group first and uses ``percentile`` only when no group exceeds
+    group first and takes one sorted list a group when none exceeds
     :data:`PERCENTILE_MAX_GROUP` rows, the radix path otherwise.
     """
     require_column(df, latency_col)
     keys = [keys] if isinstance(keys, str) else list(keys)
     c = F.col(latency_col)
-    integral = isinstance(df.schema[latency_col].dataType, _INTEGRAL)
     if method == "auto":
-        if not integral:
-            method = "percentile"
-        else:
-            # one persisted projection serves the size check and the aggregate
-            vals = df.select(*keys, latency_col).where(c.isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                biggest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-                if biggest > PERCENTILE_MAX_GROUP:
-                    return latency_summary_by(vals, latency_col, keys, method="exact")
-                return _cut_lineage(_summary_by_sorted_lists(vals, latency_col, keys))
-            finally:
-                vals.unpersist()
-    if method == "exact" and integral:
+        # one persisted projection serves the size check and the aggregate
+        vals = df.select(*keys, latency_col).where(c.isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            biggest = vals.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+            if biggest > PERCENTILE_MAX_GROUP:
+                return latency_summary_by(vals, latency_col, keys, method="exact")
+            return _cut_lineage(_summary_by_sorted_lists(vals, latency_col, keys))
+        finally:
+            vals.unpersist()
+    if method == "exact":
         r = exact_quantiles_by(df, keys, latency_col, QUANTILES)
         t = df.schema[latency_col].dataType
         return r.select(*keys, F.col("n").alias("total_rows"), F.col("n").alias("non_null_latency_rows"),
@@ -134,7 +131,7 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
     agg = (df.where(c.isNotNull()).groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),
                 F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),
-                F.round(_avg_exact(c), 3).alias("avg_latency"), p.alias("_p")))
+                F.round(_avg_exact(df, latency_col), 3).alias("avg_latency"), p.alias("_p")))
     return agg.select(*keys, "total_rows", "non_null_latency_rows", "min_latency", "max_latency",
                       "avg_latency", *[F.round(F.col("_p")[i], 3).alias(n) for i, n in enumerate(QNAMES)])
 

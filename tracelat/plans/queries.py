@@ -14,7 +14,7 @@ from ..functions.scalars import as_u64, ntohl, outcome, pid_of, tid_of
 from ..operators import control as ctl
 from ..operators import stats
 from ..operators.asof import apply_config_asof, asof_join
-from ..operators.catalog import all_probe_names, catalog_status, missing_implementation
+from ..operators.catalog import all_probe_names, catalog_integrity, catalog_status, dedupe_catalog, missing_implementation, status_precedence
 from ..operators.filters import filter_table
 from ..operators.pairing import pair
 from ..session import configure
@@ -79,6 +79,37 @@ def q_pair_rw_asof(spark, d, **kw):
     return apply_config_asof(ev, cfg, "nfs_file_read", ["filter_pid"], **kw)
 
 
+def _sizes(spark, d) -> DataFrame:
+    """Reads with their unsigned 64-bit sizes; failed ones (wrapped negative codes) aside."""
+    return pair(_raw(spark, d), "nfs_file_read").where(F.col("size") < 9 * 10**18)
+
+
+def _sevenths(spark, d) -> DataFrame:
+    """A double that no quantile of it is a tie in its third decimal."""
+    configure(spark)
+    return fx.table(spark, d, "events").select("event_type", (F.col("value") / 7).alias("value"))
+
+
+def q_error_chain_codes(spark, d):
+    """CTL-3 over rows: the code each wrapped error is answered with."""
+    configure(spark)
+    return ctl.map_error(fx.error_chains(spark, d)).select("seq", "code")
+
+
+def q_status_live_over_remembered(spark, d):
+    """JOIN-3: what a third of the commands left behind, and the probes that all commands left attached."""
+    log = _ctl(spark, d)
+    live = ctl.latest_status(ctl.replay_control(log)).where("loaded")
+    return status_precedence(ctl.latest_status(ctl.replay_control(log.where(F.col("seq") % 3 == 0))), live)
+
+
+def q_catalog_gaps(spark, d):
+    """CAT-4 over rows: what each entry lacks."""
+    configure(spark)
+    found = catalog_integrity(fx.described_with_gaps(spark, d))
+    return found.select("type", F.array_join("issues", ",").alias("issues"), "ok")
+
+
 def q_replay(spark, d, **kw):
     return ctl.replay_control(_ctl(spark, d), **kw)
 
@@ -125,6 +156,17 @@ def queries() -> dict:
         "block_io_summary_ms_by_comm": lambda s, d: stats.latency_summary_by(
             pair(_raw(s, d), "block_io_latency").withColumn("latency_ms", F.expr("latency div 1000000")),
             "latency_ms", "comm", method="exact"),
+        "error_chain_codes": q_error_chain_codes,
+        "status_live_over_remembered": q_status_live_over_remembered,
+        "described_once": lambda s, d: dedupe_catalog(fx.described(s, d)),
+        "catalog_gaps": q_catalog_gaps,
+        # decimals (an unsigned 64-bit size) and doubles, by keys in the same order
+        "size_summary": lambda s, d: stats.latency_summary(_sizes(s, d), "size"),
+        "size_summary_radix": lambda s, d: stats.latency_summary(_sizes(s, d), "size", method="exact"),
+        "size_summary_by_comm_radix": lambda s, d: stats.latency_summary_by(_sizes(s, d), "size", "comm", method="exact"),
+        "value_summary": lambda s, d: stats.latency_summary(_sevenths(s, d), "value"),
+        "value_summary_radix": lambda s, d: stats.latency_summary(_sevenths(s, d), "value", method="exact"),
+        "value_summary_by_type_radix": lambda s, d: stats.latency_summary_by(_sevenths(s, d), "value", "event_type", method="exact"),
         "latency_summary_approx": lambda s, d: stats.latency_summary(_calls(s, d), "lat", method="approx"),
         "latency_summary_by_comm": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm"),
         # the hot-group-safe path, forced (every group goes through radix selection)

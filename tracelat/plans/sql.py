@@ -214,12 +214,33 @@ ev AS (SELECT * FROM raw_calls WHERE event_type <> 'signup'),
 j AS (SELECT ev.*, cfg.filter_pid AS fp FROM ev ASOF LEFT JOIN cfg ON ev.ts_ns >= cfg.from_ns)"""
 
 
+def _error_chain_sql() -> str:
+    """Chains of up to three errors: the outermost code wins, then the first known message."""
+    from ..operators.control import BASE_ERROR_CODES, ERROR_LEVELS
+    codes = ", ".join(f"'{c}'" for c, _ in ERROR_LEVELS)
+    known = ", ".join(f"('{m}', '{c}')" for m, c in BASE_ERROR_CODES)
+    messages = ", ".join(f"'{m}'" for m, _ in BASE_ERROR_CODES)
+    n, m = len(ERROR_LEVELS), len(BASE_ERROR_CODES)
+    return f"""
+WITH base(message, code) AS (VALUES {known}),
+c AS (SELECT o_orderkey AS seq, e.i AS i,
+             CASE WHEN (o_custkey + e.i) % 4 = 0 THEN ([{codes}])[CAST((o_orderkey + e.i) % {n} + 1 AS INT)] END AS code,
+             CASE WHEN (o_orderkey + e.i) % 3 = 0 THEN 'wrapped' ELSE ([{messages}])[CAST((o_custkey + e.i) % {m} + 1 AS INT)] END AS message
+      FROM orders CROSS JOIN (VALUES (0), (1), (2)) e(i) WHERE e.i < o_orderkey % 4)
+SELECT o.o_orderkey AS seq, CASE WHEN o.o_orderkey % 4 > 0 THEN coalesce(
+    (SELECT min_by(c.code, c.i) FROM c WHERE c.seq = o.o_orderkey AND c.code IS NOT NULL),
+    (SELECT min_by(b.code, c.i) FROM c JOIN base b ON b.message = c.message WHERE c.seq = o.o_orderkey), 'RUNTIME_FAILURE') END AS code
+FROM orders o"""
+
+
 def oracle_sql() -> dict[str, str]:
     calls = lambda s: with_ctes(s, "calls")
     q = {}
     q["latency_summary"] = calls(f"SELECT {_summary_cols()} FROM calls WHERE lat IS NOT NULL")
     q["latency_summary_by_comm"] = calls(
         f"SELECT comm, {_summary_cols()} FROM calls WHERE lat IS NOT NULL GROUP BY comm")
+    q["value_summary"] = q["value_summary_radix"] = f"SELECT {_summary_cols('value')} FROM (SELECT value / 7 AS value FROM events) WHERE value IS NOT NULL"
+    q["value_summary_by_type_radix"] = f"SELECT event_type, {_summary_cols('value')} FROM (SELECT event_type, value / 7 AS value FROM events) WHERE value IS NOT NULL GROUP BY event_type"
     q["p99_row"] = calls(
         "SELECT * FROM calls WHERE lat >= (SELECT quantile_cont(lat, 0.99) FROM calls WHERE lat IS NOT NULL) "
         "ORDER BY lat, time_stamp, pid, size, comm, file LIMIT 1")
@@ -385,6 +406,30 @@ def oracle_sql() -> dict[str, str]:
         "WHEN coalesce(name, '') = '' THEN 'name must be a non-empty string' "
         "WHEN coalesce(json_type(params) = 'OBJECT', false) = false THEN 'params must be an object' END END AS error "
         "FROM tool_calls", "tool_calls")
+    sizes = f"SELECT comm, size, CAST(size AS DOUBLE) AS x FROM ({q['pair_rw']}) WHERE size < 9000000000000000000"
+    of_size = _summary_cols("x").replace("min(x)", "min(size)").replace("max(x)", "max(size)")
+    q["size_summary"] = q["size_summary_radix"] = f"SELECT {of_size} FROM ({sizes})"
+    q["size_summary_by_comm_radix"] = f"SELECT comm, {of_size} FROM ({sizes}) GROUP BY comm"
+    q["error_chain_codes"] = _error_chain_sql()
+    q["status_live_over_remembered"] = f"""
+WITH a AS (SELECT * FROM ({q['latest_status']})),
+r AS (SELECT * FROM ({q['latest_status'].replace("FROM control_log)", "FROM control_log WHERE seq % 3 = 0)")}))
+SELECT coalesce(l.probe, r.probe) AS probe, CASE WHEN l.probe IS NOT NULL THEN l.state ELSE r.state END AS state,
+       CASE WHEN l.probe IS NOT NULL THEN l.loaded ELSE r.loaded END AS loaded, CASE WHEN l.probe IS NOT NULL THEN l.last_error ELSE r.last_error END AS last_error
+FROM r FULL JOIN (SELECT * FROM a WHERE loaded) l ON l.probe = r.probe"""
+    q["described_once"] = """
+SELECT type, source_file, pos, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY type ORDER BY source_file DESC, pos DESC) AS n FROM (
+    SELECT concat('probe', CAST(o_custkey % 500 AS VARCHAR)) AS type, concat('file', CAST(o_orderkey % 7 AS VARCHAR), '.yaml') AS source_file,
+           o_orderkey AS pos, concat('title ', CAST(o_orderkey AS VARCHAR)) AS title FROM orders) c) WHERE n = 1"""
+    q["catalog_gaps"] = """
+WITH c AS (SELECT o_orderkey AS k, o_custkey AS u FROM orders),
+i AS (SELECT concat('probe', CAST(k AS VARCHAR)) AS type, list_filter([
+    CASE WHEN k % 5 = 0 THEN 'title' END, CASE WHEN k % 7 = 0 THEN 'layer' END, CASE WHEN u % 11 = 0 THEN 'risks' END,
+    CASE WHEN k % 13 = 0 THEN 'entrypoints' END, CASE WHEN k % 13 <> 0 AND k % 6 = 0 THEN 'entrypoint' END,
+    CASE WHEN u % 9 = 0 THEN 'param.name' END, CASE WHEN u % 4 = 0 THEN 'param.description' END,
+    CASE WHEN u % 17 = 0 THEN 'outputs' END, CASE WHEN u % 17 <> 0 AND k % 10 = 0 THEN 'output.type' END], lambda x: x IS NOT NULL) AS issues FROM c)
+SELECT type, array_to_string(issues, ',') AS issues, len(issues) = 0 AS ok FROM i"""
     q["pair_rw_chunked"] = q["pair_rw_chunked_by_time"] = q["pair_rw"]
     q["pair_rw_single_window"] = q["pair_rw"]
     q["pair_block_io_chunked"] = q["pair_block_io"]

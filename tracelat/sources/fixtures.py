@@ -149,3 +149,38 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
          .alias("params"),
         (seq % 13 != 0).alias("args_present"),
     )
+
+
+def error_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as wrapped by their callers, outermost first: up to three, each with a code, a known message or neither."""
+    from ..operators.control import BASE_ERROR_CODES, ERROR_LEVELS
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    codes, messages = F.array(*[F.lit(c) for c, _ in ERROR_LEVELS]), F.array(*[F.lit(m) for m, _ in BASE_ERROR_CODES])
+
+    def error(i):
+        return F.struct(F.when((u + i) % 4 == 0, F.get(codes, ((k + i) % len(ERROR_LEVELS)).cast("int"))).alias("code"),
+                        F.when((k + i) % 3 == 0, "wrapped").otherwise(F.get(messages, ((u + i) % len(BASE_ERROR_CODES)).cast("int"))).alias("message"))
+
+    chain = F.slice(F.array(*[error(i) for i in range(3)]), F.lit(1), (k % 4).cast("int"))
+    return table(spark, sf_dir, "orders").select(k.alias("seq"), chain.alias("errors"))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue entries of which many describe one type, in several files."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("probe"), (F.col("o_custkey") % 500).cast("string")).alias("type"),
+                                                 F.concat(F.lit("file"), (k % 7).cast("string"), F.lit(".yaml")).alias("source_file"),
+                                                 k.alias("pos"), F.concat(F.lit("title "), k.cast("string")).alias("title"))
+
+
+def described_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue entries some of which lack fields or have empty ones."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    param = F.struct(F.when(u % 9 == 0, "").otherwise("filter_pid").alias("name"), F.lit("u64").alias("type"),
+                     F.when(u % 4 != 0, "process").alias("description"))
+    field = lambda n: F.struct(F.lit(n).alias("name"), F.when(k % 10 == 0, "  ").otherwise("u64").alias("type"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("probe"), k.cast("string")).alias("type"), F.when(k % 5 != 0, "title").alias("title"), F.when(k % 7 == 0, "").otherwise("VFS").alias("layer"),
+        F.lit("L1").alias("level"), F.lit("scene").alias("scene"), F.when(u % 11 == 0, " ").otherwise("none").alias("risks"),
+        F.when(k % 13 == 0, F.array().cast("array<string>")).when(k % 6 == 0, F.array(F.lit("vfs_read"), F.lit(""))).otherwise(F.array(F.lit("vfs_read"))).alias("entrypoints"),
+        F.array(param).alias("params"), F.struct(F.when(u % 17 != 0, F.array(field("pid"), field("lat"))).alias("fields")).alias("outputs"))
