@@ -216,3 +216,30 @@ def test_compaction_shows_each_row_once(spark, sf_dir):
     traces.compact_run(spark, wd, "sys_call_trace", "r1", files=1)
     assert scan_trace(spark, wd, "sys_call_trace", "r1").count() == 3 * n and scan_trace(spark, wd, "sys_call_trace").count() == 4 * n
     assert scan_trace(spark, wd, "sys_call_trace", "r2").drop("probe", "run_id").exceptAll(rows).count() == 0
+
+
+def test_readers_planned_before_a_compaction_survive_it(spark, sf_dir):
+    """Replaced batches stay for the retention; a plan names what is still there, not every compaction ever made."""
+    from tracelat.sources import traces
+    wd = tempfile.mkdtemp(prefix="tracelat-snapshots-")
+    rows = pair(fx.raw_calls(spark, sf_dir), "sys_call_trace").cache()
+    n, run = rows.count(), "r1"
+    for _ in range(3):
+        traces.append_trace(rows, wd, "sys_call_trace", run)
+    early = scan_trace(spark, wd, "sys_call_trace")
+    traces.compact_run(spark, wd, "sys_call_trace", run, files=1)
+    late = scan_trace(spark, wd, "sys_call_trace")
+    traces.append_trace(rows, wd, "sys_call_trace", run)
+    traces.compact_run(spark, wd, "sys_call_trace", run, files=1)
+    assert early.count() == 3 * n and late.count() == 3 * n and scan_trace(spark, wd, "sys_call_trace").count() == 4 * n
+    batches = lambda: set(os.listdir(os.path.join(wd, "probe=sys_call_trace", "run_id=r1")))
+    assert len([b for b in batches() if b.startswith("batch_id=")]) == 6  # 4 appends, 2 compactions
+    assert len(traces.vacuum(spark, wd, "sys_call_trace", run, retention=0)) == 5
+    assert len([b for b in batches() if b.startswith("batch_id=")]) == 1 and scan_trace(spark, wd, "sys_call_trace", run).count() == 4 * n
+    sizes = []
+    for _ in range(5):  # many compactions: the plan stays as long
+        traces.append_trace(rows.limit(1), wd, "sys_call_trace", run)
+        traces.compact_run(spark, wd, "sys_call_trace", run, files=1, retention=0)
+        sizes.append(len(scan_trace(spark, wd, "sys_call_trace")._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) - min(sizes) <= 40 and scan_trace(spark, wd, "sys_call_trace").count() == 4 * n + 5
+    assert traces.vacuum(spark, wd, "sys_call_trace", "other") == []

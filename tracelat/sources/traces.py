@@ -8,14 +8,21 @@ by appends, by streams and by restarted streams lie side by side and one scan
 reads them all; a scan of one probe opens only its folder and a scan of one
 run prunes the others.
 
-Compaction writes a run's batches into one new folder that scans ignore until
-a marker (one file under ``root/_compactions``) names it and the batches it
-replaces; from then on they ignore those.  So every reader sees each row once,
-whenever it looks and wherever a compaction broke off.
+Compaction writes a run's batches into one new folder and then publishes the
+next version of the run's manifest (``root/_manifests/probe=/run_id=/v=``),
+which names the compacted folders that count and the batches that they replace.
+A reader takes each run's newest version when it is planned and keeps to it:
+it lists its files then, and a replaced batch's files stay for ``retention``
+seconds after that, so a DataFrame planned before a compaction still reads what it
+saw.  :func:`vacuum` (also each compaction) deletes what is older and takes it off
+the manifest, so a plan names the replaced batches that are still
+there, not those of all compactions ever made.  Every reader sees each row once,
+wherever a compaction broke off.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
 from datetime import datetime, timezone
 
@@ -28,7 +35,9 @@ from ..specs import RAW_SCHEMA, spec as get_spec
 
 PART_COLS = ("run_id", "batch_id")
 COMPACT = "compact-"
-MARKER = "run_id string, compacted string, replaced array<string>"
+MANIFEST = "run_id string, version long, shown array<string>, retired array<struct<batch:string,at:double>>"
+#: Seconds that replaced batches stay for readers planned before.
+RETENTION = 7 * 86400.0
 
 
 def probe_path(root: str, probe: str) -> str:
@@ -50,28 +59,51 @@ def table_schema(probe: str) -> T.StructType:
     return T.StructType(list(s.schema.fields) + [T.StructField(c, T.StringType()) for c in PART_COLS])
 
 
-def _markers(spark: SparkSession, root: str, probe: str) -> list:
-    """Published compactions of a probe: one row for each."""
-    path = f"{root.rstrip('/')}/_compactions/probe={probe}"
-    if not table_exists(spark, path):
-        return []
-    return spark.read.schema(MARKER).json(path).collect()
+def _fs(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    return path(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _listed(spark: SparkSession, where: str) -> list[str]:
+    """Names of the folders in ``where``; none if it isn't there."""
+    fs, path = _fs(spark, where)
+    return [st.getPath().getName() for st in fs.listStatus(path(where)) if st.isDirectory()] if fs.exists(path(where)) else []
+
+
+def _manifests(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> list:
+    """The newest manifest of each run of a probe that has one."""
+    base = f"{root.rstrip('/')}/_manifests/probe={probe}"
+    fs, path = _fs(spark, base)
+    newest = []
+    for run in ([f"run_id={run_id}"] if run_id is not None else _listed(spark, base)):
+        done = [int(v[2:]) for v in _listed(spark, f"{base}/{run}") if v.startswith("v=") and fs.exists(path(f"{base}/{run}/{v}/_SUCCESS"))]
+        if done:
+            newest.append(f"{base}/{run}/v={max(done)}")
+    return spark.read.schema(MANIFEST).json(newest).collect() if newest else []
+
+
+def _publish(spark: SparkSession, root: str, probe: str, run_id: str, version: int, shown, retired) -> None:
+    """Write a manifest version; an error if another writer has written it.  Older versions go."""
+    base = f"{root.rstrip('/')}/_manifests/probe={probe}/run_id={run_id}"
+    spark.createDataFrame([(run_id, version, list(shown), [tuple(r) for r in retired])], MANIFEST).coalesce(1).write.json(f"{base}/v={version}")
+    fs, path = _fs(spark, base)
+    for v in _listed(spark, base):
+        if v.startswith("v=") and int(v[2:]) < version - 1:
+            fs.delete(path(f"{base}/{v}"), True)
 
 
 def _visible(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
     """The probe's rows with their partition columns: no unpublished compaction, no replaced batch."""
     if not table_exists(spark, probe_path(root, probe)):
         raise ValueError(f"table does not exist: {probe} under {root}")
+    manifests = _manifests(spark, root, probe, run_id)   # before the files are listed: what a later one replaces is still there
     df = spark.read.schema(table_schema(probe)).parquet(probe_path(root, probe))
     if run_id is not None:
         df = df.where(F.col("run_id") == run_id)
-    marks = [m for m in _markers(spark, root, probe) if run_id in (None, m["run_id"])]
-    gone = [b for m in marks for b in m["replaced"]]
-    shown = [m["compacted"] for m in marks if m["compacted"] not in gone]
+    shown = [b for m in manifests for b in m["shown"]]
+    gone = [f"{m['run_id']}/{r['batch']}" for m in manifests for r in m["retired"]]
     df = df.where(~F.col("batch_id").startswith(COMPACT) | F.col("batch_id").isin(shown))
-    for m in marks:
-        df = df.where((F.col("run_id") != m["run_id"]) | ~F.col("batch_id").isin(m["replaced"]))
-    return df
+    return df.where(~F.concat("run_id", F.lit("/"), "batch_id").isin(gone)) if gone else df
 
 
 def scan_trace(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
@@ -111,28 +143,45 @@ def drain(query) -> dict:
 
 
 def compact_run(spark: SparkSession, root: str, probe: str, run_id: str, files: int | None = None,
-                file_bytes: int = 256 << 20) -> str:
+                file_bytes: int = 256 << 20, retention: float = RETENTION) -> str:
     """SNK-4: rewrite the finished batches of one run into few files.
 
     Works on any run, also while a stream writes to it (batches that appear
     meanwhile stay as they are).  ``files`` is taken from the bytes read if
-    not given.  The new folder counts only from the moment its marker is
-    there, the old ones only until then; then they are deleted."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
+    not given.  The new folder counts only from the moment the manifest that
+    names it is published, the old ones only until then; they are deleted
+    ``retention`` seconds later, by :func:`vacuum` or the next compaction."""
     base = f"{probe_path(root, probe)}/run_id={run_id}"
-    fs = path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [st.getPath().getName().split("=", 1)[1] for st in fs.listStatus(path(base))
-             if fs.exists(path(st.getPath(), "_SUCCESS"))]
+    fs, path = _fs(spark, base)
+    names = [n.split("=", 1)[1] for n in _listed(spark, base) if fs.exists(path(f"{base}/{n}/_SUCCESS"))]
+    before = next(iter(_manifests(spark, root, probe, run_id)), None)
     rows = _visible(spark, root, probe, run_id).where(F.col("batch_id").isin(names))
-    shown = [r["batch_id"] for r in rows.select("batch_id").distinct().collect()]
+    replaced = [r["batch_id"] for r in rows.select("batch_id").distinct().collect()]
     if not files:
-        size = sum(fs.getContentSummary(path(f"{base}/batch_id={b}")).getLength() for b in shown)
+        size = sum(fs.getContentSummary(path(f"{base}/batch_id={b}")).getLength() for b in replaced)
         files = max(1, -(-size // file_bytes))
     new = COMPACT + uuid.uuid4().hex
     write_batch(rows.repartition(files), root, probe, run_id, new)
-    (spark.createDataFrame([(run_id, new, shown)], MARKER).coalesce(1)
-     .write.mode("append").json(f"{root.rstrip('/')}/_compactions/probe={probe}"))
-    for b in shown:
-        fs.delete(path(f"{base}/batch_id={b}"), True)
+    shown = [b for b in (before["shown"] if before else []) if b not in replaced]
+    now = time.time()
+    _publish(spark, root, probe, run_id, (before["version"] if before else 0) + 1, [*shown, new],
+             [*(before["retired"] if before else []), *((b, now) for b in replaced)])
+    vacuum(spark, root, probe, run_id, retention)
     return f"{base}/batch_id={new}"
+
+
+def vacuum(spark: SparkSession, root: str, probe: str, run_id: str, retention: float = RETENTION) -> list[str]:
+    """Delete a run's batches that were replaced at least ``retention`` seconds
+    ago, and take them off the manifest; returns them.  Readers planned before
+    they were replaced fail from then on.  The retention must be longer than a
+    stream may take to re-run its last micro-batch, which the list hides until then."""
+    m = next(iter(_manifests(spark, root, probe, run_id)), None)
+    if m is None:
+        return []
+    old = [r["batch"] for r in m["retired"] if time.time() - r["at"] >= retention]
+    fs, path = _fs(spark, root)
+    for b in old:
+        fs.delete(path(f"{probe_path(root, probe)}/run_id={run_id}/batch_id={b}"), True)
+    if old:
+        _publish(spark, root, probe, run_id, m["version"] + 1, m["shown"], [r for r in m["retired"] if r["batch"] not in old])
+    return old
