@@ -33,3 +33,25 @@ def test_op1_and_quality_stage_remove_lines_at_production_limits(spark, tmp_path
     texts = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, df, "").collect()}
     assert len(texts) == len(rows) and sum("Subscribe" in t for t in texts.values()) == 2
     assert sum("on eleven pages" in t for t in texts.values()) == 2 and sum("on ten pages" in t for t in texts.values()) == 20
+
+
+def test_limit_is_a_share_on_large_hosts(spark, monkeypatch):
+    """On a host of 30 000 documents a line needs more than 30 of them; on one of 100, more than ten.  With and without
+    broadcast lines the same ones go."""
+    from tracelat.llm import line_frequency
+
+    profile = "doc_id long, host string, text_hash long, lines array<struct<i:int,hash:long,words:int>>"
+    rows = []
+    for host, n in (("small", 100), ("large", 30_000)):
+        for i in range(n):
+            own = [(0, 1_000_000 + len(rows), 30)]
+            own += [(1, 1, 3)] * (i < 12) + [(2, 2, 3)] * (i < 31) + [(3, 3, 3)] + [(4, 4, 3)] * (i < 10) + [(5, 5, 3)] * (i < 30)
+            rows.append((len(rows), host, len(rows), own))
+    profiles = spark.createDataFrame(rows, profile).repartition(4)
+    want = {("small", 1): 12, ("small", 2): 31, ("small", 3): 100, ("small", 5): 30, ("large", 2): 31, ("large", 3): 30_000}
+    for heavy in (100_000, 2):
+        monkeypatch.setattr(line_frequency, "HEAVY", heavy)
+        frequent = line_frequency.frequent_lines(profiles)
+        assert {(r["host"], r["hash"]): r["n_docs"] for r in frequent.collect()} == want
+        gone = line_frequency.removed_lines(profiles, frequent).collect()
+        assert sum(len(r.removed) for r in gone) == sum(n - 1 for n in want.values())

@@ -3,12 +3,14 @@
 Lines are normalised (lower case, runs of digits to one 0, white space runs to one space, ends stripped) and hashed to
 64 bits.  For each host (``source``) the distinct documents that hold a line are counted; exact copies of one text
 count as one document, so a document isn't lost because it was fetched often.  A line in more than ``MAX_DOCS`` documents
-of its host is boilerplate, however many documents the host has (callers may ask for a share of them too): it stays in
+of its host and more than ``MAX_SHARE`` of them is boilerplate: of a host of 100 or of 10 000 documents that is a line in 11
+or more, of a host of ten million one in more than 10 000, where a short natural line is on many pages by chance.  It stays in
 the document with the smallest id on that host and is removed from all others.  A document of which fewer than ``MIN_WORDS`` words, or
 less than ``MIN_LEFT`` of its words, remain is depleted and rejected; so is one that fails the base rules.
 
-The text is read once, in map tasks; only hashes of lines move.  Counts are pre-aggregated before the shuffle, and the
-join back to lines spreads each line over ``SALTS`` keys, since one line may be in a third of all documents.
+The text is read once, in map tasks; only hashes of lines move.  Counts are pre-aggregated before the shuffle.  In the
+join back to lines fewer than ``HEAVY`` lines can each be more than a ``HEAVY``-th of all rows with such lines: these are broadcast,
+however many rows have them, so no key of the shuffled join is hot.
 
 Nulls: a null text is empty (no words: it fails the base rules), a null host is a host of its own.  A document without
 an id loses no lines; only the base rules judge it.  Rows that repeat an id are judged each by its own text.
@@ -27,7 +29,7 @@ from tracelat.llm.base import stored, texts
 from tracelat.llm.encode import chunks, forget
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
-MAX_DOCS, MAX_SHARE, MIN_LEFT, SALTS = 10, 0.0, 0.2, 16
+MAX_DOCS, MAX_SHARE, MIN_LEFT, HEAVY = 10, 0.001, 0.2, 100_000
 SYMBOLS = b"#*$%&|<>"
 
 _DIGITS, _BLANK = re.compile(r"[0-9]+"), re.compile(r"[\x20\x09-\x0D]+")
@@ -104,22 +106,26 @@ def profile(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def frequent_lines(profiles: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, hash, first (the smallest id that holds the line there) and n_docs of lines above the limits."""
+    """host, hash, first (the smallest id that holds the line there), n_docs and n_rows of lines above the limits."""
     rows = profiles.select("host", "doc_id", "text_hash", F.explode(F.array_distinct("lines.hash")).alias("hash"))
-    once = rows.groupBy("host", "hash", "text_hash").agg(F.min("doc_id").alias("doc_id"))
-    lines = once.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).filter(F.col("n_docs") > max_docs)
+    once = rows.groupBy("host", "hash", "text_hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    lines = once.groupBy("host", "hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first"), F.sum("n").alias("n_rows")).filter(F.col("n_docs") > max_docs)
     hosts = (profiles.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
              .withColumnRenamed("host", "h"))
     return (lines.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-            .filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "hash", "first", "n_docs"))
+            .filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "hash", "first", "n_docs", "n_rows"))
 
 
 def removed_lines(profiles: DataFrame, frequent: DataFrame) -> DataFrame:
     """doc_id, text_hash, removed (indexes of its lines to remove) and removed_words, of documents that lose lines."""
-    rows = profiles.select("host", "doc_id", "text_hash", F.explode("lines").alias("line"))
-    rows = rows.select("host", "doc_id", "text_hash", "line.*", F.pmod("doc_id", F.lit(SALTS)).alias("salt"))
-    salted = frequent.select(F.col("host").alias("h"), F.col("hash").alias("k"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    hit = rows.join(salted, F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("doc_id") != F.col("first")))
+    rows = profiles.select("host", "doc_id", "text_hash", F.explode("lines").alias("line")).select("host", "doc_id", "text_hash", "line.*")
+    frequent = stored(frequent, "frequent-lines")
+    every = frequent.agg(F.sum("n_rows")).first()[0] or 0
+    known = frequent.select(F.col("host").alias("h"), F.col("hash").alias("k"), "first", (F.col("n_rows") * HEAVY > every).alias("heavy"))
+    same = F.col("host").eqNullSafe(F.col("h")) & (F.col("hash") == F.col("k"))
+    heavy = F.broadcast(known.filter("heavy"))  # fewer than HEAVY lines
+    hit = rows.join(heavy, same).unionByName(rows.join(heavy, same, "left_anti").join(known.filter(~F.col("heavy")), same))
+    hit = hit.filter(F.col("doc_id") != F.col("first"))
     gone = hit.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("i", "words"))).alias("gone"))
     words = F.aggregate("gone", F.lit(0).cast("long"), lambda n, line: n + line["words"])
     return gone.select("doc_id", "text_hash", F.col("gone.i").alias("removed"), words.alias("removed_words"))
