@@ -31,6 +31,9 @@ GAP = "Ā"
 #: Pairs in a worker's compatibility table.
 PAIRS = 1_000_000
 
+#: Pre-tokens, and pieces, whose ids a worker keeps: the own encoder's misses cost more than the library's.
+WORDS = 500_000
+
 
 class Bpe:
     def __init__(self, path: str):
@@ -138,7 +141,7 @@ class Bpe:
         """For ``Cached``: pieces are cut into pre-tokens, and the new ones of all pieces are encoded together."""
         cut = [self.pretokens.findall(p) for p in pieces]
         new = list({w for words in cut for w in words if w not in self.words})
-        if len(self.words) + len(new) > 200_000:
+        if len(self.words) + len(new) > WORDS:
             self.words.clear()
             new = list({w for words in cut for w in words})
         for w, ids in zip(new, self.encode_words(new) if new else ()):
@@ -164,7 +167,7 @@ def codec(path: str) -> tuple[Bpe, Cached]:
     """This worker's tables for a vocabulary file."""
     def make():
         bpe = Bpe(path)
-        return bpe, Cached(bpe.encode_new, bpe.specials)
+        return bpe, Cached(bpe.encode_new, bpe.specials, WORDS)
 
     return kept(("codec", path), make)
 

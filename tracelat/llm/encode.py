@@ -101,8 +101,8 @@ class Cached:
     """Encodes texts through the cache; ``encode_new`` takes new pieces, each with its leading space, to their
     ids one after the other (all below 65 536) and how many each has; ``specials`` maps strings that are one token wherever they occur to their ids."""
 
-    def __init__(self, encode_new, specials: dict[str, int]):
-        self.encode_new, self.specials = encode_new, specials
+    def __init__(self, encode_new, specials: dict[str, int], limit: int | None = None):
+        self.encode_new, self.specials, self.limit = encode_new, specials, limit
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")") if specials else None
         self.clear()
 
@@ -111,11 +111,11 @@ class Cached:
         self.first, self.rest = Pieces(self.pool, ""), Pieces(self.pool, " ")
 
     def shrink(self) -> None:
-        """Keep the pieces that were met more than once since the last time, half of ``LIMIT`` at most."""
-        old, kept = self.pool, []
+        """Keep the pieces that were met more than once since the last time, half of the limit at most."""
+        old, kept, limit = self.pool, [], self.limit or LIMIT
         rows = np.nonzero(old.met[: old.filled] > 1)[0]
         again = np.zeros(old.filled, bool)
-        again[rows if 2 * len(rows) <= LIMIT else rows[np.argsort(-old.met[rows], kind="stable")[: LIMIT // 2]]] = True
+        again[rows if 2 * len(rows) <= limit else rows[np.argsort(-old.met[rows], kind="stable")[: limit // 2]]] = True
         caches = (self.first, self.rest)
         self.clear()
         for cache, now in zip(caches, (self.first, self.rest)):
@@ -156,7 +156,7 @@ class Cached:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        if self.pool.rows > LIMIT:
+        if self.pool.rows > (self.limit or LIMIT):
             self.shrink()
         rows = [self.rows(text) for text in texts]
         of_text = np.cumsum([0, *map(len, rows)])
