@@ -198,10 +198,14 @@ def exact_quantiles(df: DataFrame, col: str, qs, persist: bool = True, stats: di
 # --- grouped -------------------------------------------------------------------
 
 SMALL_STATE_ROWS = 200_000
+#: Intervals with at most this many rows are read from a sorted list.
+LIST_ROWS = 1 << 16
+#: A cell is hot above this share of all rows, so there are fewer hot cells than that.
+HOT_CELLS = 10_000
 
 
 def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise per-pass state in the shared checkpoint folder named by
+    """Materialise a result in the shared checkpoint folder named by
     ``spark.checkpoint.dir`` (reliable ``checkpoint()``, survives executor
     loss; never a machine-local folder on a cluster)."""
     from ..session import checkpoint_dir
@@ -246,73 +250,93 @@ def _value(key, t):
     return F.when(key.isNotNull(), back(key.cast("long")))
 
 
-def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None = None) -> DataFrame:
+def _ranks(n, qs):
+    """The ranks that the quantiles of ``n`` values lie between."""
+    hs = F.array(*[(n - 1).cast("double") * F.lit(q) for q in qs])
+    return F.array_distinct(F.flatten(F.transform(hs, lambda h: F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")))))
+
+
+def _rows_of(rows: DataFrame, cells: DataFrame, wanted: DataFrame, at, total: int, count: int) -> DataFrame:
+    """The rows in the wanted cells, with those cells' columns.
+
+    Up to ``SMALL_STATE_ROWS`` cells are broadcast.  Beyond, cells with more than
+    1 / ``HOT_CELLS`` of all rows (so fewer than ``HOT_CELLS``) are broadcast; what
+    lies in none of them is joined by shuffle, where no key has more rows than that."""
+    if count <= SMALL_STATE_ROWS:
+        return _join_on(rows, F.broadcast(wanted), at)
+    is_hot = F.col("_cnt") > total // HOT_CELLS + 1
+    hot = F.broadcast(cells.where(is_hot).select(*at))
+    return (_join_on(rows, F.broadcast(wanted.where(is_hot)), at)
+            .unionByName(_join_on(_join_on(rows, hot, at, "left_anti"), wanted.where(~is_hot), at)))
+
+
+def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None = None, list_rows: int = LIST_ROWS) -> DataFrame:
     """Exact ``quantile_cont`` per group, by radix selection per group.
 
     Returns one row per group: ``keys, n, min, max, sum`` and one ``q<i>``
-    column per quantile.  Each pass counts rows per ``(group, interval,
-    bucket)`` (map-side combined, so a hot group is spread over many hash
-    partitions), finds the bucket of every target rank with a running count
-    over that group's histogram (at most ``B`` rows), and narrows the
-    interval.  The number of passes is fixed up front from the widest group
-    range; the per-group state (at most 2 ranks per quantile) is
-    checkpointed after each pass so the plan does not grow.
-    """
+    column per quantile.
+
+    1. Rows are counted per group and log-linear bucket
+       (:func:`.sketches.bucket_of`; map-side combined, so a hot group costs
+       its buckets, not its rows), with each bucket's least and greatest value.
+       A running count over a group's buckets (a bounded number) finds those
+       that hold the wanted ranks; where least and greatest are equal the value is found.
+    2. Only the rows of the others go on (:func:`_rows_of`: by broadcast, or by
+       a shuffle join without hot keys).  A bucket with at most ``list_rows``
+       rows is sorted as one list; a larger one is split into ``nbuckets``
+       equal parts, counted like before, and so on.
+
+    Each pass works on the rows of the pass before, kept by ``persist`` (what a
+    lost executor held is worked out again); nothing but the result is written."""
+    from .sketches import bucket_of
     keys = [keys] if isinstance(keys, str) else list(keys)
     qs = list(qs)
     key, _ = order_key(df, col)
-    kind, t = _key_type(df, col), df.schema[col].dataType
+    t, wide = df.schema[col].dataType, _key_type(df, col) != "long"
     of_doubles = isinstance(t, _FLOATING)
-    vals = df.where(F.col(col).isNotNull()).select(*keys, key.alias("v"), *([F.col(col).cast("double").alias("x")] if of_doubles else [])) \
-             .persist(StorageLevel.MEMORY_AND_DISK)
+    held: list[DataFrame] = []
+
+    def hold(x: DataFrame) -> DataFrame:
+        held.append(x.persist(StorageLevel.MEMORY_AND_DISK))
+        return held[-1]
+
+    cell = [*keys, "_i", "_b"]          # _i: rows below the parent interval, its number within the group
+    counts = [F.count(F.lit(1)).alias("_cnt"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    vals = df.where(F.col(col).isNotNull()).select(*keys, key.alias("_v"), *([F.col(col).cast("double").alias("_x")] if of_doubles else []))
+    rows = hold(vals.withColumns({"_i": F.lit(0).cast("long"), "_b": bucket_of(F.col("_v"), wide)}))
     try:
-        st = _cut_lineage(vals.groupBy(*keys).agg(
-            F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-            (F.sum("x") if of_doubles else F.sum(F.col("v").cast("decimal(38,0)"))).alias("sm")))
-        g = st.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("t"),
-                   F.max(F.col("mx").cast("decimal(20,0)") - F.col("mn")).alias("r")).first()
-        if not g["g"]:
-            return st.select(*keys, "n", F.col("mn").alias("min"), F.col("mx").alias("max"),
-                             F.col("sm").alias("sum"), *[F.lit(None).cast("double").alias(f"q{i}")
-                                                         for i in range(len(qs))])
-        nb = nbuckets or buckets_for(g["t"])
-        if g["r"] >= 1 << 63:   # distances beyond 64 bits as decimals
-            kind = "decimal(22,0)"
-            vals_, st_ = vals.withColumn("v", F.col("v").cast(kind)), st.withColumns({c: F.col(c).cast(kind) for c in ("mn", "mx")})
-        else:
-            vals_, st_ = vals, st
-        passes, span = 0, int(g["r"]) + 1
-        while span > 1:
-            span = -(-span // nb)
-            passes += 1
-        hs = F.array(*[(F.col("n") - 1).cast("double") * F.lit(q) for q in qs])
-        state = st_.select(*keys, F.col("mn").cast(kind).alias("lo"), F.col("mx").cast(kind).alias("hi"), F.explode(F.array_distinct(
-            F.flatten(F.transform(hs, lambda h: F.array(F.floor(h).cast("long"), F.ceil(h).cast("long"))))))
-            .alias("r")).withColumn("below", F.lit(0).cast("long"))
-        small = g["g"] * 2 * len(qs) <= SMALL_STATE_ROWS
-        for _ in range(passes):
-            active = state.where(F.col("lo") < F.col("hi"))
-            intervals = (active.select(*keys, "lo", "hi").distinct()
-                         .withColumn("w", F.expr(f"((hi - lo) div {nb}) + 1")))
-            side = F.broadcast(intervals) if small else intervals
-            # (null-safe on the group keys)
-            hist = (_join_on(vals_, side, keys).where(F.col("v").between(F.col("lo"), F.col("hi")))
-                    .select(*keys, "lo", "hi", "w", F.expr("(v - lo) div w").alias("b"))
-                    .groupBy(*keys, "lo", "hi", "w", "b").count())
-            wcum = Window.partitionBy(*keys, "lo", "hi").orderBy("b") \
-                         .rowsBetween(Window.unboundedPreceding, 0)
-            cum = hist.withColumn("cum", F.sum("count").over(wcum))
-            moved = (_join_on(active, cum, keys + ["lo", "hi"])
-                     .where((F.col("below") + F.col("cum") - F.col("count") <= F.col("r"))
-                            & (F.col("r") < F.col("below") + F.col("cum")))
-                     .select(*keys, "r",
-                             (F.col("lo") + F.col("b").cast(kind) * F.col("w")).cast(kind).alias("lo"),
-                             F.least(F.col("hi"), (F.col("lo") + F.col("b").cast(kind) * F.col("w") + F.col("w") - 1).cast(kind))
-                              .alias("hi"),
-                             (F.col("below") + F.col("cum") - F.col("count")).alias("below")))
-            done = state.where(F.col("lo") >= F.col("hi"))
-            state = _cut_lineage(done.unionByName(moved))
-        vals_at = state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("r", "lo"))).alias("m"))
+        cells = hold(rows.groupBy(*cell).agg(*counts, (F.sum("_x") if of_doubles else F.sum(F.col("_v").cast("decimal(38,0)"))).alias("_sm")))
+        st = cells.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.min("_lo").alias("mn"), F.max("_hi").alias("mx"), F.sum("_sm").alias("sm"))
+        total = cells.agg(F.sum("_cnt")).first()[0] or 0
+        nb = nbuckets or buckets_for(total)
+        ranked = cells.withColumn("_rs", _ranks(F.sum("_cnt").over(Window.partitionBy(*keys)), qs))
+        found = []
+        while True:
+            below = F.sum("_cnt").over(Window.partitionBy(*keys, "_i").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+            wanted = hold(ranked.withColumn("_below", F.col("_i") + F.coalesce(below, F.lit(0)))
+                          .withColumn("_rs", F.expr("filter(_rs, r -> r >= _below AND r < _below + _cnt)"))
+                          .where(F.size("_rs") > 0).select(*cell, "_cnt", "_lo", "_hi", "_below", "_rs"))
+            found.append(wanted.where(F.col("_lo") == F.col("_hi")).select(*keys, F.explode("_rs").alias("_r"), F.col("_lo").alias("_v")))
+            left = wanted.where(F.col("_lo") < F.col("_hi"))
+            info = left.agg(F.count(F.lit(1)).alias("n"), F.max("_cnt").alias("most")).first()
+            if not info["n"]:
+                break
+            side = left.select(*cell, F.col("_below"), F.col("_cnt"), F.col("_lo"), F.expr(f"((_hi - _lo) div {nb}) + 1").alias("_w"))
+            inside = hold(_rows_of(rows.select(*cell, "_v"), cells, side, cell, total, info["n"]).drop("_i", "_b"))
+            lists = (inside.where(F.col("_cnt") <= list_rows).groupBy(*keys, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_a")))
+            found.append(_join_on(left.select(*keys, "_below", "_rs"), lists, [*keys, "_below"])
+                         .select(*keys, "_below", "_a", F.explode("_rs").alias("_r"))
+                         .select(*keys, "_r", F.expr("element_at(_a, cast(_r - _below + 1 AS int))").alias("_v")))
+            if info["most"] <= list_rows:
+                break
+            rows = (inside.where(F.col("_cnt") > list_rows)
+                    .select(*keys, "_v", F.col("_below").alias("_i"), F.expr("(_v - _lo) div _w").alias("_b")))
+            cells = hold(rows.groupBy(*cell).agg(*counts))
+            ranked = _join_on(cells, left.select(*keys, F.col("_below").alias("_i"), "_rs"), [*keys, "_i"])
+        values = found[0]
+        for f in found[1:]:
+            values = values.unionByName(f)
+        vals_at = values.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("m"))
         out = _join_on(st, vals_at, keys, "left")
         cols = []
         for i, q in enumerate(qs):
@@ -320,8 +344,9 @@ def exact_quantiles_by(df: DataFrame, keys, col: str, qs, nbuckets: int | None =
             lo_r, hi_r = F.floor(h).cast("long"), F.ceil(h).cast("long")
             a, b = (_value(F.element_at("m", r), t) for r in (lo_r, hi_r))
             cols.append(F.when(lo_r == hi_r, a).otherwise(a + (h - lo_r) * (b - a)).alias(f"q{i}"))
-        total = F.col("sm") if of_doubles else F.col("sm").cast("double") / F.lit(10.0 ** getattr(t, "scale", 0))
+        total_of = F.col("sm") if of_doubles else F.col("sm").cast("double") / F.lit(10.0 ** getattr(t, "scale", 0))
         least, most = (_value(F.col(x), t) if of_doubles else _unscaled(F.col(x), t) for x in ("mn", "mx"))
-        return _cut_lineage(out.select(*keys, "n", least.alias("min"), most.alias("max"), total.alias("sum"), *cols))
+        return _cut_lineage(out.select(*keys, "n", least.alias("min"), most.alias("max"), total_of.alias("sum"), *cols))
     finally:
-        vals.unpersist()
+        for x in held:
+            x.unpersist()

@@ -18,7 +18,8 @@ from ..functions.scalars import pid_of
 from .catalog import require_column
 from pyspark import StorageLevel
 
-from .quantiles import _FLOATING, _INTEGRAL, _cut_lineage, exact_quantiles, exact_quantiles_by
+from .quantiles import _FLOATING, _INTEGRAL, _cut_lineage, _unscaled, _value, exact_quantiles, exact_quantiles_by
+from .sketches import quantile_sketch, sketch_quantiles
 
 QUANTILES = (0.50, 0.90, 0.95, 0.99)
 QNAMES = ("p50_latency", "p90_latency", "p95_latency", "p99_latency")
@@ -38,8 +39,9 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> Da
     Only non-null rows take part.  ``method``: ``'auto'`` (radix selection,
     or one sorted list when the first pass finds at most 1M values),
     ``'exact'`` (always radix selection, bounded memory), ``'percentile'``
-    (Spark's exact aggregate, value map on one reducer) or ``'approx'``
-    (``percentile_approx``).
+    (Spark's exact aggregate, value map on one reducer) or ``'approx'`` (one
+    pass into a mergeable sketch, :mod:`.sketches`: quantiles within 1/256 of themselves,
+    the rest exact).
     """
     require_column(df, latency_col)
     c = F.col(latency_col)
@@ -60,18 +62,26 @@ def latency_summary(df: DataFrame, latency_col: str, method: str = "auto") -> Da
                 F.round(F.lit(avg).cast("double"), 3).alias("avg_latency")]
         cols += [F.round(F.lit(v).cast("double"), 3).alias(q) for v, q in zip(vals, QNAMES)]
         return df.sparkSession.range(1).select(*cols)
-    if method == "percentile":
-        p = F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES]))
-    elif method == "approx":
-        p = F.percentile_approx(c, F.array(*[F.lit(q) for q in QUANTILES]), 10000).cast("array<double>")
-    else:
+    if method == "approx":
+        return summary_of_sketch(quantile_sketch(df, latency_col), df.schema[latency_col].dataType)
+    if method != "percentile":
         raise ValueError(method)
-    agg = nn.agg(*base, p.alias("_p"))
+    agg = nn.agg(*base, F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES])).alias("_p"))
     return agg.select(*[F.col(x) for x in ("total_rows", "non_null_latency_rows", "min_latency",
                                              "max_latency", "avg_latency")],
                       *[F.round(F.col("_p")[i], 3).alias(n) for i, n in enumerate(QNAMES)])
 
 
+def summary_of_sketch(sketch: DataFrame, value_type, keys=()) -> DataFrame:
+    """The summary that a :func:`.sketches.quantile_sketch` of a column of ``value_type`` gives."""
+    r = sketch_quantiles(sketch, value_type, QUANTILES, keys)
+    least, most = (_value(F.col(c), value_type) if isinstance(value_type, _FLOATING) else _unscaled(F.col(c), value_type) for c in ("low", "high"))
+    return r.select(*keys, F.col("n").alias("total_rows"), F.col("n").alias("non_null_latency_rows"),
+                    least.alias("min_latency"), most.alias("max_latency"),
+                    F.round(F.col("total").cast("double") / F.when(F.col("n") > 0, F.col("n")).cast("double"), 3).alias("avg_latency"),
+                    *[F.round(F.col(f"q{i}"), 3).alias(n) for i, n in enumerate(QNAMES)])
+
+
 PERCENTILE_MAX_GROUP = 1_000_000
 
 
@@ -101,7 +111,7 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
     :func:`exact_quantiles_by`: memory per task is bounded by the histogram
     width however large one group is.  ``'percentile'`` is Spark's exact
     aggregate (a value map per group, merged on one reducer); ``'approx'``
-    is ``percentile_approx``.  ``'auto'`` (default) counts the largest
+    is one pass into a mergeable sketch per group.  ``'auto'`` (default) counts the largest
     group first and takes one sorted list a group when none exceeds
     :data:`PERCENTILE_MAX_GROUP` rows, the radix path otherwise.
     """
@@ -125,9 +135,9 @@ def latency_summary_by(df: DataFrame, latency_col: str, keys, method: str = "aut
                         F.col("min").cast(t).alias("min_latency"), F.col("max").cast(t).alias("max_latency"),
                         F.round(F.col("sum").cast("double") / F.col("n").cast("double"), 3).alias("avg_latency"),
                         *[F.round(F.col(f"q{i}"), 3).alias(n) for i, n in enumerate(QNAMES)])
-    qs = F.array(*[F.lit(q) for q in QUANTILES])
-    p = (F.percentile_approx(c, qs, 10000).cast("array<double>") if method == "approx"
-         else F.percentile(c, qs))
+    if method == "approx":
+        return summary_of_sketch(quantile_sketch(df, latency_col, keys), df.schema[latency_col].dataType, keys)
+    p = F.percentile(c, F.array(*[F.lit(q) for q in QUANTILES]))
     agg = (df.where(c.isNotNull()).groupBy(*keys)
            .agg(F.count(F.lit(1)).alias("total_rows"), F.count(c).alias("non_null_latency_rows"),
                 F.min(c).alias("min_latency"), F.max(c).alias("max_latency"),

@@ -90,6 +90,16 @@ def _sevenths(spark, d) -> DataFrame:
     return fx.table(spark, d, "events").select("event_type", (F.col("value") / 7).alias("value"))
 
 
+def q_approx_error(spark, d):
+    """AGG-5: the exact quantiles, and whether the sketch's are as close as it promises."""
+    exact = stats.latency_summary_by(_calls(spark, d), "lat", "comm", method="exact").select("comm", *stats.QNAMES)
+    approx = stats.latency_summary_by(_calls(spark, d), "lat", "comm", method="approx")
+    near = [F.abs(F.col(f"a.{n}") - F.col(f"e.{n}")) <= F.col(f"e.{n}") / 256 + 0.001 for n in stats.QNAMES]
+    within = near[0] & near[1] & near[2] & near[3]
+    return (exact.alias("e").join(approx.alias("a"), F.col("a.comm").eqNullSafe(F.col("e.comm")), "left")
+            .select("e.comm", F.coalesce(within, F.lit(False)).alias("within"), *[F.col(f"e.{n}") for n in stats.QNAMES]))
+
+
 def q_error_chain_codes(spark, d):
     """CTL-3 over rows: the code each wrapped error is answered with."""
     configure(spark)
@@ -172,6 +182,11 @@ def queries() -> dict:
         # the hot-group-safe path, forced (every group goes through radix selection)
         "latency_summary_by_comm_radix": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm",
                                                                                method="exact"),
+        "latency_summary_by_comm_approx": lambda s, d: stats.latency_summary_by(_calls(s, d), "lat", "comm", method="approx"),
+        "approx_error": q_approx_error,
+        # one group with half of all rows beside as many groups as orders
+        "latency_summary_hot_and_many": lambda s, d: stats.latency_summary_by(
+            _calls(s, d).withColumn("grp", F.when(F.col("pid") % 2 == 0, 0).otherwise(F.expr("time_stamp div 8 + 1"))), "lat", "grp", method="exact"),
         "p99_row": lambda s, d: stats.p99_row(_calls(s, d), "lat", 0.99, CALL_TIES),
         "top_keys": lambda s, d: stats.top_keys(_calls(s, d), "pid", 10),
         "latest_rows": lambda s, d: stats.latest(_calls(s, d), 5, "time_stamp", ("comm", "pid")),

@@ -130,6 +130,32 @@ def _summary_cols(c: str = "lat") -> str:
             + ", ".join(f"round(quantile_cont({c}, {q}), 3) AS {n}" for q, n in QS))
 
 
+def _sketch_summary(src: str, keys: str = "", c: str = "lat") -> str:
+    """The summary by log-linear buckets of 256 parts a power of two, of the rows of ``src``."""
+    by = f"PARTITION BY {keys}" if keys else ""
+    k, g = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
+    place = "CAST(n - 1 AS DOUBLE) * CAST({q} AS DOUBLE)"
+
+    def at(rank):
+        return (f"max(CASE WHEN {rank} >= below AND {rank} < below + cnt THEN CAST(lo AS DOUBLE) + "
+                f"(CAST(hi AS DOUBLE) - CAST(lo AS DOUBLE)) * ({rank} - below) / greatest(cnt - 1, 1) END)")
+
+    cols = []
+    for q, name in QS:
+        h = place.format(q=q)
+        a, b = at(f"floor({h})"), at(f"ceil({h})")
+        cols.append(f"round({a} + (max({h}) - floor(max({h}))) * ({b} - {a}), 3) AS {name}")
+    return f"""
+SELECT {k}CAST(sum(cnt) AS BIGINT) AS total_rows, CAST(sum(cnt) AS BIGINT) AS non_null_latency_rows, min(lo) AS min_latency, max(hi) AS max_latency,
+       round(CAST(sum(total) AS DOUBLE) / CAST(sum(cnt) AS DOUBLE), 3) AS avg_latency, {", ".join(cols)}
+FROM (SELECT *, CAST(sum(cnt) OVER ({by}) AS BIGINT) AS n,
+             CAST(coalesce(sum(cnt) OVER ({by} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS below
+      FROM (SELECT {k}bucket, count(*) AS cnt, min({c}) AS lo, max({c}) AS hi, sum({c}) AS total
+            FROM (SELECT *, shift * 256 + (m >> CAST(shift AS INTEGER)) AS bucket
+                  FROM (SELECT *, CAST({c} AS BIGINT) AS m, greatest(length(bin(CAST({c} AS BIGINT))) - 9, 0) AS shift FROM ({src}) WHERE {c} IS NOT NULL))
+            GROUP BY {k}bucket)) {g}"""
+
+
 def _pair(src: str, key: str, cols: str, where: str = "", extra_lag: str = "") -> str:
     cond = "kind = 'exit'" + (f" AND {where}" if where else "")
     return with_ctes(f"WITH {lagged(src, key, extra_lag)} SELECT {cols} FROM lagged WHERE {cond}", "raw_calls")
@@ -241,6 +267,12 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT comm, {_summary_cols()} FROM calls WHERE lat IS NOT NULL GROUP BY comm")
     q["value_summary"] = q["value_summary_radix"] = f"SELECT {_summary_cols('value')} FROM (SELECT value / 7 AS value FROM events) WHERE value IS NOT NULL"
     q["value_summary_by_type_radix"] = f"SELECT event_type, {_summary_cols('value')} FROM (SELECT event_type, value / 7 AS value FROM events) WHERE value IS NOT NULL GROUP BY event_type"
+    q["latency_summary_approx"] = calls(_sketch_summary("SELECT * FROM calls"))
+    q["latency_summary_by_comm_approx"] = calls(_sketch_summary("SELECT * FROM calls", "comm"))
+    q["approx_error"] = calls(
+        f"SELECT comm, true AS within, {', '.join(f'round(quantile_cont(lat, {x}), 3) AS {n}' for x, n in QS)} FROM calls WHERE lat IS NOT NULL GROUP BY comm")
+    q["latency_summary_hot_and_many"] = calls(
+        f"SELECT CASE WHEN pid % 2 = 0 THEN 0 ELSE time_stamp // 8 + 1 END AS grp, {_summary_cols()} FROM calls WHERE lat IS NOT NULL GROUP BY 1")
     q["p99_row"] = calls(
         "SELECT * FROM calls WHERE lat >= (SELECT quantile_cont(lat, 0.99) FROM calls WHERE lat IS NOT NULL) "
         "ORDER BY lat, time_stamp, pid, size, comm, file LIMIT 1")

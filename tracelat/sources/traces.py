@@ -106,6 +106,24 @@ def _visible(spark: SparkSession, root: str, probe: str, run_id: str | None = No
     return df.where(~F.concat("run_id", F.lit("/"), "batch_id").isin(gone)) if gone else df
 
 
+def batch_names(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> list[tuple[str, str]]:
+    """Run and name of the finished batches that count now."""
+    base = probe_path(root, probe)
+    if not table_exists(spark, base):
+        raise ValueError(f"table does not exist: {probe} under {root}")
+    fs, path = _fs(spark, base)
+    manifests = _manifests(spark, root, probe, run_id)
+    shown = {(m["run_id"], b) for m in manifests for b in m["shown"]}
+    gone = {(m["run_id"], r["batch"]) for m in manifests for r in m["retired"]}
+    out = []
+    for run in ([f"run_id={run_id}"] if run_id is not None else _listed(spark, base)):
+        for name in _listed(spark, f"{base}/{run}"):
+            b = (run.split("=", 1)[1], name.split("=", 1)[1])
+            if (b in shown if b[1].startswith(COMPACT) else b not in gone) and fs.exists(path(f"{base}/{run}/{name}/_SUCCESS")):
+                out.append(b)
+    return sorted(out)
+
+
 def scan_trace(spark: SparkSession, root: str, probe: str, run_id: str | None = None) -> DataFrame:
     """SRC-1: one probe table with its fixed schema (partition-pruned); an
     error if the table does not exist."""
@@ -166,6 +184,8 @@ def compact_run(spark: SparkSession, root: str, probe: str, run_id: str, files:
     now = time.time()
     _publish(spark, root, probe, run_id, (before["version"] if before else 0) + 1, [*shown, new],
              [*(before["retired"] if before else []), *((b, now) for b in replaced)])
+    from .sketch_store import pass_on
+    pass_on(spark, root, probe, run_id, replaced, new)
     vacuum(spark, root, probe, run_id, retention)
     return f"{base}/batch_id={new}"
 

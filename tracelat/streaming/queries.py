@@ -130,6 +130,25 @@ def q_append_compact(spark: SparkSession, sf_dir: str):
     return scan_trace(spark, root, "nfs_file_read", "20260101-000000").drop("probe", "run_id")
 
 
+def q_stored_summaries(spark: SparkSession, sf_dir: str):
+    """AGG-5 over runs: run 0 is sketched in two batches and compacted, run 1
+    sketched, run 2 not yet; the summary of each and of all (in milliseconds)."""
+    from ..operators.pairing import pair
+    from ..sources.sketch_store import store_sketches, stored_summary
+    configure(spark)
+    root, probe = os.path.join(_workdir(spark, "sketches"), "tables"), "nfs_file_read"
+    rows = pair(fx.raw_calls(spark, sf_dir), probe).withColumn("lat", F.expr("lat div 1000000"))
+    part = F.expr("time_stamp div 1000 % 4")
+    append_trace(rows.where(part == 0), root, probe, RUNS[0])
+    append_trace(rows.where(part == 1), root, probe, RUNS[0])
+    append_trace(rows.where(part == 2), root, probe, RUNS[1])
+    store_sketches(spark, root, probe)
+    compact_run(spark, root, probe, RUNS[0])
+    append_trace(rows.where(part == 3), root, probe, RUNS[2])
+    return (stored_summary(spark, root, probe, by_run=True)
+            .unionByName(stored_summary(spark, root, probe).withColumn("run_id", F.lit("all"))))
+
+
 def q_hot_settings_stream(spark: SparkSession, sf_dir: str):
     """Settings that change while the stream runs: the config log (derived
     from the data) is a table re-read at every micro-batch."""
@@ -154,12 +173,15 @@ def streaming_queries() -> dict:
         "append_compact_scan": q_append_compact,
         "runs_side_by_side": q_runs_side_by_side,
         "hot_settings_stream": q_hot_settings_stream,
+        "stored_summaries": q_stored_summaries,
     }
 
 
 def streaming_oracle_sql() -> dict:
-    from ..plans.sql import oracle_sql
+    from ..plans.sql import _sketch_summary, oracle_sql
     o = oracle_sql()
+    parts = (f"SELECT * REPLACE (lat // 1000000 AS lat), CASE (time_stamp // 1000) % 4 WHEN 2 THEN '{RUNS[1]}' WHEN 3 THEN '{RUNS[2]}' ELSE '{RUNS[0]}' END AS run_id "
+             f"FROM ({o['pair_rw']})")
     runs = ", ".join(f"('{r}')" for r in RUNS)
     progress = " UNION ALL ".join(
         f"SELECT '{probe}' AS probe, (SELECT count(*) FROM events) AS rows_in, (SELECT count(*) FROM ({o[q]})) AS rows_written, "
@@ -168,4 +190,5 @@ def streaming_oracle_sql() -> dict:
     return {"pair_stream": o["pair_rw"], "pair_stream_keyed": f"SELECT * REPLACE (CASE WHEN lat <= {PENDING_NS} THEN lat ELSE 0 END AS lat) FROM ({o['pair_rw']})",
             "start_ingest": o["pair_syscall"], "ingest_progress": progress,
             "runs_side_by_side": f"SELECT p.*, r.run_id FROM ({o['pair_rw']}) p CROSS JOIN (VALUES {runs}) r(run_id)",
+            "stored_summaries": f"{_sketch_summary(parts, 'run_id')} UNION ALL BY NAME SELECT *, 'all' AS run_id FROM ({_sketch_summary(parts)})",
             "append_compact_scan": o["pair_rw"], "hot_settings_stream": o["pair_rw_asof"]}
