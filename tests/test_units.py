@@ -351,3 +351,11 @@ def test_asof_partial_updates_both_plans(spark, monkeypatch):
     monkeypatch.setattr(asof, "RANGES", 100)
     per = asof.intervals(burst.withColumnRenamed("seq", "_seq"), ["filter_pid"], "from_ns", 2001).groupBy("_range").count()
     assert max(r["count"] for r in per.collect()) <= 21
+
+
+def test_shipped_catalogue_needs_no_folder_on_executors(spark):
+    from tracelat.sources.catalog_yaml import BUILTIN_DIR, scan_catalog
+    shipped = scan_catalog(spark)
+    assert shipped.inputFiles() == []
+    key = lambda r: (r.source_file, r.pos)
+    assert sorted(shipped.collect(), key=key) == sorted(scan_catalog(spark, BUILTIN_DIR).collect(), key=key)

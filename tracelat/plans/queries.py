@@ -120,6 +120,15 @@ def q_catalog_gaps(spark, d):
     return found.select("type", F.array_join("issues", ",").alias("issues"), "ok")
 
 
+def q_sample_rows_members(spark, d):
+    """LIM-1: how many rows a sample has, and how many of them are rows of the table."""
+    rows = pair(_raw(spark, d), "sys_call_trace")
+    some = stats.sample_rows(rows, 5)
+    packed = F.struct(*[F.col(c) for c in rows.columns])
+    member = some.select(packed.alias("r")).join(rows.select(packed.alias("t")).distinct(), F.col("r").eqNullSafe(F.col("t")), "left")
+    return member.agg(F.count("r").alias("sampled"), F.count("t").alias("members"))
+
+
 def q_replay(spark, d, **kw):
     return ctl.replay_control(_ctl(spark, d), **kw)
 
@@ -231,6 +240,7 @@ def queries() -> dict:
         "outcome_counts": lambda s, d: pair(_raw(s, d), "sys_call_trace")
             .groupBy(outcome("ret").alias("outcome")).agg(F.count(F.lit(1)).alias("cnt")),
         "sample_rows": lambda s, d: stats.sample_rows(pair(_raw(s, d), "sys_call_trace"), 5),
+        "sample_rows_members": q_sample_rows_members,
         "param_updates": q_param_updates,
         "param_history": q_param_history,
         "status_report": q_status_report,

@@ -464,6 +464,7 @@ i AS (SELECT concat('probe', CAST(k AS VARCHAR)) AS type, list_filter([
 SELECT type, array_to_string(issues, ',') AS issues, len(issues) = 0 AS ok FROM i"""
     q["pair_rw_chunked"] = q["pair_rw_chunked_by_time"] = q["pair_rw"]
     q["pair_rw_single_window"] = q["pair_rw"]
+    q["sample_rows_members"] = f"SELECT least(count(*), 5) AS sampled, least(count(*), 5) AS members FROM ({q['pair_syscall']})"
     q["pair_block_io_chunked"] = q["pair_block_io"]
     q["replay_control_chunked"] = q["replay_control"]
     q["pair_rw_asof_large_config"] = q["pair_rw_asof"]

@@ -1,7 +1,8 @@
 """SRC-4: probe catalogue from ``*.yaml`` / ``*.yml`` files into a nested table.
 
 Files are read with ``spark.read.text(wholetext=True)`` (one row per file,
-spread over tasks); each document is parsed inside ``mapInPandas`` into the
+spread over tasks); the files that come with the library are read by the
+driver, since executors needn't have its folder.  Each document is parsed inside ``mapInPandas`` into the
 explicit nested schema below.  Subdirectories are not read, entries with an
 empty ``type`` are skipped, unknown keys are dropped.  ``source_file`` and
 ``pos`` (entry position inside its file) let :func:`dedupe_catalog` apply the
@@ -85,7 +86,14 @@ def _parse_batches(it):
 def scan_catalog(spark: SparkSession, directory: str | None = None) -> DataFrame:
     """Nested catalogue table of every probe described under ``directory``
     (default: the catalogue shipped with the library)."""
-    d = directory or BUILTIN_DIR
-    files = (spark.read.text(os.path.join(d, "*.{yaml,yml}"), wholetext=True)
-             .select("value", F.col("_metadata.file_path").alias("path")))
+    if directory is None:
+        shipped = [os.path.join(BUILTIN_DIR, f) for f in sorted(os.listdir(BUILTIN_DIR)) if f.endswith((".yaml", ".yml"))]
+        texts = []
+        for path in shipped:
+            with open(path, encoding="utf-8") as f:
+                texts.append((f.read(), path))
+        files = spark.createDataFrame(texts, "value string, path string")
+    else:
+        files = (spark.read.text(os.path.join(directory, "*.{yaml,yml}"), wholetext=True)
+                 .select("value", F.col("_metadata.file_path").alias("path")))
     return files.mapInPandas(_parse_batches, CATALOG_SCHEMA)
