@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from tracelat.operators import quantiles
 from tracelat.operators.sketches import SUB_BITS, bucket_of, merge_sketches, quantile_sketch, sketch_quantiles
 from tracelat.session import checkpoint_dir
-from tracelat.sources.sketch_store import _split, store_sketches, stored_summary
+from tracelat.sources import sketch_store
+from tracelat.sources.sketch_store import _parts, _split, merge_parts, store_sketches, stored_summary
 from tracelat.sources.traces import append_trace, batch_names, compact_run
 from tracelat.specs import spec
 
@@ -87,7 +88,7 @@ def test_grouped_quantiles_of_nothing(spark):
     assert quantiles.exact_quantiles_by(df, "k", "v", QS).collect() == []
 
 
-def test_stored_sketches_cover_what_a_scan_returns(spark):
+def test_stored_sketches_cover_what_a_scan_returns(spark, monkeypatch):
     probe, names = "nfs_file_read", spec("nfs_file_read").names
     root = f"{checkpoint_dir(spark)}/sketches-{uuid.uuid4().hex}"
     latency = spec(probe).latency_col
@@ -118,3 +119,14 @@ def test_stored_sketches_cover_what_a_scan_returns(spark):
     assert store_sketches(spark, root, probe) == 1
     assert all("/_sketches/" in f for f in stored_summary(spark, root, probe).inputFiles())   # no row is read again
     check(r1=(150, 0, 149000), r2=(100, 500000, 599000))
+    # merged into one full part: readers planned before still work until the retention is over
+    before = stored_summary(spark, root, probe, by_run=True)
+    assert merge_parts(spark, root, probe) == [] and len(_parts(spark, root, probe)[0]) == 1
+    assert {r.run_id: r.total_rows for r in before.collect()} == {"r1": 150, "r2": 100}
+    check(r1=(150, 0, 149000), r2=(100, 500000, 599000))
+    monkeypatch.setattr(sketch_store, "MAX_PARTS", 1)
+    append_trace(batch(600, 620), root, probe, "r2")
+    assert store_sketches(spark, root, probe) == 1 and len(_parts(spark, root, probe)[0]) == 1
+    assert len(merge_parts(spark, root, probe, retention=0)) >= 3 and _parts(spark, root, probe)[1] == []
+    assert _split(spark, root, probe, None)[2] == []
+    check(r1=(150, 0, 149000), r2=(120, 500000, 619000))
