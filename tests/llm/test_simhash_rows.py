@@ -12,3 +12,18 @@ def test_texts_that_differ_in_their_last_third_stay_apart(spark):
     assert alone[1] != alone[2]
     for doc, both in ((None, set(alone.values())), (7, set(alone.values())), (9, {alone[1]})):
         assert {r.fingerprint for r in got if r.doc_id == doc} == both
+
+
+def test_ids_reach_every_copy_of_hot_texts(spark):
+    """Thousands of rows with one text among others: dealt to several parts, every row gets the same ids as alone."""
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen " * 3
+    rows = [(i, near) for i in range(1, 3001)] + [(5000, near + "then some more words that the copies lack"), (5001, "quite another text that nothing here is like at all"), (5002, None), (5003, "")]
+    got = {r.doc_id: r for r in simhash.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), radius=20).collect()}
+    assert len(got) == len(rows)
+    for i in range(1, 3001):
+        assert got[i].n_near == 3000 and got[i].near_ids == ([5000] if i == 1 else [1, 5000])
+    assert got[5000].n_near == 3000 and got[5000].near_ids == [1]
+    assert got[5001].near_ids == [] and got[5001].n_near == 0
+    assert got[5002].near_ids == [] and got[5003].near_ids == [5002] and got[5002].n_near == got[5003].n_near == 1
+    few = {r.doc_id: r for r in simhash.report(spark.createDataFrame(rows, "doc_id long, text string"), query=simhash.F.col("doc_id") % 50 == 0, radius=20).collect()}
+    assert all((few[i].n_near, few[i].near_ids) == ((got[i].n_near, got[i].near_ids) if i % 50 == 0 else (None, None)) for i in got)

@@ -33,6 +33,8 @@ from tracelat.llm.base import SPACES, partitions, stored, texts
 BITS, RADIUS = 128, 3
 #: Near copies are texts of this similarity or more; standard deviations that the radius has beyond the expected distance.
 SIMILARITY, SPREAD = 0.8, 2.0
+#: A fingerprint is hot from this fraction of the asked rows on.
+HOT_CLASSES = 1_000
 #: Bit 0 and bit 32: the two counters of a vote column.
 PAIR = (1 << 32) + 1
 LOW = (1 << 32) - 1
@@ -171,6 +173,24 @@ def edited(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars"), "next_id", new.alias("edited"))
 
 
+def attached(rows: DataFrame, near: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` with n_near and near_ids of their fingerprints, where these were asked for; null elsewhere.
+
+    A fingerprint that more than 1 / ``HOT_CLASSES`` of the asked rows share (so there are fewer such ones than that: they are
+    broadcast) is dealt to as many parts as it has such shares of rows, and its ids are repeated for each: less
+    than once for every row that they go to.  Rows that weren't asked for are dealt by their own hash."""
+    share = asked.count() // HOT_CLASSES + 1
+    hot = asked.groupBy(F.col("fp0").alias("h0"), F.col("fp1").alias("h1")).count().filter(F.col("count") > share)
+    hot = F.broadcast(stored(hot.select("h0", "h1", F.ceil(F.col("count") / share).cast("int").alias("parts")), "hot-fingerprints"))
+    mine = rows.join(hot, (F.col("fp0") == F.col("h0")) & (F.col("fp1") == F.col("h1")), "left")
+    spread = F.xxhash64("doc_id", "own")
+    mine = mine.withColumn("part", F.when(F.col("asked"), F.pmod(spread, F.coalesce("parts", F.lit(1)))).otherwise(spread)).drop("h0", "h1", "parts")
+    ids = near.join(hot, (F.col("q0") == F.col("h0")) & (F.col("q1") == F.col("h1")), "left")
+    ids = ids.select("q0", "q1", "n_near", "near_ids", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)).alias("q_part"))
+    # merged, never broadcast: lists of ids shrink much in a shuffle's files, whose size adaptive execution goes by
+    return mine.join(ids.hint("merge"), (F.col("fp0") == F.col("q0")) & (F.col("fp1") == F.col("q1")) & (F.col("part") == F.col("q_part")) & F.col("asked"), "left")
+
+
 def report(docs: DataFrame, query: Column | None = None, radius: int = RADIUS) -> DataFrame:
     """For each document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (the
     likeness to the edited text and to the next document) and, for rows that ``query`` chooses (all by default),
@@ -186,11 +206,10 @@ def report(docs: DataFrame, query: Column | None = None, radius: int = RADIUS) -
     own = votes.groupBy(*keys[:-1]).agg(side("fp0", 0).alias("fp0"), side("fp1", 0).alias("fp1"), side("fp0", 1).alias("e0"), side("fp1", 1).alias("e1"))
     own = stored(own, "fingerprints")
     after = own.groupBy(F.col("doc_id").alias("next_id")).agg(F.min(F.struct("fp0", "fp1")).alias("a"))
-    asked = own.filter(F.lit(True) if query is None else query)
+    own = own.withColumn("asked", F.coalesce(F.lit(True) if query is None else query, F.lit(False)))
+    asked = own.filter("asked")
     near = within(asked, own, radius).groupBy(F.col("fp0").alias("q0"), F.col("fp1").alias("q1")).agg((F.sum("n") - 1).alias("n_near"), F.sort_array(F.collect_list("id")).alias("near_ids"))
-    chosen = F.lit(True) if query is None else query
-    # merged, never broadcast: lists of ids shrink much in a shuffle's files, whose size adaptive execution goes by
-    out = own.join(after, "next_id", "left").join(near.hint("merge"), (F.col("fp0") == F.col("q0")) & (F.col("fp1") == F.col("q1")) & chosen, "left")
+    out = attached(own.join(after, "next_id", "left"), near, asked)
     return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), told(F.col("fp0"), F.col("fp1")).alias("fingerprint"),
                       told(F.col("e0"), F.col("e1")).alias("edited_fingerprint"), likeness(F.col("fp0"), F.col("fp1"), F.col("e0"), F.col("e1")).alias("near_edited"),
                       likeness(F.col("fp0"), F.col("fp1"), F.col("a.fp0"), F.col("a.fp1")).alias("near_next"),
