@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelat.llm.base import partitions, stored
+from tracelat.llm.base import stored
 
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels of a round: its blocks are of 243 rows.
@@ -53,7 +53,8 @@ def positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     ranges = [F.col(c).asc_nulls_first() for c in [group, *order]]
     # written tables: the rows aren't worked out a second time to draw ranges, and ranges must not be drawn anew
     rows = stored(rows, "keyed")
-    dealt = stored(rows.repartitionByRange(partitions(rows.sparkSession), *ranges).withColumn("__part", F.spark_partition_id()), "dealt")
+    # no count: small ranges that follow each other are read as one, so few rows make few files, whatever the shuffle partitions
+    dealt = stored(rows.repartitionByRange(*ranges).withColumn("__part", F.spark_partition_id()), "dealt")
     by_group = Window.partitionBy(group)
     counts = dealt.groupBy(group, "__part").agg(F.count("*").alias("__c")).select(
         group, "__part", F.sum("__c").over(by_group).alias("n"),
