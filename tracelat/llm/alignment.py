@@ -2,7 +2,7 @@
 
 A space and a text are encoded by A (a byte-level BPE file of the tokenizers library) and the text by B (a SentencePiece
 model, which adds the space), without special tokens; both token sequences spell the same bytes.  The byte offsets
-where tokens of both end cut them into groups.
+where tokens of both end cut them into groups.  Where the model allows it, each worker keeps B's ids of pieces beside A's.
 
 Tokens' ends are two ascending arrays.  Where i tokens of A and j of B are done, the arrays are compared along the current
 shift j - i: stretches of 1, 2, 4, ... equal ends are jumped as long as they agree, and halves of the last one find where
@@ -20,6 +20,7 @@ tokens: zeros.  Rows that repeat an id are documents of their own.
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelat.llm.base import stored, texts
-from tracelat.llm.encode import Cached, Library, Whole, byte_letters, chunks, kept
+from tracelat.llm.encode import Cached, Library, Pool, Whole, _IRREGULAR, _places, byte_letters, chunks, kept
 
 #: Bound of the pairs that are broadcast.
 HEAVY = 200_000
@@ -40,22 +41,14 @@ ROWS = ("uid long, doc_id long, n_a long, n_b long, n_groups long, n_links long,
 def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     """How many tokens of each sequence are done at the end of each group; ``a`` and ``b`` are the tokens' ends and have the
     same last one."""
-    i, j, n, of_a, of_b = 0, 0, len(a), [], []
+    of_a, of_b = _groups(a, b)
+    return of_a.tolist(), of_b.tolist()
+
+
+def _groups(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    i, j, n, at_a, at_b, runs = 0, 0, len(a), [], [], []
     while i < n:
-        if a[i] == b[j]:
-            run, step = 1, 1
-            while (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
-                run += len(part)
-                step *= 2
-            while step > 1:  # the stretch that didn't agree, by halves
-                step //= 2
-                if (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
-                    run += len(part)
-            of_a.extend(range(i + 1, i + run + 1))
-            of_b.extend(range(j + 1, j + run + 1))
-            i, j = i + run, j + run
-            if i == n:
-                break
+        # the next group's end, then the run of groups of one to one behind it
         x, y = a[i], b[j]
         while x != y:
             if x < y:
@@ -64,10 +57,20 @@ def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 y = b[j]
-        i, j = i + 1, j + 1
-        of_a.append(i)
-        of_b.append(j)
-    return of_a, of_b
+        at_a.append(i + 1)
+        at_b.append(j + 1)
+        run = step = 1
+        while (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
+            run += len(part)
+            step *= 2
+        while step > 1:  # the stretch that didn't agree, by halves
+            step //= 2
+            if (part := a[i + run : i + run + step]) and part == b[j + run : j + run + step]:
+                run += len(part)
+        runs.append(run)
+        i, j = i + run, j + run
+    runs = np.array(runs, np.int64)
+    return _places(np.array(at_a, np.int64), runs), _places(np.array(at_b, np.int64), runs)
 
 
 def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,6 +93,53 @@ def linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) ->
     return pairs, times
 
 
+def by_pieces(model) -> bool:
+    """Whether a SentencePiece model encodes a text as its pieces, cut before each space that stands alone: characters stay
+    as they are, and no entry joins a space to what is before it, other than spaces."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:  # it needs protobuf
+        return False
+    said = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    how, trained = said.normalizer_spec, said.trainer_spec
+    return (trained.model_type == trained.BPE and not trained.treat_whitespace_as_suffix and not how.precompiled_charsmap and how.add_dummy_prefix
+            and how.escape_whitespaces and not how.remove_extra_whitespaces and len(said.pieces) <= 65536
+            and not any("▁" in p.piece.lstrip("▁") or p.type == p.USER_DEFINED for p in said.pieces))
+
+
+class Both(Cached):
+    """A's cache, with B's ids of the same pieces beside; its texts begin with the space that B adds."""
+
+    def __init__(self, encode_new, model):
+        self.model = model
+        super().__init__(encode_new, {})
+
+    def clear(self) -> None:
+        super().clear()
+        self.pool_b = Pool()
+
+    def shrink(self) -> np.ndarray:
+        old = self.pool_b
+        kept = super().shrink()
+        self.pool_b.copy(old, kept)
+        return kept
+
+    def flush(self) -> None:
+        if self.pool.new:
+            ids = self.model.encode([p[1:] for p in self.pool.new], num_threads=1)
+            self.pool_b.add(list(itertools.chain.from_iterable(ids)), list(map(len, ids)))
+        super().flush()
+
+    def encode_both(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A's and B's ids of each text."""
+        rows, of_text = self.looked_up(texts)
+        a, b = (np.split(ids, np.cumsum(counts)[:-1]) for ids, counts in (self.pool.ids_of(rows, of_text), self.pool_b.ids_of(rows, of_text)))
+        for i, text in enumerate(texts):
+            if _IRREGULAR.search(text):  # B may join spaces where pieces are cut
+                b[i] = np.array(self.model.encode(text[1:]), np.int64)
+        return a, b
+
+
 class Pair:
     """Both tokenizers, and what their tokens spell."""
 
@@ -97,7 +147,9 @@ class Pair:
         import sentencepiece
 
         library = Library(path_a, specials=False)
-        self.a = Cached(library.encode_new, {}) if library.known else Whole(library.tokenizer)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.both = library.known and by_pieces(self.b)
+        self.a = Both(library.encode_new, self.b) if self.both else Cached(library.encode_new, {}) if library.known else Whole(library.tokenizer)
         letters = {c: n for n, c in byte_letters().items()}
         vocabulary = library.tokenizer.get_vocab(with_added_tokens=False)
         self.bytes_a = [b""] * (max(vocabulary.values(), default=-1) + 1)
@@ -105,7 +157,6 @@ class Pair:
             self.bytes_a[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         # then A spells every text
         self.lossless = library.known and not library.lower and set(letters) <= set(vocabulary)
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.size_a, self.size_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
@@ -115,12 +166,17 @@ class Pair:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """Each text's ids; None if they don't spell a space and the text."""
-        ids, counts = self.a.encode([" " + t for t in texts])
+        spaced = [" " + t for t in texts]
+        if self.both:
+            of_a, of_b = self.a.encode_both(spaced)
+        else:
+            ids, counts = self.a.encode(spaced)
+            of_a, of_b = np.split(ids, np.cumsum(counts)[:-1]), [np.array(b, np.int64) for b in self.b.encode(texts, num_threads=1)]
         out = []
-        for t, a, b in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), self.b.encode(texts, num_threads=1)):
+        for t, a, b in zip(texts, of_a, of_b):
             raw = b" " + t.encode()
-            same = t and (self.lossless or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw) and b"".join(map(self.bytes_b.__getitem__, b)) == raw
-            out.append((a.astype(np.int64), np.array(b, np.int64)) if same else None)
+            same = t and (self.lossless or b"".join(map(self.bytes_a.__getitem__, a.tolist())) == raw) and b"".join(map(self.bytes_b.__getitem__, b.tolist())) == raw
+            out.append((a.astype(np.int64), b.astype(np.int64)) if same else None)
         return out
 
     def spelled(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> str:
@@ -138,7 +194,7 @@ class Pair:
         if ids is None:
             return 0, 0, 0, 0, "", [], []
         a, b = ids
-        of_a, of_b = (np.array(x, np.int64) for x in groups(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist()))
+        of_a, of_b = _groups(np.cumsum(self.size_a[a]).tolist(), np.cumsum(self.size_b[b]).tolist())
         pairs, times = linked(a, b, of_a, of_b)
         return len(a), len(b), len(of_a), int(times.sum()), hashlib.sha256(self.spelled(a, b, of_a, of_b).encode()).hexdigest(), pairs, times
 

@@ -96,6 +96,17 @@ class Pool:
         self.used += len(flat)
         self.filled += len(sizes)
 
+    def ids_of(self, rows: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows' ids one after the other, and how many each text has."""
+        length = self.length[rows]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        return self.ids[_places(self.at[rows], length)], np.diff(ends[of_text])
+
+    def copy(self, old: "Pool", kept: np.ndarray) -> None:
+        """These rows of another pool as the next ones."""
+        size = old.length[kept]
+        self.add(old.ids[_places(old.at[kept], size)], size)
+
 
 class Cached:
     """Encodes texts through the cache; ``encode_new`` takes new pieces, each with its leading space, to their
@@ -110,8 +121,8 @@ class Cached:
         self.pool = Pool()
         self.first, self.rest = Pieces(self.pool, ""), Pieces(self.pool, " ")
 
-    def shrink(self) -> None:
-        """Keep the pieces that were met more than once since the last time, half of the limit at most."""
+    def shrink(self) -> np.ndarray:
+        """Keep the pieces that were met more than once since the last time, half of the limit at most; their rows."""
         old, kept, limit = self.pool, [], self.limit or LIMIT
         rows = np.nonzero(old.met[: old.filled] > 1)[0]
         again = np.zeros(old.filled, bool)
@@ -125,8 +136,8 @@ class Cached:
                     self.pool.rows += 1
                     kept.append(row)
         kept = np.array(kept, np.int64)
-        size = old.length[kept]
-        self.pool.add(old.ids[_places(old.at[kept], size)], size)
+        self.pool.copy(old, kept)
+        return kept
 
     def rows(self, text: str) -> np.ndarray:
         """The rows of a text's pieces."""
@@ -154,8 +165,8 @@ class Cached:
             self.pool.add(*self.encode_new(self.pool.new))
             self.pool.new = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and how many each text has."""
+    def looked_up(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all texts' pieces one after the other, and where each text's begin and end."""
         if self.pool.rows > (self.limit or LIMIT):
             self.shrink()
         rows = [self.rows(text) for text in texts]
@@ -163,9 +174,11 @@ class Cached:
         self.flush()
         rows = np.concatenate(rows) if rows else np.empty(0, np.int64)
         self.pool.count(rows)
-        length = self.pool.length[rows]
-        ends = np.concatenate([[0], np.cumsum(length)])
-        return self.pool.ids[_places(self.pool.at[rows], length)], np.diff(ends[of_text])
+        return rows, of_text
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and how many each text has."""
+        return self.pool.ids_of(*self.looked_up(texts))
 
 
 def _places(at: np.ndarray, length: np.ndarray) -> np.ndarray:
