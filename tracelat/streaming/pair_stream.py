@@ -49,14 +49,15 @@ def in_order(frames) -> Iterator:
     held, last = [], None
 
     def sorted_held():
-        whole = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
-        return whole.sort_values(order, kind="mergesort", ignore_index=True)
+        if len(held) == 1:
+            return held[0]
+        return pd.concat(held, ignore_index=True).sort_values(order, kind="mergesort", ignore_index=True)
 
     for pdf in frames:
         if pdf.empty:
             continue
-        pdf = pdf.sort_values(order, kind="mergesort", ignore_index=True)
-        first, end = tuple(pdf[order].iloc[0]), tuple(pdf[order].iloc[-1])
+        pdf = pdf.sort_values(order, kind="mergesort", ignore_index=True) if len(pdf) > 1 else pdf.reset_index(drop=True)
+        first, end = (tuple(pdf[c].iat[i] for c in order) for i in (0, -1))
         if held and first > last:
             yield sorted_held()
             held, last = [], None
@@ -76,24 +77,26 @@ class PairProcessor(StatefulProcessor):
         self.pending = handle.getValueState("pending", PENDING)
 
     def handleInputRows(self, key, rows, timerValues=None):
+        import numpy as np
         import pandas as pd
 
         was = prev = self.pending.get()          # None when the key has no pending entry
         for pdf in in_order(rows):
-            prev_kind = pdf["kind"].shift(1).astype(object)
-            prev_ts = pdf["ts_ns"].astype("Int64").shift(1)
-            prev_pid = pdf["pid_tgid"].astype("Int64").shift(1)
-            prev_kind.iloc[0], prev_ts.iloc[0], prev_pid.iloc[0] = ("entry", *prev) if prev is not None else (None, pd.NA, pd.NA)
-            last = pdf.iloc[-1]
+            kind = pdf["kind"].to_numpy(dtype=object)
+            ts, pid = pdf["ts_ns"].astype("Int64").array, pdf["pid_tgid"].astype("Int64").array
+            at = np.flatnonzero((pdf["kind"] == "exit").to_numpy(dtype=bool, na_value=False))
+            before = prev
             # anything but an entry leaves nothing pending
-            prev = (int(last["ts_ns"]), None if pd.isna(last["pid_tgid"]) else int(last["pid_tgid"])) if last["kind"] == "entry" else None
-            is_exit = (pdf["kind"] == "exit").to_numpy()
-            if is_exit.any():
-                out = pdf.loc[is_exit, self.columns].copy()
-                # index-aligned assignment keeps the nullable Int64 dtype (no float round trip)
-                out["_prev_kind"] = prev_kind[is_exit]
-                out["_prev_ts_ns"] = prev_ts[is_exit]
-                out["_prev_pid_tgid"] = prev_pid[is_exit]
+            prev = (int(ts[-1]), None if pd.isna(pid[-1]) else int(pid[-1])) if kind[-1] == "entry" else None
+            if len(at):
+                out = pdf[self.columns].take(at)
+                # masked arrays keep the integers (no float round trip)
+                columns = [kind.take(at - 1), ts.take(at - 1), pid.take(at - 1)]
+                if at[0] == 0:  # its predecessor came before this frame
+                    for column, value in zip(columns, ("entry", *before) if before is not None else (None, None, None)):
+                        column[0] = value
+                for field, column in zip(PREV, columns):
+                    out[field.name] = column
                 yield out
         if prev is not None:
             self.pending.update(prev)

@@ -51,8 +51,9 @@ def q_pair_stream(spark: SparkSession, sf_dir: str):
 
 
 def q_pair_stream_keyed(spark: SparkSession, sf_dir: str, max_pending_ns: int | None = PENDING_NS):
-    """PAIR-8: the events arrive as ``SLICES`` files in order of time, each a
-    micro-batch; pending entries stay in the keyed state in between."""
+    """PAIR-8: the events arrive in ``SLICES`` slices of time; after each one
+    the query starts again from its checkpoint and reads it as one micro-batch;
+    pending entries stay in the keyed state in between."""
     from .pair_stream import start_pair_stream
     configure(spark)
     wd = _workdir(spark, "pair_stream_keyed")
@@ -61,11 +62,11 @@ def q_pair_stream_keyed(spark: SparkSession, sf_dir: str, max_pending_ns: int |
     lo, hi = events.agg(F.min(micros), F.max(micros)).first()
     part = F.floor((micros - F.lit(lo)) * SLICES / F.lit((hi or 0) - (lo or 0) + 1))
     src = os.path.join(wd, "src")
-    for i in range(SLICES):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(src)
-    raw = fx.raw_calls_from(stream_trace(spark, src, events.schema, max_files_per_trigger=1))
     root = os.path.join(wd, "tables")
-    stop_ingest(start_pair_stream(raw, "nfs_file_read", root, os.path.join(wd, "ckpt"), RUN, available_now=True, max_pending_ns=max_pending_ns))
+    for i in range(SLICES):
+        events.where(part == i).write.mode("append").parquet(src)
+        raw = fx.raw_calls_from(stream_trace(spark, src, events.schema))
+        stop_ingest(start_pair_stream(raw, "nfs_file_read", root, os.path.join(wd, "ckpt"), RUN, available_now=True, max_pending_ns=max_pending_ns))
     return scan_trace(spark, root, "nfs_file_read").drop("probe", "run_id")
 
 
