@@ -178,7 +178,8 @@ class Cached:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
-        return self.pool.ids_of(*self.looked_up(texts))
+        rows, of_text = self.looked_up(texts)  # may put another pool in place
+        return self.pool.ids_of(rows, of_text)
 
 
 def _places(at: np.ndarray, length: np.ndarray) -> np.ndarray:
