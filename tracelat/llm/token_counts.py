@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelat.llm.base import texts
-from tracelat.llm.encode import LIMIT, Cached, Library, Whole, chunks, cut, encoder, kept
+from tracelat.llm.encode import LIMIT, Cached, Library, Whole, chunks, cut, kept
 
 #: Documents that tier one is drawn from, characters of each that are looked at for it, and its most pieces.
 SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT = 2_000, 10_000, 50_000
@@ -27,8 +27,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, FREQUENT = 2_000, 10_000, 50_000
 def frequent_pieces(docs: DataFrame, path: str) -> tuple[str, bytes]:
     """Tier one: frequent pieces, joined by spaces, and their token counts as 16-bit numbers.  The sample is drawn from
     all partitions, about ``SAMPLE_DOCS`` documents."""
-    seen, own, n = collections.Counter(), encoder(path), docs.count()
-    if isinstance(own, Whole) or not n:
+    seen, own, n = collections.Counter(), Library(path), docs.count()
+    if not own.known or not n:
         return "", b""
     sample = texts(docs) if n <= SAMPLE_DOCS else texts(docs).sample(SAMPLE_DOCS / n, seed=10)
     for row in sample.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect():
