@@ -143,7 +143,7 @@ def finish(x: DataFrame, s: TraceSpec, post, extra_cols: tuple = (), max_pending
 def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
          effect: str = "reference", extra_cols: tuple = (),
          chunk_ns: int | str | None = "auto", max_pending_ns: int | None = None,
-         rows_per_chunk: int | None = None) -> DataFrame:
+         rows_per_chunk: int | None = None, total: int | None = None) -> DataFrame:
     """Pair raw entry/exit events of one probe into its trace table.
 
     ``raw`` follows :data:`tracelat.specs.RAW_SCHEMA` (unused attributes may
@@ -157,7 +157,8 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     thread or device isn't one task; without such a key it is one window.  A
     number makes chunks ``ts_ns div chunk_ns`` of every key
     (:func:`tracelat.operators.carry.carry_last`); ``None`` forces the single
-    window.  All give the same rows.
+    window.  All give the same rows.  ``total`` is the number of rows in
+    ``raw``, or a larger one, if it is known; else they are counted.
 
     An entry pending for more than ``max_pending_ns`` is given up: its exit
     is an orphan.
@@ -170,7 +171,7 @@ def pair(raw: DataFrame, probe: str | TraceSpec, params: dict | None = None,
     prev_struct = F.struct(*[F.col(c) for c in prev_fields])
     is_exit = F.col("kind") == "exit"
     if chunk_ns == "auto":
-        x = carry_even(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct}, rows_per_chunk or carry.AUTO_CHUNK_ROWS, keep=is_exit)
+        x = carry_even(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct}, rows_per_chunk or carry.AUTO_CHUNK_ROWS, keep=is_exit, total=total)
     elif chunk_ns:
         x = carry_last(ev, s.key_cols, ["ts_ns", "seq"], {"_prev": prev_struct},
                        chunk=chunk_of("ts_ns", chunk_ns), keep=is_exit)

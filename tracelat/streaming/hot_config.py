@@ -12,7 +12,7 @@ Spark batch jobs:
    exits and the newest stamp (``Observation``);
 2. entries still pending from earlier batches, of the keys that the batch has
    (already filtered when they arrived, so their settings are "off"), are
-   unioned in, and the union is paired with
+   worked out once, written beside the batch and unioned in, and the union is paired with
    :func:`tracelat.operators.pairing.pair` — one shuffle by key, skew-safe
    chunking as in batch;
 3. the rows go to the batch's own folder of the probe's table
@@ -118,7 +118,7 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
     pending_base = os.path.join(state_root, "pending")
     schema = spark.createDataFrame([], ev.schema).select(*need, "_bucket").withColumn("_live", F.lit(True)).schema
     held = _pending_versions(spark, pending_base, batch_id, schema)
-    both = ev.withColumn("_new", F.lit(True))
+    both, total = ev.withColumn("_new", F.lit(True)), count["rows_in"]
     if held is not None:
         touched = [r[0] for r in ev.select("_bucket").distinct().collect()]   # BUCKETS at most
         mine = ev.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(s.key_cols)]).distinct()
@@ -127,11 +127,14 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
         carried = _latest(held, s.key_cols, None if ttl_ns is None or before is None else before - ttl_ns).drop("_live").withColumn("_new", F.lit(False))
         for p in params:
             carried = carried.withColumn(f"_p_{p}", F.lit(None).cast(ev.schema[f"_p_{p}"].dataType))
-        both = both.unionByName(carried)
+        # worked out once; the pairing and the pending table both read it
+        number = Observation()
+        carried.observe(number, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{work}-carried")
+        both, total = both.unionByName(spark.read.schema(carried.schema).parquet(f"{work}-carried")), total + number.get["rows"]
     settings = {p: F.col(f"_p_{p}") for p in params}
     settings.update(fixed or {})
     written = Observation()
-    write_batch(pair(both, s, settings).observe(written, F.count(F.lit(1)).alias("rows")), root, probe, run_id, f"{batch_id:09d}")
+    write_batch(pair(both, s, settings, total=total).observe(written, F.count(F.lit(1)).alias("rows")), root, probe, run_id, f"{batch_id:09d}")
     # what changes of the pending table: per key of the batch, the last event that survived the entry filters
     kept, _, _ = prepare(both, s, settings, extra_cols=("_new", "_bucket"))
     last = kept.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(s.key_cols)]).agg(
@@ -142,7 +145,8 @@ def process_batch(batch: DataFrame, batch_id: int, probe: str, root: str, state_
     (spark.createDataFrame([(batch_id, count["rows_in"], written.get["rows"], count["entries"], count["exits"], newest)], PROGRESS).coalesce(1)
      .write.mode("overwrite").parquet(f"{progress}/batch_id={batch_id}"))
     _compact_pending(spark, pending_base, batch_id, schema, s.key_cols, None if ttl_ns is None or newest is None else newest - ttl_ns)
-    _delete(spark, work)
+    for path in (work, f"{work}-carried"):
+        _delete(spark, path)
 
 
 def _compact_pending(spark: SparkSession, base: str, batch_id: int, schema, keys, since: int | None) -> None:
