@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 
 #: Pieces in a worker's cache, and pre-tokens beside them: measured together, about 75 MB when full.
 LIMIT, WORDS = 300_000, 100_000
-#: Pieces in each of the two generations of ``Joined``: measured on a growing vocabulary, about 30 MB more than ``Cached`` takes.
+#: Pieces in each of the two generations of ``Joined``: over 104 MB of text a process peaked 30 to 48 MB higher than with ``Cached``.
 GENERATION = 400_000
 
 #: A space before a space or the end: then the text isn't cut at every space.
